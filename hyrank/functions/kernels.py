@@ -4,6 +4,7 @@ Spark partitions and shuffles the work; these functions only turn one
 Arrow batch (a slice of one partition) into another. The query side
 arrives as a broadcast variable whose size the caller has checked.
 
+Vectors are stored as float32 and computed on as float64.
 Scores are rounded to 6 decimals *before* any selection so that ties
 (exact copies of documents are common) are broken the same way
 everywhere: score descending, then point id ascending.
@@ -106,7 +107,7 @@ def _flat_multivectors(col: pa.Array, dim: int):
         keep = np.setdiff1d(np.arange(len(ok)), bad_rows)
         return _flat_multivectors(col.take(pa.array(ok[keep])), dim) if len(keep) else (
             keep, np.empty((0, dim)), np.empty(0, np.int64))
-    tokens = inner.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    tokens = inner.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     starts = np.concatenate([[0], np.cumsum(n_tok[ok])[:-1]]).astype(np.int64)
     return ok, tokens, starts
 
@@ -129,15 +130,15 @@ def dense_topk_kernel(bc, k: int | None, threshold: float | None,
             ids = ids_all[rows]
             step = max(1, MAX_TILE_ELEMENTS // max(1, len(qids)))
             for s in range(0, len(ids), step):
-                scores = round_scores(mat[s:s + step] @ qmat.T)
+                scores = round_scores(qmat @ mat[s:s + step].T)      # (queries, points)
                 tid = ids[s:s + step]
                 for qi in range(len(qids)):
-                    col = scores[:, qi]
+                    row = scores[qi]
                     if threshold is not None:
-                        keep = np.flatnonzero(col >= threshold)
-                        buf.add(qi, tid[keep], col[keep])
+                        keep = np.flatnonzero(row >= threshold)
+                        buf.add(qi, tid[keep], row[keep])
                     else:
-                        buf.add(qi, tid, col)
+                        buf.add(qi, tid, row)
         out = buf.batch()
         if out is not None:
             yield out
@@ -148,11 +149,18 @@ def dense_topk_kernel(bc, k: int | None, threshold: float | None,
 # Late interaction: MaxSim = sum over query tokens of max over doc tokens
 # ---------------------------------------------------------------------------
 
-def _maxsim(tokens: np.ndarray, starts: np.ndarray, qtok: np.ndarray, qstarts: np.ndarray) -> np.ndarray:
-    """(n_docs x n_queries) MaxSim for documents given as stacked token rows."""
-    sims = tokens @ qtok.T                                    # (n_tok, n_qtok)
-    per_doc = np.maximum.reduceat(sims, starts, axis=0)       # (n_docs, n_qtok)
-    return np.add.reduceat(per_doc, qstarts, axis=1)          # (n_docs, n_queries)
+def _maxsim(tokens: np.ndarray, starts: np.ndarray, utok: np.ndarray, tok_index: np.ndarray,
+            qstarts: np.ndarray) -> np.ndarray:
+    """(n_queries x n_docs) MaxSim for documents given as stacked token rows.
+
+    Similarities are computed once per *distinct* query token (``utok``),
+    then gathered per query token via ``tok_index``. Laid out
+    query-token-major so both reductions run along contiguous memory
+    (reduceat along the slow axis is an order of magnitude slower).
+    """
+    sims = utok @ tokens.T                                    # (n_utok, n_tok)
+    per_doc = np.maximum.reduceat(sims, starts, axis=1)       # (n_utok, n_docs)
+    return np.add.reduceat(per_doc[tok_index], qstarts, axis=0)   # (n_queries, n_docs)
 
 
 def _doc_chunks(starts: np.ndarray, n_tok_total: int, n_qtok: int):
@@ -172,6 +180,8 @@ def late_topk_kernel(bc, k: int | None, id_col: str = "point_id", vec_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qtok, qstarts = bc.value
         dim = qtok.shape[1]
+        utok, tok_index = np.unique(qtok, axis=0, return_inverse=True)
+        tok_index = tok_index.reshape(-1)
         buf = TopKBuffer(qids, k)
         for b in batches:
             ids_all = b.column(id_col).to_numpy(zero_copy_only=False)
@@ -179,48 +189,77 @@ def late_topk_kernel(bc, k: int | None, id_col: str = "point_id", vec_col: str =
             if len(rows) == 0:
                 continue
             ids = ids_all[rows]
-            for i, j in _doc_chunks(starts, len(toks), len(qtok)):
+            scores = np.empty((len(qids), len(ids)))
+            for i, j in _doc_chunks(starts, len(toks), len(utok)):
                 t0 = starts[i]
                 t1 = starts[j] if j < len(starts) else len(toks)
-                scores = round_scores(_maxsim(toks[t0:t1], starts[i:j] - t0, qtok, qstarts))
-                for qi in range(len(qids)):
-                    buf.add(qi, ids[i:j], scores[:, qi])
+                scores[:, i:j] = _maxsim(toks[t0:t1], starts[i:j] - t0, utok, tok_index, qstarts)
+            scores = round_scores(scores)
+            for qi in range(len(qids)):
+                buf.add(qi, ids, scores[qi])
         out = buf.batch()
         if out is not None:
             yield out
     return run
 
 
-def late_pair_kernel(bc, vec_col: str = "late"):
-    """MaxSim for explicit (query_id, point_id) candidate rows (rerank)."""
+def _gather_tokens(starts: np.ndarray, lens: np.ndarray, sel: np.ndarray):
+    """Token row indices of documents ``sel`` (vectorised ranges) + their starts."""
+    ln = lens[sel]
+    new_starts = np.concatenate([[0], np.cumsum(ln)[:-1]]).astype(np.int64)
+    idx = np.repeat(starts[sel] - new_starts, ln) + np.arange(int(ln.sum()))
+    return idx, new_starts
+
+
+def late_pair_kernel(bc, vec_col: str = "late", qids_col: str = "qids"):
+    """MaxSim for candidate pairs; each point row carries its candidate query ids.
+
+    A point's vectors cross into Python once however many queries selected it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qtok, qstarts = bc.value
         dim = qtok.shape[1]
         qends = np.append(qstarts[1:], len(qtok))
-        qpos = {int(q): i for i, q in enumerate(qids)}
+        order_q = np.argsort(qids)
         for b in batches:
-            q_all = b.column("query_id").to_numpy(zero_copy_only=False)
             p_all = b.column("point_id").to_numpy(zero_copy_only=False)
             rows, toks, starts = _flat_multivectors(b.column(vec_col), dim)
             if len(rows) == 0:
                 continue
-            q_rows = q_all[rows]
-            ends = np.append(starts[1:], len(toks))
+            lens = np.diff(np.append(starts, len(toks)))
+            qcol = b.column(qids_col).take(pa.array(rows))
+            nq = qcol.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            pair_q = qcol.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            pair_r = np.repeat(np.arange(len(rows)), nq)
+            # map query ids to positions in this block; drop pairs of other blocks
+            pos = np.searchsorted(qids[order_q], pair_q)
+            pos = np.clip(pos, 0, len(qids) - 1)
+            found = qids[order_q][pos] == pair_q
+            pair_qi, pair_r = order_q[pos[found]], pair_r[found]
+            if len(pair_qi) == 0:
+                continue
+            o = np.argsort(pair_qi, kind="stable")
+            pair_qi, pair_r = pair_qi[o], pair_r[o]
+            cuts = np.flatnonzero(np.diff(pair_qi)) + 1
             out_q, out_p, out_s = [], [], []
-            for q in np.unique(q_rows):
-                qi = qpos.get(int(q))
-                if qi is None or qends[qi] == qstarts[qi]:
+            for g0, g1 in zip(np.r_[0, cuts], np.r_[cuts, len(pair_qi)]):
+                qi = pair_qi[g0]
+                if qends[qi] == qstarts[qi]:
                     continue
-                sel = np.flatnonzero(q_rows == q)
-                seg = [np.arange(starts[r], ends[r]) for r in sel]
-                lens = np.array([len(s) for s in seg])
-                t = toks[np.concatenate(seg)]
-                st = np.concatenate([[0], np.cumsum(lens)[:-1]])
                 qt = qtok[qstarts[qi]:qends[qi]]
-                sc = np.maximum.reduceat(t @ qt.T, st, axis=0).sum(axis=1)
-                out_q.append(np.full(len(sel), q, np.int64))
-                out_p.append(p_all[rows[sel]])
-                out_s.append(round_scores(sc))
+                sel_all = pair_r[g0:g1]
+                budget = max(1, MAX_TILE_ELEMENTS // len(qt))
+                # tile the documents of this query so one sims matrix stays bounded
+                csum = np.cumsum(lens[sel_all])
+                cut = np.searchsorted(csum, np.arange(budget, int(csum[-1]) + budget, budget), side="left")
+                bounds = np.unique(np.r_[0, np.minimum(cut + 1, len(sel_all)), len(sel_all)])
+                for c0, c1 in zip(bounds[:-1], bounds[1:]):
+                    sel = sel_all[c0:c1]
+                    idx, st = _gather_tokens(starts, lens, sel)
+                    sc = np.maximum.reduceat(qt @ toks[idx].T, st, axis=1).sum(axis=0)
+                    out_q.append(np.full(len(sel), qids[qi], np.int64))
+                    out_p.append(p_all[rows[sel]])
+                    out_s.append(round_scores(sc))
             if out_q:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(out_q), pa.int64()), pa.array(np.concatenate(out_p), pa.int64()),
@@ -236,13 +275,14 @@ def _list_of_lists(values: np.ndarray, inner_len: np.ndarray, outer_len: np.ndar
                    null_rows: np.ndarray) -> pa.Array:
     inner_off = np.concatenate([[0], np.cumsum(inner_len)]).astype(np.int32)
     outer_off = np.concatenate([[0], np.cumsum(outer_len)]).astype(np.int32)
-    inner = pa.ListArray.from_arrays(pa.array(inner_off), pa.array(values, pa.float64()))
+    inner = pa.ListArray.from_arrays(pa.array(inner_off), pa.array(values.astype(np.float32), pa.float32()))
     return pa.ListArray.from_arrays(pa.array(outer_off), inner, mask=pa.array(null_rows))
 
 
 def _vectors(col: np.ndarray, lengths: np.ndarray, null_rows: np.ndarray) -> pa.Array:
     off = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(col, pa.float64()), mask=pa.array(null_rows))
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(col.astype(np.float32), pa.float32()),
+                                    mask=pa.array(null_rows))
 
 
 def _token_matrix(tok_col: pa.Array, emb: HashEmbedder):

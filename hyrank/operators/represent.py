@@ -21,8 +21,9 @@ from hyrank.functions.vectors import l2_normalize, normalize_tokens
 DENSE_DIM = 32
 LATE_DIM = 16
 
-VEC = T.ArrayType(T.DoubleType())
-MULTIVEC = T.ArrayType(T.ArrayType(T.DoubleType()))
+# Stored precision: float32 (computation happens in float64).
+VEC = T.ArrayType(T.FloatType())
+MULTIVEC = T.ArrayType(T.ArrayType(T.FloatType()))
 
 
 def embed_dense(df: DataFrame, id_col: str = "point_id", text_col: str = "text",

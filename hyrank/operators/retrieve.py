@@ -163,19 +163,21 @@ def late_rescore(candidates: DataFrame, points: DataFrame, queries: DataFrame, v
                  max_query_bytes: int = MAX_QUERY_BYTES, candidate_bound: int | None = None) -> DataFrame:
     """MaxSim for given (query_id, point_id) pairs only.
 
-    The candidate set is broadcast when its bound is known to be small, so
-    the corpus is filtered in place (no shuffle of the vector table).
+    Candidates are grouped per point (a point lists at most every query of
+    the block), so each point's vectors are read and shipped once. When the
+    candidate set's bound is small it is broadcast and the point table is
+    filtered in place, without a shuffle of the vector table.
     """
     spark = _spark(points)
-    cands = candidates.select("query_id", "point_id")
-    side = F.broadcast(cands) if candidate_bound is not None and candidate_bound <= MAX_BROADCAST_ROWS else cands
+    per_point = candidates.groupBy("point_id").agg(F.collect_list("query_id").alias("qids"))
+    side = per_point
+    if candidate_bound is not None and candidate_bound <= MAX_BROADCAST_ROWS:
+        side = F.broadcast(per_point)
     rows = points.select("point_id", vec_col).where(F.size(vec_col) > 0).join(side, "point_id")
-    rows = rows.select("query_id", "point_id", vec_col)
     parts = []
     for qids, qtok, qstarts in late_query_blocks(queries, vec_col, max_query_bytes):
         bc = spark.sparkContext.broadcast((qids, qtok, qstarts))
-        blk = rows.where(F.col("query_id").isin([int(q) for q in qids])) if len(qids) < 10_000 else rows
-        parts.append(blk.mapInArrow(kernels.late_pair_kernel(bc, vec_col), HIT_SCHEMA))
+        parts.append(rows.mapInArrow(kernels.late_pair_kernel(bc, vec_col), HIT_SCHEMA))
     return _union(parts, HIT_SCHEMA, spark)
 
 

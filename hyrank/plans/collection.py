@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyrank.operators import represent
+from hyrank.operators.retrieve import scan_partitions
 from hyrank.session import scratch_path
 from hyrank.sources import tables
 
@@ -50,9 +51,20 @@ def document_payload(docs: DataFrame) -> DataFrame:
 PAYLOAD = ["headline", "lang", "source", "n_chars"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has cores.
+
+    Large inputs (many files / row groups) are already split finer than the
+    parallelism and pass through without a shuffle.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if scan_partitions(df) < want else df
+
+
 def write_collection(spark: SparkSession, docs: DataFrame, path: str | None = None,
                      payload: list[str] = PAYLOAD) -> Collection:
     path = path or scratch_path(spark, "collection")
+    docs = spread(docs)
     points, postings = represent.build_points(docs, "doc_id", "text", payload=payload)
     points.sortWithinPartitions("point_id").write.mode("errorifexists").parquet(f"{path}/points")
     p = spark.read.parquet(f"{path}/points")
@@ -71,6 +83,7 @@ def open_collection(spark: SparkSession, path: str) -> Collection:
 def write_queries(spark: SparkSession, qdf: DataFrame, id_col: str = "item_id", text_col: str = "text",
                   path: str | None = None) -> QuerySet:
     path = path or scratch_path(spark, "queries")
+    qdf = spread(qdf)
     q, terms = represent.build_queries(qdf, id_col, text_col)
     q.write.mode("errorifexists").parquet(f"{path}/queries")
     terms.write.mode("errorifexists").parquet(f"{path}/terms")

@@ -3,7 +3,8 @@
 The SQL recomputes every representation from the raw tables (documents,
 benchmark, ...), so it checks the whole chain, not just the last step.
 Conventions shared with the Spark side: scores rounded to 6 decimals
-before ranking, ties broken by point id, ranks and counts as BIGINT.
+before ranking, ties broken by point id, ranks and counts as BIGINT;
+vectors pass through float32 exactly as they are stored.
 """
 
 from __future__ import annotations
@@ -34,12 +35,13 @@ def _tok(src: str, id_expr: str, name: str) -> str:
   SELECT id, i, sum(tf * {_comp('term', 'i')}) AS v
   FROM {name}_post, range({DENSE_DIM}) r(i) GROUP BY id, i),
 {name}_dense AS (
-  SELECT id, i, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM {name}_dense_raw),
+  SELECT id, i, (v / sqrt(sum(v * v) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS v FROM {name}_dense_raw),
 {name}_late_raw AS (
   SELECT id, term, [{', '.join(_comp('term', str(i)) for i in range(LATE_DIM))}]::DOUBLE[{LATE_DIM}] AS raw
   FROM (SELECT DISTINCT id, term FROM {name}_post)),
 {name}_late AS (
-  SELECT id, term, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw)))::DOUBLE[{LATE_DIM}] AS v
+  SELECT id, term,
+         list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw)))::FLOAT[{LATE_DIM}]::DOUBLE[{LATE_DIM}] AS v
   FROM {name}_late_raw)"""
 
 

@@ -20,12 +20,14 @@ DEFAULT_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app: str = "hyrank", extra: dict | None = None) -> SparkSession:
+              app: str = "hyrank", extra: dict | None = None, driver_memory: str | None = "16g") -> SparkSession:
     """Build (or reuse) a session with the defaults this library is tuned for."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if driver_memory:
+        conf["spark.driver.memory"] = driver_memory
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
