@@ -143,3 +143,187 @@ def project_hits(spark: SparkSession, sf: str) -> DataFrame:
     col, qs = corpus(spark, sf)
     hits = S.rrf_dense_sparse(col, qs)
     return proj(hits, col.points, ["headline", "lang", "source"]).select(*HITS, "headline", "lang", "source")
+
+
+# ---------------------------------------------------------------------------
+# P4 payload filter
+# ---------------------------------------------------------------------------
+
+_EN = "SELECT doc_id FROM documents WHERE lang = 'en'"
+_DF = O.ranked(f"(SELECT * FROM dense_scores WHERE point_id IN ({_EN}))", S.PREFETCH)
+_SF = O.ranked(f"(SELECT * FROM sparse_scores WHERE point_id IN ({_EN}))", S.PREFETCH)
+
+
+@register("filter_points", O.with_base(O.select_hits(O.rrf_sql([_DF, _SF], S.PAGE_SIZE))))
+def filter_points(spark: SparkSession, sf: str) -> DataFrame:
+    """dense+sparse RRF restricted to English points, filtered before scoring."""
+    col, qs = corpus(spark, sf)
+    return _hits(S.rrf_dense_sparse(col, qs, where=F.col("lang") == "en"))
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks (S1-S6), record shaping
+# ---------------------------------------------------------------------------
+
+from hyrank.session import scratch_path  # noqa: E402
+from hyrank.sources import candidates as C  # noqa: E402
+from hyrank.sources import collection_ops as CO  # noqa: E402
+from hyrank.sources import tables  # noqa: E402
+from hyrank.operators import shape  # noqa: E402
+
+_CAND = f"WITH {C.candidates_source_sql()}\n"
+
+
+@register("load_candidates", _CAND + """SELECT id, (100000 + id)::BIGINT AS user_id, 'ext-' || id AS external_candidate_id,
+  language AS prefered_language, 'Candidate ' || id AS name, 'c' || id || '@example.com' AS email,
+  source AS country, 'city-' || (id % 7) AS city,
+  (CASE WHEN language <> 'english' AND id % 3 <> 0 THEN 2 ELSE 1 END)::BIGINT AS n_bio,
+  n_work::BIGINT AS n_work, cv_url FROM cand""")
+def load_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested records written as JSON, read back with the explicit schema."""
+    path = scratch_path(spark, "candidates")
+    C.write_candidates(C.build_candidates(spark, sf), path, "json")
+    c = C.load_candidates(spark, path, "json")
+    return c.select(
+        "id", "user_id", "external_candidate_id", F.col("user.prefered_language").alias("prefered_language"),
+        F.col("user.name").alias("name"), F.col("user.email").alias("email"),
+        F.col("user.country").alias("country"), F.col("user.city").alias("city"),
+        F.size("bio").cast("long").alias("n_bio"),
+        F.size(F.col("bio")["english"]["work_experience"]).cast("long").alias("n_work"),
+        F.get(F.col("uploaded_resumes"), 0)["cv_url"].alias("cv_url"))
+
+
+@register("map_candidate", _CAND + """SELECT
+  upper(substr(language, 1, 1)) || substr(language, 2) AS language, (100000 + id)::BIGINT AS user_id,
+  id AS candidate_id, 'ext-' || id AS external_candidate_id, 'Candidate ' || id AS name,
+  'c' || id || '@example.com' AS email,
+  CASE WHEN language = 'english' THEN headline WHEN id % 3 <> 0 THEN 'L:' || headline ELSE '' END AS headline,
+  array_to_string(string_split(headline, ' ')[1:3], ',') AS expertise,
+  array_to_string(string_split(headline, ' ')[4:6], ',') AS skill_tags,
+  text AS cv_summary, 'quality=' || coalesce(quality::VARCHAR, 'none') AS skill_analysis,
+  'XXX,TODO' AS countries, source AS country, 'city-' || (id % 7) AS city,
+  false AS email_notifications_enabled, 'never' AS notification_frequency, cv_url,
+  (CASE WHEN language <> 'english' AND id % 3 <> 0 THEN 2 ELSE 1 END)::BIGINT AS bio_languages
+FROM cand""")
+def map_candidate(spark: SparkSession, sf: str) -> DataFrame:
+    """The 18-field payload; arrays shown joined, the bio map by its size."""
+    p = shape.map_candidate(C.build_candidates(spark, sf))
+    return p.select(
+        "language", "user_id", "candidate_id", "external_candidate_id", "name", "email", "headline",
+        F.concat_ws(",", "expertise").alias("expertise"), F.concat_ws(",", "skill_tags").alias("skill_tags"),
+        "cv_summary", "skill_analysis", F.concat_ws(",", "countries").alias("countries"), "country", "city",
+        "email_notifications_enabled", "notification_frequency", "cv_url",
+        F.size("bio").cast("long").alias("bio_languages"))
+
+
+@register("candidate_text", _CAND + """SELECT id AS point_id,
+  headline || ', ' || coalesce(job_titles, '') || chr(10) || text || chr(10)
+  || array_to_string(string_split(headline, ' ')[1:3], ', ') || chr(10)
+  || array_to_string(string_split(headline, ' ')[4:6], ', ') || ', ' || source || ', ' || lang
+  || 'quality=' || coalesce(quality::VARCHAR, 'none') AS text
+FROM cand""")
+def candidate_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The embedding text of every candidate."""
+    return shape.candidate_text(C.build_candidates(spark, sf))
+
+
+_EMB_POINTS = """emb AS (SELECT vec_id AS point_id, embedding FROM embeddings)"""
+
+
+def _embedding_points(spark: SparkSession, sf: str) -> DataFrame:
+    e = tables.load(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("dense"),
+                    CO.slice_multivector(F.col("embedding"), 8, 8).alias("late"))
+
+
+@register("validate_vectors", f"""WITH {_EMB_POINTS}
+SELECT point_id, CASE WHEN embedding IS NULL THEN 'ok'
+  WHEN len(embedding) <> 64 THEN 'dense_dim'
+  WHEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) <= 0 THEN 'dense_zero'
+  ELSE 'ok' END AS status FROM emb""")
+def validate_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as points (dense 64, late = 8 slices of 8) checked
+    against the declared schema; every row comes back with its status."""
+    valid, rejected = CO.validate_vectors(_embedding_points(spark, sf), 64, 8)
+    return valid.select("point_id", F.lit("ok").alias("status")).unionByName(
+        rejected.select("point_id", F.col("reason").alias("status")))
+
+
+_UPD_SQL = """upd AS (
+  SELECT doc_id AS point_id, 'quality=' || quality AS source, 2::BIGINT AS seq FROM labels
+  UNION ALL SELECT doc_id, 'toxic', 3::BIGINT FROM labels WHERE toxic = 1),
+latest AS (SELECT point_id, source, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY seq DESC) AS rn FROM upd) WHERE rn = 1)"""
+_UPSERT_SQL = f"""WITH {_UPD_SQL}
+SELECT point_id, source, seq FROM latest
+UNION ALL SELECT doc_id AS point_id, source, 1::BIGINT AS seq FROM documents
+WHERE doc_id NOT IN (SELECT point_id FROM latest)"""
+
+
+def _upsert_inputs(spark: SparkSession, sf: str):
+    docs = tables.load(spark, sf, "documents")
+    labels = tables.load(spark, sf, "labels")
+    target = docs.select(F.col("doc_id").alias("point_id"), "source", F.lit(1).cast("long").alias("seq"))
+    a = labels.select(F.col("doc_id").alias("point_id"),
+                      F.concat(F.lit("quality="), F.col("quality").cast("string")).alias("source"),
+                      F.lit(2).cast("long").alias("seq"))
+    b = labels.where(F.col("toxic") == 1).select(F.col("doc_id").alias("point_id"),
+                                                 F.lit("toxic").alias("source"), F.lit(3).cast("long").alias("seq"))
+    return target, a, b
+
+
+@register("upsert_points", _UPSERT_SQL)
+def upsert_points(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: label updates (some keys twice in the batch) upserted by id into
+    a new version of the documents table."""
+    target, a, b = _upsert_inputs(spark, sf)
+    tbl = CO.VersionedTable(spark, scratch_path(spark, "upsert"))
+    tbl.commit(target)
+    tbl.upsert(a.unionByName(b))
+    return tbl.read()
+
+
+@register("ingest_stream", _UPSERT_SQL)
+def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same updates arriving as two files, drained by a file stream
+    (availableNow) whose micro-batches are upserted; equals S3's table."""
+    from hyrank.streaming.ingest import ingest_stream as run
+    target, a, b = _upsert_inputs(spark, sf)
+    base = scratch_path(spark, "ingest")
+    tbl = CO.VersionedTable(spark, f"{base}/table")
+    tbl.commit(target)
+    a.write.parquet(f"{base}/incoming/batch=1")
+    b.write.parquet(f"{base}/incoming/batch=2")
+    run(spark, f"{base}/incoming", tbl, f"{base}/checkpoint", a.schema, max_files_per_trigger=1)
+    return tbl.read().select("point_id", "source", "seq")
+
+
+@register("snapshot_roundtrip", O.with_base("""SELECT d.doc_id AS point_id, d.lang, d.source,
+  (SELECT count(*) FROM d_post p WHERE p.id = d.doc_id)::BIGINT AS n_late,
+  CASE WHEN (SELECT count(*) FROM d_post p WHERE p.id = d.doc_id) > 0 THEN 32 END::BIGINT AS dense_dim
+FROM documents d"""))
+def snapshot_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The collection's points written as a snapshot and restored."""
+    col, _ = corpus(spark, sf)
+    base = scratch_path(spark, "snapshots")
+    CO.write_snapshot(col.points, base, "1")
+    r = CO.restore_snapshot(spark, base, "1")
+    return r.select("point_id", "lang", "source",
+                    F.coalesce(F.size("late"), F.lit(0)).cast("long").alias("n_late"),
+                    F.when(F.col("dense").isNotNull(), F.size("dense")).cast("long").alias("dense_dim"))
+
+
+@register("collection_info", O.with_base("""SELECT
+  (SELECT count(*) FROM documents)::BIGINT AS n_points,
+  (SELECT count(DISTINCT id) FROM d_post)::BIGINT AS n_dense,
+  (SELECT count(DISTINCT id) FROM d_post)::BIGINT AS n_late,
+  32::BIGINT AS dense_dim_min, 32::BIGINT AS dense_dim_max,
+  (SELECT count(*) FROM d_post)::BIGINT AS late_vectors,
+  (SELECT max(c) FROM (SELECT count(*) AS c FROM d_post GROUP BY id))::BIGINT AS late_tokens_max,
+  16::BIGINT AS late_dim,
+  (SELECT count(*) FROM d_post)::BIGINT AS n_postings,
+  (SELECT count(DISTINCT id) FROM d_post)::BIGINT AS n_sparse"""))
+def collection_info(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts per vector kind and dimension ranges of the collection."""
+    col, _ = corpus(spark, sf)
+    return CO.collection_info(col.points, col.postings)
