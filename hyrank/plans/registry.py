@@ -327,3 +327,219 @@ def collection_info(spark: SparkSession, sf: str) -> DataFrame:
     """Counts per vector kind and dimension ranges of the collection."""
     col, _ = corpus(spark, sf)
     return CO.collection_info(col.points, col.postings)
+
+
+# ---------------------------------------------------------------------------
+# Representation building
+# ---------------------------------------------------------------------------
+
+from hyrank.operators import represent as R  # noqa: E402
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.load(spark, sf, "documents").select(F.col("doc_id").alias("point_id"), "text")
+
+
+@register("embed_dense", O.with_base(
+    "SELECT id AS point_id, i::BIGINT AS i, round(v, 6) AS value FROM d_dense"))
+def embed_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashing-embedder dense vectors of whole documents, one row per component."""
+    d = R.embed_dense(_docs(spark, sf))
+    return d.select("point_id", F.posexplode("dense").alias("i", "v")).select(
+        "point_id", F.col("i").cast("long").alias("i"), F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@register("bm25_weights", O.with_base(
+    "SELECT id AS point_id, term, tf, dl, round(weight, 6) AS weight FROM d_w"))
+def bm25_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 postings of every document (whole text)."""
+    p = R.bm25_weights(_docs(spark, sf))
+    return p.select("point_id", "term", "tf", "dl", F.round("weight", 6).alias("weight"))
+
+
+@register("idf_table", O.with_base("SELECT term, n, round(idf, 6) AS idf FROM idf"))
+def idf_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Collection IDF per term."""
+    return R.idf_table(R.bm25_weights(_docs(spark, sf))).select("term", "n", F.round("idf", 6).alias("idf"))
+
+
+_LATE_COLS = ", ".join(f"round(v[{i + 1}], 6) AS v{i}" for i in range(R.LATE_DIM))
+
+
+@register("embed_late", O.with_base(f"SELECT id AS point_id, term, {_LATE_COLS} FROM d_late"))
+def embed_late(spark: SparkSession, sf: str) -> DataFrame:
+    """One unit vector per distinct token of every document."""
+    from hyrank.functions.text import tokens
+    docs = _docs(spark, sf)
+    late = R.embed_late(docs)
+    toks = docs.select("point_id", F.array_distinct(tokens("text")).alias("toks"))
+    z = toks.join(late, "point_id").select("point_id", F.explode(F.arrays_zip("toks", "late")).alias("z"))
+    return z.select("point_id", F.col("z.toks").alias("term"),
+                    *[F.round(F.col("z.late")[i].cast("double"), 6).alias(f"v{i}") for i in range(R.LATE_DIM)])
+
+
+@register("normalize_vectors", """SELECT vec_id AS point_id, (i - 1)::BIGINT AS i,
+  round(embedding[i] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS value
+FROM embeddings, range(1, 65) r(i)""")
+def normalize_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """E5: the embeddings table L2-normalised (JVM side), one row per component."""
+    e = tables.load(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding"))
+    n = R.normalize_vectors(e, ["embedding"])
+    return n.select("point_id", F.posexplode("embedding").alias("i", "v")).select(
+        "point_id", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("value"))
+
+
+@register("build_points", O.with_base("""SELECT doc_id AS point_id,
+  split_part(coalesce(text, ''), chr(10), 1) AS headline, lang, source,
+  (SELECT count(*) FROM d_post p WHERE p.id = doc_id)::BIGINT AS n_terms,
+  (SELECT count(*) FROM d_post p WHERE p.id = doc_id) > 0 AS has_dense
+FROM documents"""))
+def build_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points with payload, dense and late vectors, plus postings."""
+    col, _ = corpus(spark, sf)
+    nterms = col.postings.groupBy("point_id").agg(F.count(F.lit(1)).cast("long").alias("n_terms"))
+    return (col.points.select("point_id", "headline", "lang", "source", F.col("dense").isNotNull().alias("has_dense"))
+            .join(nterms, "point_id", "left")
+            .select("point_id", "headline", "lang", "source", F.coalesce("n_terms", F.lit(0)).alias("n_terms"),
+                    "has_dense"))
+
+
+@register("build_queries", O.with_base("SELECT id AS query_id, term, round(weight, 6) AS qweight FROM q_w"))
+def build_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Query terms of the benchmark table, document-mode BM25 weights."""
+    _, qs = corpus(spark, sf)
+    return qs.terms.select("query_id", "term", F.round("qweight", 6).alias("qweight"))
+
+
+# ---------------------------------------------------------------------------
+# R11 approximate dense search, R12 batch search of a whole vector table
+# ---------------------------------------------------------------------------
+
+def _norm_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    e = tables.load(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("dense"))
+    return R.normalize_vectors(e, ["dense"]).where(F.col("dense").isNotNull())
+
+
+_EMB_SCORES = """en AS (SELECT vec_id AS id, i, embedding[i] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS v
+  FROM embeddings, range(1, 65) r(i)),
+pair AS (SELECT q.id AS query_id, p.id AS point_id, round(sum(q.v * p.v), 6) AS score
+  FROM en q JOIN en p USING (i) GROUP BY q.id, p.id)"""
+
+
+@register("batch_search", f"WITH {_EMB_SCORES}\n" + O.select_hits(O.ranked("pair", S.PAGE_SIZE)))
+def batch_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every embedding queries the embeddings table (k-NN self-join),
+    the query side split into broadcast blocks of at most 64 KiB."""
+    pts = _norm_embeddings(spark, sf)
+    q = pts.select(F.col("point_id").alias("query_id"), "dense")
+    return _hits(retrieve.dense_topk(pts, q, S.PAGE_SIZE, max_query_bytes=64 << 10))
+
+
+@register("dense_lsh_topk")
+def dense_lsh_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Random-hyperplane LSH candidates, exact rescoring; approximate by
+    design, so checked by recall against R12 (see ``lsh_recall``)."""
+    pts = _norm_embeddings(spark, sf)
+    q = pts.select(F.col("point_id").alias("query_id"), "dense")
+    return _hits(retrieve.dense_lsh_topk(pts, q, S.PAGE_SIZE, tables=16, bits=6, dim=64))
+
+
+@register("lsh_recall")
+def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """R11 quality: recall@10 of the LSH search against the exact search."""
+    pts = _norm_embeddings(spark, sf)
+    q = pts.select(F.col("point_id").alias("query_id"), "dense")
+    exact = retrieve.dense_topk(pts, q, S.PAGE_SIZE)
+    approx = retrieve.dense_lsh_topk(pts, q, S.PAGE_SIZE, tables=16, bits=6, dim=64)
+    return retrieve.lsh_recall(approx, exact)
+
+
+# ---------------------------------------------------------------------------
+# Evaluation (V1-V4)
+# ---------------------------------------------------------------------------
+
+from hyrank.operators import evaluate as V  # noqa: E402
+
+_HEAD = "split_part(coalesce(d.text, ''), chr(10), 1)"
+_REL = f"(lower({_HEAD}) LIKE '%test%' OR lower({_HEAD}) LIKE '%qa%')"
+
+
+def _flagged(hits: DataFrame, points: DataFrame) -> DataFrame:
+    return V.relevance_flag(shape.project_hits(hits, points, ["headline"]))
+
+
+@register("relevance_flag", O.with_base(
+    f"SELECT h.query_id, h.point_id, h.rank, {_REL} AS relevant FROM "
+    f"{O.rrf_sql([_D, _S], S.PAGE_SIZE)} h JOIN documents d ON d.doc_id = h.point_id"))
+def relevance_flag(spark: SparkSession, sf: str) -> DataFrame:
+    """V1: headline contains 'test' or 'qa' (substring), on the RRF top-10."""
+    col, qs = corpus(spark, sf)
+    return _flagged(S.rrf_dense_sparse(col, qs), col.points).select("query_id", "point_id", "rank", "relevant")
+
+
+def _cut_sql(src: str, method: str) -> str:
+    return f"""SELECT query_id, '{method}' AS method, rank::BIGINT AS cutoff, rel::BIGINT AS relevant,
+  round(rel / rank, 6) AS ratio FROM (
+  SELECT h.query_id, h.rank, sum(CASE WHEN {_REL} THEN 1 ELSE 0 END)
+         OVER (PARTITION BY h.query_id ORDER BY h.rank ROWS UNBOUNDED PRECEDING) AS rel
+  FROM {src} h JOIN documents d ON d.doc_id = h.point_id) WHERE rank % 50 = 0"""
+
+
+@register("hits_at_cutoffs", O.with_base(_cut_sql(O.rrf_sql([_D, _S], None), "rrf_dense_sparse")))
+def hits_at_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
+    """V2: relevant results among the first 50, 100, ... of the whole RRF list."""
+    col, qs = corpus(spark, sf)
+    f = _flagged(S.rrf_dense_sparse(col, qs, k=None), col.points).withColumn("method", F.lit("rrf_dense_sparse"))
+    return V.hits_at_cutoffs(f)
+
+
+_TOTAL_SRC = {
+    "dense": O.ranked("dense_scores", None, f"WHERE score >= {S.DENSE_THRESHOLD}"),
+    "sparse": O.ranked("sparse_scores", None),
+    "rrf_dense_sparse": O.rrf_sql([_D, _S], None),
+    "rerank_late": O.ranked(O.late_on(_UNION), None),
+    "multistep": O.ranked(O.late_on(_CASCADE_S), None),
+}
+
+
+@register("total_results", O.with_base(" UNION ALL ".join(
+    f"SELECT query_id, '{m}' AS method, count(*)::BIGINT AS total FROM {src} GROUP BY query_id"
+    for m, src in _TOTAL_SRC.items())))
+def total_results(spark: SparkSession, sf: str) -> DataFrame:
+    """V3: results seen when paging each strategy to its end (dense with the
+    0.6 threshold, sparse to the last matching point, fusions and cascades
+    to the end of their prefetches)."""
+    col, qs = corpus(spark, sf)
+    runs = {"dense": S.dense(col, qs, None), "sparse": S.sparse(col, qs, None),
+            "rrf_dense_sparse": S.rrf_dense_sparse(col, qs, None), "rerank_late": S.rerank_late(col, qs, None),
+            "multistep": S.multistep(col, qs, None)}
+    out = None
+    for m, h in runs.items():
+        part = V.total_results(h.withColumn("method", F.lit(m)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_DEPTH = 200
+_CMP_SRC = {
+    "dense": O.ranked("dense_scores", _DEPTH, f"WHERE score >= {S.DENSE_THRESHOLD}"),
+    "sparse": O.ranked("sparse_scores", _DEPTH),
+    "late": O.ranked("late_scores", _DEPTH),
+    "rrf_dense_sparse": O.rrf_sql([_D, _S], _DEPTH),
+    "rrf_all": O.rrf_sql([_D, _S, _L], _DEPTH),
+    "rerank_late": O.ranked(O.late_on(_UNION), _DEPTH),
+    "multistep": O.ranked(O.late_on(_CASCADE_S), _DEPTH),
+}
+
+
+@register("compare_methods", O.with_base(
+    "SELECT method, cutoff, count(*)::BIGINT AS queries, sum(relevant)::BIGINT AS relevant, "
+    "round(sum(relevant) / (cutoff * count(*)), 6) AS ratio FROM ("
+    + " UNION ALL ".join(_cut_sql(src, m) for m, src in _CMP_SRC.items())
+    + ") GROUP BY method, cutoff"))
+def compare_methods(spark: SparkSession, sf: str) -> DataFrame:
+    """V4: all seven strategies on the same queries, hit rate every 50 results
+    down to a depth of 200."""
+    col, qs = corpus(spark, sf)
+    runs = {m: fn(col, qs, _DEPTH) for m, fn in S.STRATEGIES.items()}
+    return V.compare_methods({m: _flagged(h, col.points) for m, h in runs.items()})
