@@ -250,21 +250,37 @@ def _hyperplanes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, bits, dim))
 
 
+SIG_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("table", T.IntegerType()),
+                           T.StructField("bucket", T.LongType())])
+
+
 def lsh_signatures(df: DataFrame, id_col: str, vec_col: str, planes: np.ndarray) -> DataFrame:
-    """(id, table, bucket) per vector: one bucket per hash table, JVM side."""
+    """(id, table, bucket) per vector: one bucket per hash table.
+
+    The projections are one small matrix product per Arrow batch; the
+    hyperplanes are a fixed-size broadcast (tables x bits x dim).
+    """
     tables, bits, dim = planes.shape
-    v = F.col(vec_col)
-    rows = []
-    for t in range(tables):
-        code = F.lit(0).cast("long")
-        for b in range(bits):
-            h = F.array(*[F.lit(float(x)) for x in planes[t, b]])
-            proj = F.aggregate(F.zip_with(v, h, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-            code = code + F.when(proj > 0, F.lit(1 << b)).otherwise(F.lit(0))
-        rows.append(F.struct(F.lit(t).alias("table"), code.alias("bucket")))
-    return (df.where(F.size(vec_col) == dim)
-            .select(F.col(id_col), F.explode(F.array(*rows)).alias("s"))
-            .select(id_col, "s.table", "s.bucket"))
+    bc = df.sparkSession.sparkContext.broadcast(planes)
+
+    def run(batches):
+        import pyarrow as pa
+        pl = bc.value.reshape(tables * bits, dim)
+        weights = (1 << np.arange(bits)).astype(np.int64)
+        for b in batches:
+            rows, mat = kernels._flat_vectors(b.column(vec_col), dim)
+            if len(rows) == 0:
+                continue
+            ids = b.column(id_col).to_numpy(zero_copy_only=False)[rows]
+            signs = (mat @ pl.T > 0).reshape(len(rows), tables, bits)
+            codes = (signs * weights).sum(axis=2)                     # (n, tables)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, tables), pa.int64()),
+                 pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows)), pa.int32()),
+                 pa.array(codes.ravel(), pa.int64())], names=["id", "table", "bucket"])
+
+    out = df.select(id_col, vec_col).mapInArrow(run, SIG_SCHEMA)
+    return out.withColumnRenamed("id", id_col)
 
 
 def dense_lsh_topk(points: DataFrame, queries: DataFrame, k: int = 10, tables: int = 16, bits: int = 6,
