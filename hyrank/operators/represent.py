@@ -52,19 +52,41 @@ def embed_late(df: DataFrame, id_col: str = "point_id", text_col: str = "text",
     return src.mapInArrow(kernel(dim, id_col, "_toks", out_col), schema)
 
 
+def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf, dl) per document without a shuffle.
+
+    A document never spans partitions, so term counts are computed per row:
+    sort the token array, find where runs of equal tokens start, and take
+    the run lengths. Each step reads a materialised column (lambdas never
+    re-evaluate the sort). At scale this replaces a shuffle of ~0.6x the
+    corpus' token count with row-local work.
+    """
+    st = df.select(F.col(id_col), F.array_sort(text.tokens(text_col)).alias("_st"))
+    st = st.select(id_col, "_st", F.size("_st").alias("_n"))
+    st = st.select(id_col, "_st", "_n", F.filter(
+        F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1))),
+        lambda i: (i == 1) | (F.try_element_at(F.col("_st"), i) != F.try_element_at(F.col("_st"), i - 1)))
+        .alias("_runs"))
+    runs = F.arrays_zip(
+        F.transform("_runs", lambda i: F.element_at(F.col("_st"), i)).alias("term"),
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size("_runs"), F.lit(1))),
+                    lambda j: F.coalesce(F.try_element_at(F.col("_runs"), j + 1), F.col("_n") + 1)
+                    - F.element_at(F.col("_runs"), j)).alias("tf"))
+    z = st.select(id_col, F.col("_n").cast("long").alias("dl"), F.explode(F.when(F.col("_n") > 0, runs)).alias("_z"))
+    return z.select(id_col, F.col("_z.term").alias("term"), F.col("_z.tf").cast("long").alias("tf"), "dl")
+
+
 def bm25_weights(df: DataFrame, id_col: str = "point_id", text_col: str = "text",
                  k1: float = text.BM25_K1, b: float = text.BM25_B, avgdl: float = text.BM25_AVGDL,
                  stopwords: list[str] | None = None) -> DataFrame:
     """Postings (id, term, tf, dl, weight) over the whole text.
 
-    The document length is taken per row before the explode, so no join
-    is needed; the (id, term) count is combined map-side.
+    Term frequencies and the document length are row-local (no shuffle);
+    the weight is plain column arithmetic in double.
     """
-    toks = df.select(F.col(id_col), text.tokens(text_col).alias("_toks"))
-    toks = toks.select(id_col, F.size("_toks").cast("long").alias("dl"), F.explode("_toks").alias("term"))
+    post = term_frequencies(df, id_col, text_col)
     if stopwords:
-        toks = toks.where(~F.col("term").isin(list(stopwords)))
-    post = toks.groupBy(id_col, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        post = post.where(~F.col("term").isin(list(stopwords)))
     return post.select(id_col, "term", "tf", "dl",
                        text.bm25_weight(F.col("tf"), F.col("dl"), k1, b, avgdl).alias("weight"))
 

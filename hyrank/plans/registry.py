@@ -337,7 +337,8 @@ from hyrank.operators import represent as R  # noqa: E402
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.load(spark, sf, "documents").select(F.col("doc_id").alias("point_id"), "text")
+    from hyrank.plans.collection import spread
+    return spread(tables.load(spark, sf, "documents").select(F.col("doc_id").alias("point_id"), "text"))
 
 
 @register("embed_dense", O.with_base(
@@ -429,10 +430,10 @@ pair AS (SELECT q.id AS query_id, p.id AS point_id, round(sum(q.v * p.v), 6) AS
 @register("batch_search", f"WITH {_EMB_SCORES}\n" + O.select_hits(O.ranked("pair", S.PAGE_SIZE)))
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     """Every embedding queries the embeddings table (k-NN self-join),
-    the query side split into broadcast blocks of at most 64 KiB."""
+    the query side split into broadcast blocks of at most 256 KiB."""
     pts = _norm_embeddings(spark, sf)
     q = pts.select(F.col("point_id").alias("query_id"), "dense")
-    return _hits(retrieve.dense_topk(pts, q, S.PAGE_SIZE, max_query_bytes=64 << 10))
+    return _hits(retrieve.dense_topk(pts, q, S.PAGE_SIZE, max_query_bytes=256 << 10))
 
 
 @register("dense_lsh_topk")
@@ -541,5 +542,5 @@ def compare_methods(spark: SparkSession, sf: str) -> DataFrame:
     """V4: all seven strategies on the same queries, hit rate every 50 results
     down to a depth of 200."""
     col, qs = corpus(spark, sf)
-    runs = {m: fn(col, qs, _DEPTH) for m, fn in S.STRATEGIES.items()}
+    runs = S.all_strategies(col, qs, _DEPTH)
     return V.compare_methods({m: _flagged(h, col.points) for m, h in runs.items()})

@@ -19,6 +19,7 @@ before scoring, so it prunes the scans.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from hyrank.operators import fuse, retrieve
 from hyrank.plans.collection import Collection, QuerySet
@@ -96,3 +97,40 @@ STRATEGIES = {
     "rerank_late": rerank_late,
     "multistep": multistep,
 }
+
+
+def all_strategies(col: Collection, qs: QuerySet, depth: int = 200, prefetch: int = PREFETCH,
+                   threshold: float | None = DENSE_THRESHOLD, where: Column | None = None) -> dict[str, DataFrame]:
+    """The seven strategies down to ``depth`` (<= prefetch), sharing work.
+
+    The three single-vector branches (dense, sparse, late top-``prefetch``)
+    are computed once and checkpointed to the shared folder; every strategy
+    is derived from them. The MaxSim rescoring of both candidate sets
+    (rerank: dense ∪ sparse; cascade: sparse restricted to dense) is one
+    pass over their union. Results equal the independent strategies.
+    """
+    assert depth <= prefetch
+    pts, post = _filtered(col, where)
+    d = retrieve.dense_topk(pts, qs.queries, prefetch).checkpoint()
+    s = retrieve.sparse_topk(post, col.idf, qs.terms, prefetch).checkpoint()
+    lt = retrieve.late_topk(pts, qs.queries, prefetch).checkpoint()
+    cascade_s = retrieve.sparse_topk(post, col.idf, qs.terms, prefetch, candidates=d,
+                                     candidate_bound=prefetch * qs.n).checkpoint()
+    rr_cands = fuse.union_candidates([d, s])
+    both = fuse.union_candidates([rr_cands, cascade_s])
+    rescored = retrieve.late_rescore(both, pts, qs.queries, candidate_bound=3 * prefetch * qs.n).checkpoint()
+    rerank_hits = retrieve.rank_hits(rescored.join(rr_cands, ["query_id", "point_id"], "left_semi"), depth)
+    cascade_hits = retrieve.rank_hits(
+        rescored.join(cascade_s.select("query_id", "point_id"), ["query_id", "point_id"], "left_semi"), depth)
+    dense_hits = d.where(F.col("rank") <= depth)
+    if threshold is not None:
+        dense_hits = dense_hits.where(F.col("score") >= threshold)
+    return {
+        "dense": dense_hits,
+        "sparse": s.where(F.col("rank") <= depth),
+        "late": lt.where(F.col("rank") <= depth),
+        "rrf_dense_sparse": fuse.rrf([d, s], depth),
+        "rrf_all": fuse.rrf([d, s, lt], depth),
+        "rerank_late": rerank_hits,
+        "multistep": cascade_hits,
+    }
