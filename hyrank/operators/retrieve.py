@@ -115,6 +115,18 @@ def late_query_blocks(queries: DataFrame, vec_col: str = "late", max_bytes: int
         yield qids, np.concatenate(mats, axis=0), starts
 
 
+def bounded_broadcast(df: DataFrame, bound: int | None = None, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only behind a size check; otherwise leave the join to
+    a shuffle (and AQE's skew handling).
+
+    ``bound`` is a proven upper bound on the rows (e.g. queries x k); when
+    it is unknown the rows are counted -- only ever done for query-side
+    tables, never for the corpus.
+    """
+    n = bound if bound is not None else df.count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def _union(parts: list[DataFrame], schema: T.StructType, spark: SparkSession) -> DataFrame:
     if not parts:
         return spark.createDataFrame([], schema)
@@ -185,9 +197,9 @@ def late_rescore(candidates: DataFrame, points: DataFrame, queries: DataFrame, v
 # R2 sparse
 # ---------------------------------------------------------------------------
 
-def weighted_query_terms(query_terms: DataFrame, idf: DataFrame) -> DataFrame:
+def weighted_query_terms(query_terms: DataFrame, idf: DataFrame, n_terms: int | None = None) -> DataFrame:
     """(query_id, term, qweight) + idf; the vocabulary table is only probed."""
-    return idf.select("term", "idf").join(F.broadcast(query_terms), "term")
+    return idf.select("term", "idf").join(bounded_broadcast(query_terms, n_terms), "term")
 
 
 def sparse_scores(postings: DataFrame, idf: DataFrame, query_terms: DataFrame,
@@ -198,8 +210,9 @@ def sparse_scores(postings: DataFrame, idf: DataFrame, query_terms: DataFrame,
     term never meets a hot shuffle partition; the (query, point) sum is
     combined map-side. Only points sharing a term get a score.
     """
-    qt = weighted_query_terms(query_terms, idf)
-    m = postings.select("point_id", "term", "weight").join(F.broadcast(qt), "term")
+    n_terms = query_terms.count()          # query side only: bounded, cheap
+    qt = weighted_query_terms(query_terms, idf, n_terms)
+    m = postings.select("point_id", "term", "weight").join(bounded_broadcast(qt, n_terms), "term")
     if candidates is not None:
         c = candidates.select("query_id", "point_id")
         if candidate_bound is not None and candidate_bound <= MAX_BROADCAST_ROWS:
@@ -295,10 +308,12 @@ def dense_lsh_topk(points: DataFrame, queries: DataFrame, k: int = 10, tables: i
     planes = _hyperplanes(dim, tables, bits, seed)
     psig = lsh_signatures(points, "point_id", vec_col, planes)
     qsig = lsh_signatures(queries, "query_id", vec_col, planes)
-    cand = psig.join(F.broadcast(qsig), ["table", "bucket"]).select("query_id", "point_id").distinct()
+    n_q = queries.count()                  # query side only
+    cand = psig.join(bounded_broadcast(qsig, n_q * tables), ["table", "bucket"]) \
+        .select("query_id", "point_id").distinct()
     qv = queries.select("query_id", F.col(vec_col).alias("_q"))
     pv = points.select("point_id", F.col(vec_col).alias("_p"))
-    scored = (cand.join(F.broadcast(qv), "query_id").join(pv, "point_id")
+    scored = (cand.join(bounded_broadcast(qv, n_q), "query_id").join(pv, "point_id")
               .select("query_id", "point_id",
                       F.round(F.aggregate(F.zip_with("_p", "_q", lambda x, y: x * y), F.lit(0.0),
                                           lambda s, x: s + x), kernels.SCORE_DECIMALS).alias("score")))

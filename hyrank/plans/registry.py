@@ -142,7 +142,8 @@ def project_hits(spark: SparkSession, sf: str) -> DataFrame:
     from hyrank.operators.shape import project_hits as proj
     col, qs = corpus(spark, sf)
     hits = S.rrf_dense_sparse(col, qs)
-    return proj(hits, col.points, ["headline", "lang", "source"]).select(*HITS, "headline", "lang", "source")
+    return proj(hits, col.points, ["headline", "lang", "source"], hit_bound=qs.n * S.PAGE_SIZE) \
+        .select(*HITS, "headline", "lang", "source")
 
 
 # ---------------------------------------------------------------------------
@@ -465,8 +466,8 @@ _HEAD = "split_part(coalesce(d.text, ''), chr(10), 1)"
 _REL = f"(lower({_HEAD}) LIKE '%test%' OR lower({_HEAD}) LIKE '%qa%')"
 
 
-def _flagged(hits: DataFrame, points: DataFrame) -> DataFrame:
-    return V.relevance_flag(shape.project_hits(hits, points, ["headline"]))
+def _flagged(hits: DataFrame, points: DataFrame, bound: int | None = None) -> DataFrame:
+    return V.relevance_flag(shape.project_hits(hits, points, ["headline"], hit_bound=bound))
 
 
 @register("relevance_flag", O.with_base(
@@ -475,7 +476,8 @@ def _flagged(hits: DataFrame, points: DataFrame) -> DataFrame:
 def relevance_flag(spark: SparkSession, sf: str) -> DataFrame:
     """V1: headline contains 'test' or 'qa' (substring), on the RRF top-10."""
     col, qs = corpus(spark, sf)
-    return _flagged(S.rrf_dense_sparse(col, qs), col.points).select("query_id", "point_id", "rank", "relevant")
+    return _flagged(S.rrf_dense_sparse(col, qs), col.points, qs.n * S.PAGE_SIZE) \
+        .select("query_id", "point_id", "rank", "relevant")
 
 
 def _cut_sql(src: str, method: str) -> str:
@@ -490,7 +492,8 @@ def _cut_sql(src: str, method: str) -> str:
 def hits_at_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     """V2: relevant results among the first 50, 100, ... of the whole RRF list."""
     col, qs = corpus(spark, sf)
-    f = _flagged(S.rrf_dense_sparse(col, qs, k=None), col.points).withColumn("method", F.lit("rrf_dense_sparse"))
+    f = _flagged(S.rrf_dense_sparse(col, qs, k=None), col.points, qs.n * 2 * S.PREFETCH) \
+        .withColumn("method", F.lit("rrf_dense_sparse"))
     return V.hits_at_cutoffs(f)
 
 
@@ -543,4 +546,4 @@ def compare_methods(spark: SparkSession, sf: str) -> DataFrame:
     down to a depth of 200."""
     col, qs = corpus(spark, sf)
     runs = S.all_strategies(col, qs, _DEPTH)
-    return V.compare_methods({m: _flagged(h, col.points) for m, h in runs.items()})
+    return V.compare_methods({m: _flagged(h, col.points, qs.n * _DEPTH) for m, h in runs.items()})

@@ -8,7 +8,7 @@ the latest logged version. A lost executor only repeats its task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyrank.functions.vectors import all_tokens_dim, has_dim, sum_squares
@@ -41,9 +41,16 @@ def slice_multivector(v, tokens: int, dim: int):
 # ---------------------------------------------------------------------------
 
 def dedupe_latest(updates: DataFrame, key: str = "point_id", order_by: str = "seq") -> DataFrame:
-    """Last write wins within a batch: highest ``order_by`` per key."""
-    w = Window.partitionBy(key).orderBy(F.col(order_by).desc())
-    return updates.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """Last write wins within a batch: highest ``order_by`` per key.
+
+    A max over a struct led by ``order_by`` (ties broken by the other
+    columns, so the choice is deterministic). It combines map-side, so a
+    key updated a billion times is reduced before the shuffle.
+    """
+    rest = [c for c in updates.columns if c not in (key, order_by)]
+    best = F.max(F.struct(F.col(order_by), *[F.col(c) for c in rest])).alias("_best")
+    out = updates.groupBy(key).agg(best)
+    return out.select(key, *[F.col(f"_best.{c}").alias(c) for c in [order_by, *rest]]).select(*updates.columns)
 
 
 def upsert_points(target: DataFrame, updates: DataFrame, key: str = "point_id",
