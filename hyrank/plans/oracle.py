@@ -39,7 +39,7 @@ def _tok(src: str, id_expr: str, name: str) -> str:
 {name}_late_raw AS (
   SELECT id, term, [{', '.join(_comp('term', str(i)) for i in range(LATE_DIM))}]::DOUBLE[{LATE_DIM}] AS raw
   FROM (SELECT DISTINCT id, term FROM {name}_post)),
-{name}_late AS (
+{name}_late AS MATERIALIZED (
   SELECT id, term,
          list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw)))::FLOAT[{LATE_DIM}]::DOUBLE[{LATE_DIM}] AS v
   FROM {name}_late_raw)"""
@@ -54,16 +54,16 @@ idf AS (
   SELECT term, count(*)::BIGINT AS n,
          ln(((SELECT n FROM d_n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1.0::DOUBLE) AS idf
   FROM d_post GROUP BY term),
-dense_scores AS (
+dense_scores AS MATERIALIZED (
   SELECT q.id AS query_id, d.id AS point_id, round(sum(q.v * d.v), 6) AS score
   FROM q_dense q JOIN d_dense d USING (i) GROUP BY q.id, d.id),
-sparse_scores AS (
+sparse_scores AS MATERIALIZED (
   SELECT q.id AS query_id, d.id AS point_id, round(sum(q.weight * d.weight * idf.idf), 6) AS score
   FROM q_w q JOIN d_w d USING (term) JOIN idf USING (term) GROUP BY q.id, d.id),
-late_pairs AS (
+late_pairs AS MATERIALIZED (
   SELECT q.id AS query_id, d.id AS point_id, q.term AS qterm, max(list_dot_product(q.v, d.v)) AS m
   FROM q_late q, d_late d GROUP BY q.id, d.id, q.term),
-late_scores AS (
+late_scores AS MATERIALIZED (
   SELECT query_id, point_id, round(sum(m), 6) AS score FROM late_pairs GROUP BY query_id, point_id)"""
 
 
@@ -83,11 +83,10 @@ def rrf_sql(branches: list[str], k: int | None) -> str:
 
 
 def late_on(cands: str) -> str:
-    """MaxSim restricted to a candidate set (query_id, point_id)."""
-    return f"""(SELECT query_id, point_id, round(sum(m), 6) AS score FROM (
-  SELECT c.query_id, c.point_id, q.term, max(list_dot_product(q.v, d.v)) AS m
-  FROM {cands} c JOIN q_late q ON q.id = c.query_id JOIN d_late d ON d.id = c.point_id
-  GROUP BY c.query_id, c.point_id, q.term) GROUP BY query_id, point_id)"""
+    """MaxSim restricted to a candidate set (query_id, point_id): a pair's
+    score does not depend on the other candidates, so look it up."""
+    return f"""(SELECT l.query_id, l.point_id, l.score FROM late_scores l
+  JOIN (SELECT DISTINCT query_id, point_id FROM {cands}) c USING (query_id, point_id))"""
 
 
 def with_base(body: str) -> str:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from hyrank.operators import fuse, retrieve
 from hyrank.plans.collection import Collection, QuerySet
+from hyrank.session import work_dir
 
 # The searched system's defaults.
 PAGE_SIZE = 10
@@ -110,6 +111,7 @@ def all_strategies(col: Collection, qs: QuerySet, depth: int = 200, prefetch: in
     pass over their union. Results equal the independent strategies.
     """
     assert depth <= prefetch
+    work_dir(col.points.sparkSession)       # checkpoint() needs the shared folder
     pts, post = _filtered(col, where)
     d = retrieve.dense_topk(pts, qs.queries, prefetch).checkpoint()
     s = retrieve.sparse_topk(post, col.idf, qs.terms, prefetch).checkpoint()
