@@ -46,6 +46,17 @@ def _ensure_group_limit(spark: SparkSession, k: int | None) -> None:
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(k))
 
 
+MAX_PUSHED_TERMS = 256   # query-term IN lists up to this size are pushed to the scan (deeper lists
+                        # overflow the Parquet filter tree; larger batches scan with the broadcast join)
+
+
+def _ensure_in_pushdown(spark: SparkSession, n: int) -> None:
+    """Let Parquet evaluate IN lists of n values (default: only up to 10)."""
+    key = "spark.sql.parquet.pushdown.inFilterThreshold"
+    if n > int(spark.conf.get(key, "10")):
+        spark.conf.set(key, str(n))
+
+
 def auto_salt(n_partitions: int) -> int:
     """sqrt-fan-in for the two-level top-k; 1 (off) for small inputs."""
     return int(math.isqrt(n_partitions)) if n_partitions >= 64 else 1
@@ -212,7 +223,14 @@ def sparse_scores(postings: DataFrame, idf: DataFrame, query_terms: DataFrame,
     """
     n_terms = query_terms.count()          # query side only: bounded, cheap
     qt = weighted_query_terms(query_terms, idf, n_terms)
-    m = postings.select("point_id", "term", "weight").join(bounded_broadcast(qt, n_terms), "term")
+    post = postings.select("point_id", "term", "weight")
+    if n_terms <= MAX_PUSHED_TERMS:
+        # a literal IN list reaches the Parquet reader: term-sorted postings
+        # files and row groups outside the query terms are skipped
+        terms = [r[0] for r in query_terms.select("term").distinct().collect()]
+        _ensure_in_pushdown(postings.sparkSession, len(terms))
+        post = post.where(F.col("term").isin(terms))
+    m = post.join(bounded_broadcast(qt, n_terms), "term")
     if candidates is not None:
         c = candidates.select("query_id", "point_id")
         if candidate_bound is not None and candidate_bound <= MAX_BROADCAST_ROWS:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hyrank.operators import represent
 from hyrank.operators.retrieve import scan_partitions
-from hyrank.session import scratch_path
+from hyrank.session import scratch_path, shuffle_partitions
 from hyrank.sources import tables
 
 
@@ -68,7 +68,12 @@ def write_collection(spark: SparkSession, docs: DataFrame, path: str | None = No
     points, postings = represent.build_points(docs, "doc_id", "text", payload=payload)
     points.sortWithinPartitions("point_id").write.mode("errorifexists").parquet(f"{path}/points")
     p = spark.read.parquet(f"{path}/points")
-    postings.sortWithinPartitions("term", "point_id").write.mode("errorifexists").parquet(f"{path}/postings")
+    # Inverted-index layout: files hold narrow, sorted term ranges, so a term
+    # filter skips whole files / row groups by their min-max statistics. The
+    # secondary key lets the range partitioner split a hot term across files.
+    n_files = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
+    (postings.repartitionByRange(n_files, "term", "point_id").sortWithinPartitions("term", "point_id")
+     .write.mode("errorifexists").parquet(f"{path}/postings"))
     post = spark.read.parquet(f"{path}/postings")
     n_points = p.where(F.size("late") > 0).select(F.count(F.lit(1))).scalar()
     represent.idf_table(post, n_points).write.mode("errorifexists").parquet(f"{path}/idf")
