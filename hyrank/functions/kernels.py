@@ -107,7 +107,7 @@ def _flat_multivectors(col: pa.Array, dim: int):
         keep = np.setdiff1d(np.arange(len(ok)), bad_rows)
         return _flat_multivectors(col.take(pa.array(ok[keep])), dim) if len(keep) else (
             keep, np.empty((0, dim)), np.empty(0, np.int64))
-    tokens = inner.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    tokens = inner.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
     starts = np.concatenate([[0], np.cumsum(n_tok[ok])[:-1]]).astype(np.int64)
     return ok, tokens, starts
 
@@ -176,12 +176,38 @@ def _doc_chunks(starts: np.ndarray, n_tok_total: int, n_qtok: int):
         i = min(j, n)
 
 
+# Error bound of one float32 similarity of unit vectors (K=16 products summed
+# in float32: K * 2**-24 ~ 1e-6; taken with a 4x margin).
+SIM_EPS32 = 4e-6
+
+
+def _maxsim32(tokens32: np.ndarray, starts: np.ndarray, utok32: np.ndarray) -> np.ndarray:
+    """float32 per-(distinct query token, doc) maxima for screening."""
+    out = np.empty((len(utok32), len(starts)), dtype=np.float32)
+    for i, j in _doc_chunks(starts, len(tokens32), len(utok32)):
+        t0 = starts[i]
+        t1 = starts[j] if j < len(starts) else len(tokens32)
+        out[:, i:j] = np.maximum.reduceat(utok32 @ tokens32[t0:t1].T, starts[i:j] - t0, axis=1)
+    return out
+
+
 def late_topk_kernel(bc, k: int | None, id_col: str = "point_id", vec_col: str = "late"):
+    """Exact MaxSim top-k per query over one partition.
+
+    When k is small next to the batch, every document is first scored in
+    float32 (a third of the GEMM cost); a document can only be in the exact
+    top-k if its float32 score is within 2 * n_query_tokens * SIM_EPS32 of
+    the k-th best float32 score, and only those are rescored in float64.
+    The result is identical to the all-float64 computation.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qtok, qstarts = bc.value
         dim = qtok.shape[1]
         utok, tok_index = np.unique(qtok, axis=0, return_inverse=True)
         tok_index = tok_index.reshape(-1)
+        utok32 = utok.astype(np.float32)
+        qends = np.append(qstarts[1:], len(qtok))
+        margin = 2 * (qends - qstarts) * SIM_EPS32 + 1e-6
         buf = TopKBuffer(qids, k)
         for b in batches:
             ids_all = b.column(id_col).to_numpy(zero_copy_only=False)
@@ -189,14 +215,29 @@ def late_topk_kernel(bc, k: int | None, id_col: str = "point_id", vec_col: str =
             if len(rows) == 0:
                 continue
             ids = ids_all[rows]
-            scores = np.empty((len(qids), len(ids)))
-            for i, j in _doc_chunks(starts, len(toks), len(utok)):
-                t0 = starts[i]
-                t1 = starts[j] if j < len(starts) else len(toks)
-                scores[:, i:j] = _maxsim(toks[t0:t1], starts[i:j] - t0, utok, tok_index, qstarts)
-            scores = round_scores(scores)
-            for qi in range(len(qids)):
-                buf.add(qi, ids, scores[qi])
+            n = len(ids)
+            if k is not None and n > 4 * k:
+                approx = np.add.reduceat(_maxsim32(toks, starts, utok32)[tok_index].astype(np.float64),
+                                         qstarts, axis=0)                      # (queries, docs)
+                lens = np.diff(np.append(starts, len(toks)))
+                for qi in range(len(qids)):
+                    a = approx[qi]
+                    kth = np.partition(a, n - k)[n - k]
+                    cand = np.flatnonzero(a >= kth - margin[qi])
+                    idx, st = _gather_tokens(starts, lens, cand)
+                    qt = qtok[qstarts[qi]:qends[qi]]
+                    exact = np.maximum.reduceat(qt @ toks[idx].astype(np.float64).T, st, axis=1).sum(axis=0)
+                    buf.add(qi, ids[cand], round_scores(exact))
+            else:
+                scores = np.empty((len(qids), n))
+                for i, j in _doc_chunks(starts, len(toks), len(utok)):
+                    t0 = starts[i]
+                    t1 = starts[j] if j < len(starts) else len(toks)
+                    scores[:, i:j] = _maxsim(toks[t0:t1].astype(np.float64), starts[i:j] - t0, utok, tok_index,
+                                             qstarts)
+                scores = round_scores(scores)
+                for qi in range(len(qids)):
+                    buf.add(qi, ids, scores[qi])
         out = buf.batch()
         if out is not None:
             yield out
@@ -256,7 +297,7 @@ def late_pair_kernel(bc, vec_col: str = "late", qids_col: str = "qids"):
                 for c0, c1 in zip(bounds[:-1], bounds[1:]):
                     sel = sel_all[c0:c1]
                     idx, st = _gather_tokens(starts, lens, sel)
-                    sc = np.maximum.reduceat(qt @ toks[idx].T, st, axis=1).sum(axis=0)
+                    sc = np.maximum.reduceat(qt @ toks[idx].astype(np.float64).T, st, axis=1).sum(axis=0)
                     out_q.append(np.full(len(sel), qids[qi], np.int64))
                     out_p.append(p_all[rows[sel]])
                     out_s.append(round_scores(sc))

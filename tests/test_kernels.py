@@ -122,3 +122,24 @@ def test_dense_embed_array_normalises_and_nulls_empty():
     assert abs(np.linalg.norm(v) - 1) < 1e-6
     want = 2 * emb.vectors(["a"])[0] + emb.vectors(["b"])[0]
     assert np.allclose(v, want / np.linalg.norm(want), atol=1e-6)
+
+
+def test_late_topk_screened_path_is_exact():
+    """k small next to the batch takes the float32 screen; compare to float64."""
+    rng = np.random.default_rng(9)
+    def unit(m):
+        return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    docs = [unit(rng.standard_normal((int(n), 16))) for n in rng.integers(1, 30, 400)]
+    docs += [docs[5].copy() for _ in range(6)]                      # exact ties
+    queries = [unit(rng.standard_normal((n, 16))).astype(np.float64) for n in (12, 3, 30)]
+    qtok = np.concatenate(queries)
+    qstarts = np.cumsum([0] + [len(q) for q in queries[:-1]])
+    qids = np.array([1, 2, 3])
+    run = kernels.late_topk_kernel(_BC((qids, qtok, qstarts)), 7)
+    out = pa.Table.from_batches(list(run(iter([_late_batch(list(range(len(docs))), docs)])))).to_pydict()
+    for qi, q in zip(qids, queries):
+        scores = [round(_brute_maxsim(d.astype(np.float64), q), 6) for d in docs]
+        want = brute_topk(list(range(len(docs))), scores, 7)
+        got = [p for s, p in sorted((-s, p) for qq, p, s in zip(out["query_id"], out["point_id"], out["score"])
+                                    if qq == qi)]
+        assert got == want
