@@ -252,16 +252,51 @@ def _gather_tokens(starts: np.ndarray, lens: np.ndarray, sel: np.ndarray):
     return idx, new_starts
 
 
-def late_pair_kernel(bc, vec_col: str = "late", qids_col: str = "qids"):
+def _pair_scores(qt: np.ndarray, toks: np.ndarray, starts: np.ndarray, lens: np.ndarray, sel: np.ndarray,
+                 k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Exact MaxSim of one query against documents ``sel`` (rows of the batch);
+    with k, only a superset of the top-k (float32 screen) is scored exactly."""
+    qt32 = qt.astype(np.float32)
+    if k is not None and len(sel) > 4 * k:
+        approx = np.empty(len(sel))
+        budget = max(1, MAX_TILE_ELEMENTS // len(qt))
+        c0 = 0
+        while c0 < len(sel):
+            csum = np.cumsum(lens[sel[c0:]])
+            c1 = c0 + max(1, int(np.searchsorted(csum, budget, side="right")))
+            idx, st = _gather_tokens(starts, lens, sel[c0:c1])
+            m = np.maximum.reduceat(qt32 @ toks[idx].T, st, axis=1)
+            approx[c0:c1] = m.astype(np.float64).sum(axis=0)
+            c0 = c1
+        n = len(sel)
+        kth = np.partition(approx, n - k)[n - k]
+        sel = sel[approx >= kth - (2 * len(qt) * SIM_EPS32 + 1e-6)]
+    out = np.empty(len(sel))
+    budget = max(1, MAX_TILE_ELEMENTS // len(qt))
+    c0 = 0
+    while c0 < len(sel):
+        csum = np.cumsum(lens[sel[c0:]])
+        c1 = c0 + max(1, int(np.searchsorted(csum, budget, side="right")))
+        idx, st = _gather_tokens(starts, lens, sel[c0:c1])
+        out[c0:c1] = np.maximum.reduceat(qt @ toks[idx].astype(np.float64).T, st, axis=1).sum(axis=0)
+        c0 = c1
+    return sel, round_scores(out)
+
+
+def late_pair_kernel(bc, vec_col: str = "late", qids_col: str = "qids", k: int | None = None):
     """MaxSim for candidate pairs; each point row carries its candidate query ids.
 
-    A point's vectors cross into Python once however many queries selected it.
+    A point's vectors cross into Python once however many queries selected
+    it. With ``k`` only each query's partition-local top-k leaves the task
+    (the global top-k is within their union), found with the exact float32
+    screen; without ``k`` every pair is scored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qtok, qstarts = bc.value
         dim = qtok.shape[1]
         qends = np.append(qstarts[1:], len(qtok))
         order_q = np.argsort(qids)
+        buf = TopKBuffer(qids, k) if k is not None else None
         for b in batches:
             p_all = b.column("point_id").to_numpy(zero_copy_only=False)
             rows, toks, starts = _flat_multivectors(b.column(vec_col), dim)
@@ -273,8 +308,7 @@ def late_pair_kernel(bc, vec_col: str = "late", qids_col: str = "qids"):
             pair_q = qcol.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             pair_r = np.repeat(np.arange(len(rows)), nq)
             # map query ids to positions in this block; drop pairs of other blocks
-            pos = np.searchsorted(qids[order_q], pair_q)
-            pos = np.clip(pos, 0, len(qids) - 1)
+            pos = np.clip(np.searchsorted(qids[order_q], pair_q), 0, len(qids) - 1)
             found = qids[order_q][pos] == pair_q
             pair_qi, pair_r = order_q[pos[found]], pair_r[found]
             if len(pair_qi) == 0:
@@ -287,24 +321,21 @@ def late_pair_kernel(bc, vec_col: str = "late", qids_col: str = "qids"):
                 qi = pair_qi[g0]
                 if qends[qi] == qstarts[qi]:
                     continue
-                qt = qtok[qstarts[qi]:qends[qi]]
-                sel_all = pair_r[g0:g1]
-                budget = max(1, MAX_TILE_ELEMENTS // len(qt))
-                # tile the documents of this query so one sims matrix stays bounded
-                csum = np.cumsum(lens[sel_all])
-                cut = np.searchsorted(csum, np.arange(budget, int(csum[-1]) + budget, budget), side="left")
-                bounds = np.unique(np.r_[0, np.minimum(cut + 1, len(sel_all)), len(sel_all)])
-                for c0, c1 in zip(bounds[:-1], bounds[1:]):
-                    sel = sel_all[c0:c1]
-                    idx, st = _gather_tokens(starts, lens, sel)
-                    sc = np.maximum.reduceat(qt @ toks[idx].astype(np.float64).T, st, axis=1).sum(axis=0)
+                sel, sc = _pair_scores(qtok[qstarts[qi]:qends[qi]], toks, starts, lens, pair_r[g0:g1], k)
+                if buf is not None:
+                    buf.add(qi, p_all[rows[sel]], sc)
+                else:
                     out_q.append(np.full(len(sel), qids[qi], np.int64))
                     out_p.append(p_all[rows[sel]])
-                    out_s.append(round_scores(sc))
+                    out_s.append(sc)
             if out_q:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(out_q), pa.int64()), pa.array(np.concatenate(out_p), pa.int64()),
                      pa.array(np.concatenate(out_s), pa.float64())], schema=HIT_SCHEMA)
+        if buf is not None:
+            out = buf.batch()
+            if out is not None:
+                yield out
     return run
 
 

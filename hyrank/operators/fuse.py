@@ -46,5 +46,5 @@ def rerank(candidates: DataFrame, points: DataFrame, queries: DataFrame, k: int
            candidate_bound: int | None = None, vec_col: str = "late") -> DataFrame:
     """Rescore candidates with MaxSim; prefetch scores are discarded."""
     from hyrank.operators.retrieve import late_rescore
-    scored = late_rescore(candidates, points, queries, vec_col, candidate_bound=candidate_bound)
+    scored = late_rescore(candidates, points, queries, vec_col, candidate_bound=candidate_bound, k=k)
     return rank_hits(scored, k)

@@ -183,13 +183,15 @@ def late_topk(points: DataFrame, queries: DataFrame, k: int | None = 10, vec_col
 
 
 def late_rescore(candidates: DataFrame, points: DataFrame, queries: DataFrame, vec_col: str = "late",
-                 max_query_bytes: int = MAX_QUERY_BYTES, candidate_bound: int | None = None) -> DataFrame:
+                 max_query_bytes: int = MAX_QUERY_BYTES, candidate_bound: int | None = None,
+                 k: int | None = None) -> DataFrame:
     """MaxSim for given (query_id, point_id) pairs only.
 
     Candidates are grouped per point (a point lists at most every query of
     the block), so each point's vectors are read and shipped once. When the
     candidate set's bound is small it is broadcast and the point table is
-    filtered in place, without a shuffle of the vector table.
+    filtered in place, without a shuffle of the vector table. With ``k``
+    only each task's per-query top-k is returned (enough for a top-k rank).
     """
     spark = _spark(points)
     per_point = candidates.groupBy("point_id").agg(F.collect_list("query_id").alias("qids"))
@@ -200,7 +202,7 @@ def late_rescore(candidates: DataFrame, points: DataFrame, queries: DataFrame, v
     parts = []
     for qids, qtok, qstarts in late_query_blocks(queries, vec_col, max_query_bytes):
         bc = spark.sparkContext.broadcast((qids, qtok, qstarts))
-        parts.append(rows.mapInArrow(kernels.late_pair_kernel(bc, vec_col), HIT_SCHEMA))
+        parts.append(rows.mapInArrow(kernels.late_pair_kernel(bc, vec_col, k=k), HIT_SCHEMA))
     return _union(parts, HIT_SCHEMA, spark)
 
 

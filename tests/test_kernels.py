@@ -143,3 +143,27 @@ def test_late_topk_screened_path_is_exact():
         got = [p for s, p in sorted((-s, p) for qq, p, s in zip(out["query_id"], out["point_id"], out["score"])
                                     if qq == qi)]
         assert got == want
+
+
+def test_late_pair_kernel_topk_screen_is_exact():
+    rng = np.random.default_rng(10)
+    def unit(m):
+        return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    docs = [unit(rng.standard_normal((int(n), 16))) for n in rng.integers(1, 20, 120)]
+    docs += [docs[3].copy() for _ in range(4)]
+    queries = [unit(rng.standard_normal((n, 16))).astype(np.float64) for n in (9, 2)]
+    qtok = np.concatenate(queries)
+    qstarts = np.array([0, 9])
+    qids = np.array([5, 6])
+    cand = [[5, 6] if p % 3 else [5] for p in range(len(docs))]
+    b = _late_batch(list(range(len(docs))), docs)
+    b = pa.RecordBatch.from_arrays(b.columns + [pa.array(cand, pa.list_(pa.int64()))],
+                                   names=["point_id", "late", "qids"])
+    out = pa.Table.from_batches(list(kernels.late_pair_kernel(_BC((qids, qtok, qstarts)), k=5)(iter([b])))).to_pydict()
+    for qi, q in zip(qids, queries):
+        ps = [p for p, c in enumerate(cand) if qi in c]
+        scores = [round(_brute_maxsim(docs[p].astype(np.float64), q), 6) for p in ps]
+        want = brute_topk(ps, scores, 5)
+        got = [p for s, p in sorted((-s, p) for qq, p, s in zip(out["query_id"], out["point_id"], out["score"])
+                                    if qq == qi)]
+        assert got == want
