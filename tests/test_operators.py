@@ -121,3 +121,23 @@ def test_late_rerank_subset_of_candidates(spark):
     full = {r.point_id: r.score for r in retrieve.late_topk(pts, qs, None).collect()}
     for r in out:
         assert r.score == pytest.approx(full[r.point_id], abs=1e-9)
+
+
+def test_query_blocks_give_same_hits(spark):
+    rng = np.random.default_rng(11)
+    pts = spark.createDataFrame([(i, _unit(rng.standard_normal(8))) for i in range(200)],
+                                "point_id long, dense array<double>")
+    q = pts.select(F.col("point_id").alias("query_id"), "dense")
+    one = sorted(map(tuple, retrieve.dense_topk(pts, q, 5).collect()))
+    blocks = sorted(map(tuple, retrieve.dense_topk(pts, q, 5, max_query_bytes=2048).collect()))
+    assert one == blocks and len(one) == 1000
+    assert retrieve._n_blocks(q, F.size("dense"), 2048) > 1
+
+
+def test_bounded_broadcast_falls_back_to_shuffle(spark):
+    small = spark.range(10)
+    assert "ResolvedHint" in small.hint("broadcast")._jdf.queryExecution().analyzed().toString()
+    kept = retrieve.bounded_broadcast(small, bound=10, max_rows=5)
+    assert "broadcast" not in kept._jdf.queryExecution().analyzed().toString().lower()
+    hinted = retrieve.bounded_broadcast(small, bound=3, max_rows=5)
+    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()

@@ -47,3 +47,12 @@ def test_postings_scan_prunes_columns(spark):
     p = plan(S.sparse(col, qs, 10))
     line = [x for x in p.split("\n") if "FileScan parquet" in x and "postings" in x][0]
     assert "tf" not in line.split("ReadSchema:")[-1] and "dl" not in line.split("ReadSchema:")[-1]
+
+
+def test_small_query_batch_pushes_term_filter(spark):
+    from hyrank.plans.collection import QuerySet
+    col, qs = corpus(spark, SF_SMALL)
+    one = QuerySet(qs.queries.where(F.col("query_id") == 1), qs.terms.where(F.col("query_id") == 1), 1)
+    p = plan(S.sparse(col, one, 10))
+    line = [x for x in p.split("\n") if "FileScan parquet" in x and "postings" in x][0]
+    assert "PushedFilters: [In(term, [" in line
