@@ -28,7 +28,8 @@ HIT_SCHEMA = pa.schema([("query_id", pa.int64()), ("point_id", pa.int64()), ("sc
 
 
 def round_scores(x: np.ndarray) -> np.ndarray:
-    return np.round(x, SCORE_DECIMALS)
+    """Round to SCORE_DECIMALS; ``+ 0.0`` turns -0.0 into 0.0 (canonical zero)."""
+    return np.round(x, SCORE_DECIMALS) + 0.0
 
 
 def select_topk(ids: np.ndarray, scores: np.ndarray, k: int | None) -> np.ndarray:

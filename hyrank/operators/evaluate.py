@@ -30,7 +30,7 @@ def hits_at_cutoffs(hits: DataFrame, every: int = 50, group=("query_id", "method
     out = run.where(F.col("rank") % every == 0)
     return out.select(*group, F.col("rank").cast("long").alias("cutoff"),
                       F.col("_rel").cast("long").alias("relevant"),
-                      F.round(F.col("_rel") / F.col("rank"), 6).alias("ratio"))
+                      (F.round(F.col("_rel") / F.col("rank"), 6) + 0.0).alias("ratio"))
 
 
 def total_results(hits: DataFrame, group=("query_id", "method")) -> DataFrame:
@@ -48,4 +48,4 @@ def compare_methods(method_hits: dict[str, DataFrame], every: int = 50) -> DataF
     return cut.groupBy("method", "cutoff").agg(
         F.count(F.lit(1)).cast("long").alias("queries"),
         F.sum("relevant").cast("long").alias("relevant"),
-        F.round(F.sum("relevant") / (F.col("cutoff") * F.count(F.lit(1))), 6).alias("ratio"))
+        (F.round(F.sum("relevant") / (F.col("cutoff") * F.count(F.lit(1))), 6) + 0.0).alias("ratio"))

@@ -29,7 +29,7 @@ def rrf(branches: list[DataFrame], k: int | None = 10, c: float = RRF_C,
                         (F.lit(1.0) / (F.lit(float(c)) + (F.col("rank") - 1 + rank_base))).alias("_c"))
         contrib = part if contrib is None else contrib.unionByName(part)
     fused = contrib.groupBy("query_id", "point_id").agg(
-        F.round(F.sum("_c"), kernels.SCORE_DECIMALS).alias("score"))
+        (F.round(F.sum("_c"), kernels.SCORE_DECIMALS) + 0.0).alias("score"))
     return rank_hits(fused, k)
 
 

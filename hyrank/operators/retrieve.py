@@ -240,7 +240,7 @@ def sparse_scores(postings: DataFrame, idf: DataFrame, query_terms: DataFrame,
         m = m.join(c, ["query_id", "point_id"], "left_semi")
     s = m.groupBy("query_id", "point_id").agg(
         F.sum(F.col("qweight") * F.col("weight") * F.col("idf")).alias("score"))
-    return s.select("query_id", "point_id", F.round("score", kernels.SCORE_DECIMALS).alias("score"))
+    return s.select("query_id", "point_id", (F.round("score", kernels.SCORE_DECIMALS) + 0.0).alias("score"))
 
 
 def sparse_topk(postings: DataFrame, idf: DataFrame, query_terms: DataFrame, k: int | None = 10,
@@ -335,8 +335,8 @@ def dense_lsh_topk(points: DataFrame, queries: DataFrame, k: int = 10, tables: i
     pv = points.select("point_id", F.col(vec_col).alias("_p"))
     scored = (cand.join(bounded_broadcast(qv, n_q), "query_id").join(pv, "point_id")
               .select("query_id", "point_id",
-                      F.round(F.aggregate(F.zip_with("_p", "_q", lambda x, y: x * y), F.lit(0.0),
-                                          lambda s, x: s + x), kernels.SCORE_DECIMALS).alias("score")))
+                      (F.round(F.aggregate(F.zip_with("_p", "_q", lambda x, y: x * y), F.lit(0.0),
+                                           lambda s, x: s + x), kernels.SCORE_DECIMALS) + 0.0).alias("score")))
     return rank_hits(scored, k)
 
 

@@ -55,16 +55,16 @@ idf AS (
          ln(((SELECT n FROM d_n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1.0::DOUBLE) AS idf
   FROM d_post GROUP BY term),
 dense_scores AS MATERIALIZED (
-  SELECT q.id AS query_id, d.id AS point_id, round(sum(q.v * d.v), 6) AS score
+  SELECT q.id AS query_id, d.id AS point_id, (round(sum(q.v * d.v), 6) + 0.0) AS score
   FROM q_dense q JOIN d_dense d USING (i) GROUP BY q.id, d.id),
 sparse_scores AS MATERIALIZED (
-  SELECT q.id AS query_id, d.id AS point_id, round(sum(q.weight * d.weight * idf.idf), 6) AS score
+  SELECT q.id AS query_id, d.id AS point_id, (round(sum(q.weight * d.weight * idf.idf), 6) + 0.0) AS score
   FROM q_w q JOIN d_w d USING (term) JOIN idf USING (term) GROUP BY q.id, d.id),
 late_pairs AS MATERIALIZED (
   SELECT q.id AS query_id, d.id AS point_id, q.term AS qterm, max(list_dot_product(q.v, d.v)) AS m
   FROM q_late q, d_late d GROUP BY q.id, d.id, q.term),
 late_scores AS MATERIALIZED (
-  SELECT query_id, point_id, round(sum(m), 6) AS score FROM late_pairs GROUP BY query_id, point_id)"""
+  SELECT query_id, point_id, (round(sum(m), 6) + 0.0) AS score FROM late_pairs GROUP BY query_id, point_id)"""
 
 
 def ranked(src: str, k: int | None, where: str = "") -> str:
@@ -78,7 +78,7 @@ def ranked(src: str, k: int | None, where: str = "") -> str:
 def rrf_sql(branches: list[str], k: int | None) -> str:
     parts = " UNION ALL ".join(
         f"SELECT query_id, point_id, 1.0::DOUBLE / ({RRF_C}::DOUBLE + (rank - 1)) AS c FROM {b}" for b in branches)
-    fused = f"(SELECT query_id, point_id, round(sum(c), 6) AS score FROM ({parts}) GROUP BY query_id, point_id)"
+    fused = f"(SELECT query_id, point_id, (round(sum(c), 6) + 0.0) AS score FROM ({parts}) GROUP BY query_id, point_id)"
     return ranked(fused, k)
 
 

@@ -343,29 +343,29 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("embed_dense", O.with_base(
-    "SELECT id AS point_id, i::BIGINT AS i, round(v, 6) AS value FROM d_dense"))
+    "SELECT id AS point_id, i::BIGINT AS i, (round(v, 6) + 0.0) AS value FROM d_dense"))
 def embed_dense(spark: SparkSession, sf: str) -> DataFrame:
     """Hashing-embedder dense vectors of whole documents, one row per component."""
     d = R.embed_dense(_docs(spark, sf))
     return d.select("point_id", F.posexplode("dense").alias("i", "v")).select(
-        "point_id", F.col("i").cast("long").alias("i"), F.round(F.col("v").cast("double"), 6).alias("value"))
+        "point_id", F.col("i").cast("long").alias("i"), (F.round(F.col("v").cast("double"), 6) + 0.0).alias("value"))
 
 
 @register("bm25_weights", O.with_base(
-    "SELECT id AS point_id, term, tf, dl, round(weight, 6) AS weight FROM d_w"))
+    "SELECT id AS point_id, term, tf, dl, (round(weight, 6) + 0.0) AS weight FROM d_w"))
 def bm25_weights(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 postings of every document (whole text)."""
     p = R.bm25_weights(_docs(spark, sf))
-    return p.select("point_id", "term", "tf", "dl", F.round("weight", 6).alias("weight"))
+    return p.select("point_id", "term", "tf", "dl", (F.round("weight", 6) + 0.0).alias("weight"))
 
 
-@register("idf_table", O.with_base("SELECT term, n, round(idf, 6) AS idf FROM idf"))
+@register("idf_table", O.with_base("SELECT term, n, (round(idf, 6) + 0.0) AS idf FROM idf"))
 def idf_table(spark: SparkSession, sf: str) -> DataFrame:
     """Collection IDF per term."""
-    return R.idf_table(R.bm25_weights(_docs(spark, sf))).select("term", "n", F.round("idf", 6).alias("idf"))
+    return R.idf_table(R.bm25_weights(_docs(spark, sf))).select("term", "n", (F.round("idf", 6) + 0.0).alias("idf"))
 
 
-_LATE_COLS = ", ".join(f"round(v[{i + 1}], 6) AS v{i}" for i in range(R.LATE_DIM))
+_LATE_COLS = ", ".join(f"(round(v[{i + 1}], 6) + 0.0) AS v{i}" for i in range(R.LATE_DIM))
 
 
 @register("embed_late", O.with_base(f"SELECT id AS point_id, term, {_LATE_COLS} FROM d_late"))
@@ -377,18 +377,18 @@ def embed_late(spark: SparkSession, sf: str) -> DataFrame:
     toks = docs.select("point_id", F.array_distinct(tokens("text")).alias("toks"))
     z = toks.join(late, "point_id").select("point_id", F.explode(F.arrays_zip("toks", "late")).alias("z"))
     return z.select("point_id", F.col("z.toks").alias("term"),
-                    *[F.round(F.col("z.late")[i].cast("double"), 6).alias(f"v{i}") for i in range(R.LATE_DIM)])
+                    *[(F.round(F.col("z.late")[i].cast("double"), 6) + 0.0).alias(f"v{i}") for i in range(R.LATE_DIM)])
 
 
 @register("normalize_vectors", """SELECT vec_id AS point_id, (i - 1)::BIGINT AS i,
-  round(embedding[i] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS value
+  (round(embedding[i] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) + 0.0) AS value
 FROM embeddings, range(1, 65) r(i)""")
 def normalize_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """E5: the embeddings table L2-normalised (JVM side), one row per component."""
     e = tables.load(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding"))
     n = R.normalize_vectors(e, ["embedding"])
     return n.select("point_id", F.posexplode("embedding").alias("i", "v")).select(
-        "point_id", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("value"))
+        "point_id", F.col("i").cast("long").alias("i"), (F.round("v", 6) + 0.0).alias("value"))
 
 
 @register("build_points", O.with_base("""SELECT doc_id AS point_id,
@@ -406,11 +406,11 @@ def build_points(spark: SparkSession, sf: str) -> DataFrame:
                     "has_dense"))
 
 
-@register("build_queries", O.with_base("SELECT id AS query_id, term, round(weight, 6) AS qweight FROM q_w"))
+@register("build_queries", O.with_base("SELECT id AS query_id, term, (round(weight, 6) + 0.0) AS qweight FROM q_w"))
 def build_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Query terms of the benchmark table, document-mode BM25 weights."""
     _, qs = corpus(spark, sf)
-    return qs.terms.select("query_id", "term", F.round("qweight", 6).alias("qweight"))
+    return qs.terms.select("query_id", "term", (F.round("qweight", 6) + 0.0).alias("qweight"))
 
 
 # ---------------------------------------------------------------------------
@@ -424,7 +424,7 @@ def _norm_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 _EMB_SCORES = """en AS (SELECT vec_id AS id, i, embedding[i] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS v
   FROM embeddings, range(1, 65) r(i)),
-pair AS (SELECT q.id AS query_id, p.id AS point_id, round(sum(q.v * p.v), 6) AS score
+pair AS (SELECT q.id AS query_id, p.id AS point_id, (round(sum(q.v * p.v), 6) + 0.0) AS score
   FROM en q JOIN en p USING (i) GROUP BY q.id, p.id)"""
 
 
@@ -482,7 +482,7 @@ def relevance_flag(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cut_sql(src: str, method: str) -> str:
     return f"""SELECT query_id, '{method}' AS method, rank::BIGINT AS cutoff, rel::BIGINT AS relevant,
-  round(rel / rank, 6) AS ratio FROM (
+  (round(rel / rank, 6) + 0.0) AS ratio FROM (
   SELECT h.query_id, h.rank, sum(CASE WHEN {_REL} THEN 1 ELSE 0 END)
          OVER (PARTITION BY h.query_id ORDER BY h.rank ROWS UNBOUNDED PRECEDING) AS rel
   FROM {src} h JOIN documents d ON d.doc_id = h.point_id) WHERE rank % 50 = 0"""
@@ -538,7 +538,7 @@ _CMP_SRC = {
 
 @register("compare_methods", O.with_base(
     "SELECT method, cutoff, count(*)::BIGINT AS queries, sum(relevant)::BIGINT AS relevant, "
-    "round(sum(relevant) / (cutoff * count(*)), 6) AS ratio FROM ("
+    "(round(sum(relevant) / (cutoff * count(*)), 6) + 0.0) AS ratio FROM ("
     + " UNION ALL ".join(_cut_sql(src, m) for m, src in _CMP_SRC.items())
     + ") GROUP BY method, cutoff"))
 def compare_methods(spark: SparkSession, sf: str) -> DataFrame:
