@@ -3,7 +3,7 @@
 Ingest builds every representation in one pass over the corpus and writes
 three tables under a fresh version directory in the shared work folder:
 
-* ``points``   point_id, payload columns, dense, late   (sorted by point_id)
+* ``points``   point_id, payload columns, dense, late
 * ``postings`` point_id, term, tf, dl, weight          (sorted by term per file)
 * ``idf``      term, n, idf
 
@@ -49,6 +49,7 @@ def document_payload(docs: DataFrame) -> DataFrame:
 
 
 PAYLOAD = ["headline", "lang", "source", "n_chars"]
+TERM_SALT = 16
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -66,13 +67,15 @@ def write_collection(spark: SparkSession, docs: DataFrame, path: str | None = No
     path = path or scratch_path(spark, "collection")
     docs = spread(docs)
     points, postings = represent.build_points(docs, "doc_id", "text", payload=payload)
-    points.sortWithinPartitions("point_id").write.mode("errorifexists").parquet(f"{path}/points")
+    points.write.mode("errorifexists").parquet(f"{path}/points")
     p = spark.read.parquet(f"{path}/points")
-    # Inverted-index layout: files hold narrow, sorted term ranges, so a term
-    # filter skips whole files / row groups by their min-max statistics. The
-    # secondary key lets the range partitioner split a hot term across files.
+    # Inverted-index layout: each file is sorted by term, so a term filter
+    # skips row groups by their min-max statistics. Files are hashed on
+    # (term, salt) -- no sampling pass over the corpus, and a hot term is
+    # written by TERM_SALT tasks instead of one.
     n_files = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
-    (postings.repartitionByRange(n_files, "term", "point_id").sortWithinPartitions("term", "point_id")
+    salt = F.pmod(F.xxhash64("point_id"), F.lit(TERM_SALT))
+    (postings.repartition(n_files, F.col("term"), salt).sortWithinPartitions("term", "point_id")
      .write.mode("errorifexists").parquet(f"{path}/postings"))
     post = spark.read.parquet(f"{path}/postings")
     n_points = p.where(F.size("late") > 0).select(F.count(F.lit(1))).scalar()
