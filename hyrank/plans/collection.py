@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hyrank.operators import represent
 from hyrank.operators.retrieve import scan_partitions
-from hyrank.session import scratch_path, shuffle_partitions
+from hyrank.session import scratch_path, ship_package, shuffle_partitions
 from hyrank.sources import tables
 
 
@@ -105,6 +105,7 @@ _CACHE: dict[tuple, tuple[Collection, QuerySet]] = {}
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[Collection, QuerySet]:
     """Collection over ``documents`` and query set over ``benchmark``, built
     once per session and data directory."""
+    ship_package(spark)
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
         docs = document_payload(tables.load(spark, sf_dir, "documents"))

@@ -38,9 +38,39 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``hyrank`` importable in Python workers (the --py-files route).
+
+    The batch kernels are pickled by reference to this package, so executors
+    need it on their path. The package is zipped on the driver once per
+    application and handed to ``addPyFile``, which distributes it to every
+    executor (including ones started later).
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    dest = os.path.join(tempfile.mkdtemp(prefix="hyrank-pyfiles-"), "hyrank.zip")
+    with zipfile.ZipFile(dest, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(dest)
+    _SHIPPED.add(app)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for materialised tables and checkpoints.
 
