@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hyrank.operators import represent
 from hyrank.operators.retrieve import scan_partitions
-from hyrank.session import scratch_path, ship_package, shuffle_partitions
+from hyrank.session import scratch_path, ship_package
 from hyrank.sources import tables
 
 
@@ -72,10 +72,9 @@ def write_collection(spark: SparkSession, docs: DataFrame, path: str | None = No
     # Inverted-index layout: each file is sorted by term, so a term filter
     # skips row groups by their min-max statistics. Files are hashed on
     # (term, salt) -- no sampling pass over the corpus, and a hot term is
-    # written by TERM_SALT tasks instead of one.
-    n_files = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
+    # written by TERM_SALT tasks instead of one; AQE sizes the file count.
     salt = F.pmod(F.xxhash64("point_id"), F.lit(TERM_SALT))
-    (postings.repartition(n_files, F.col("term"), salt).sortWithinPartitions("term", "point_id")
+    (postings.repartition(F.col("term"), salt).sortWithinPartitions("term", "point_id")
      .write.mode("errorifexists").parquet(f"{path}/postings"))
     post = spark.read.parquet(f"{path}/postings")
     n_points = p.where(F.size("late") > 0).select(F.count(F.lit(1))).scalar()

@@ -47,11 +47,11 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("dense_threshold", O.with_base(O.select_hits(
-    O.ranked("dense_scores", S.PREFETCH, f"WHERE score >= {S.DENSE_THRESHOLD}"))))
+    O.ranked("dense_scores", None, f"WHERE score >= {S.DENSE_THRESHOLD}"))))
 def dense_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    """Score threshold 0.6, every hit above it down to the prefetch depth."""
+    """Every hit scoring at least 0.6, ranked (paging to the end)."""
     col, qs = corpus(spark, sf)
-    return _hits(S.dense(col, qs, S.PREFETCH, threshold=S.DENSE_THRESHOLD))
+    return _hits(S.dense(col, qs, None, threshold=S.DENSE_THRESHOLD))
 
 
 @register("sparse_topk", O.with_base(O.select_hits(O.ranked("sparse_scores", S.PAGE_SIZE))))
