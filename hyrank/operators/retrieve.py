@@ -106,10 +106,14 @@ def dense_query_blocks(queries: DataFrame, vec_col: str = "dense", max_bytes: in
         tbl = blk.toArrow()
         if tbl.num_rows == 0:
             continue
-        order = np.argsort(tbl.column("query_id").to_numpy())
-        qids = tbl.column("query_id").to_numpy()[order]
-        mat = np.stack([np.asarray(v, dtype=np.float64) for v in tbl.column(vec_col).to_pylist()])[order]
-        yield qids.astype(np.int64), mat
+        qids = tbl.column("query_id").to_numpy()
+        col = tbl.column(vec_col).combine_chunks()
+        dims = col.value_lengths().to_numpy(zero_copy_only=False)
+        if len(set(dims.tolist())) != 1:
+            raise ValueError(f"query vectors of different sizes in {vec_col}: {sorted(set(dims.tolist()))}")
+        mat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(qids), int(dims[0]))
+        order = np.argsort(qids)
+        yield qids[order].astype(np.int64), mat[order]
 
 
 def late_query_blocks(queries: DataFrame, vec_col: str = "late", max_bytes: int = MAX_QUERY_BYTES):
@@ -120,10 +124,15 @@ def late_query_blocks(queries: DataFrame, vec_col: str = "late", max_bytes: int
         if tbl.num_rows == 0:
             continue
         qids = tbl.column("query_id").to_numpy().astype(np.int64)
-        mats = [np.asarray(m, dtype=np.float64) for m in tbl.column(vec_col).to_pylist()]
-        lens = np.array([len(m) for m in mats])
+        col = tbl.column(vec_col).combine_chunks()
+        lens = col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        inner = col.flatten()
+        dims = inner.value_lengths().to_numpy(zero_copy_only=False)
+        if len(set(dims.tolist())) != 1:
+            raise ValueError(f"query token vectors of different sizes in {vec_col}")
+        toks = inner.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(dims[0]))
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-        yield qids, np.concatenate(mats, axis=0), starts
+        yield qids, toks, starts
 
 
 def bounded_broadcast(df: DataFrame, bound: int | None = None, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

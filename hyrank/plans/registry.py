@@ -166,7 +166,7 @@ def filter_points(spark: SparkSession, sf: str) -> DataFrame:
 # Sources and sinks (S1-S6), record shaping
 # ---------------------------------------------------------------------------
 
-from hyrank.session import scratch_path  # noqa: E402
+from hyrank.session import scratch_path, work_dir  # noqa: E402
 from hyrank.sources import candidates as C  # noqa: E402
 from hyrank.sources import collection_ops as CO  # noqa: E402
 from hyrank.sources import tables  # noqa: E402
@@ -432,7 +432,8 @@ pair AS (SELECT q.id AS query_id, p.id AS point_id, (round(sum(q.v * p.v), 6) +
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     """Every embedding queries the embeddings table (k-NN self-join),
     the query side split into broadcast blocks of at most 256 KiB."""
-    pts = _norm_embeddings(spark, sf)
+    work_dir(spark)
+    pts = _norm_embeddings(spark, sf).checkpoint()   # read once per query block: materialise it
     q = pts.select(F.col("point_id").alias("query_id"), "dense")
     return _hits(retrieve.dense_topk(pts, q, S.PAGE_SIZE, max_query_bytes=256 << 10))
 
