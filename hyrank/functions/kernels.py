@@ -140,6 +140,12 @@ def dense_topk_kernel(bc, k: int | None, threshold: float | None,
                         buf.add(qi, tid[keep], row[keep])
                     else:
                         buf.add(qi, tid, row)
+                if k is None:
+                    # no limit: nothing to merge, so stream hits out per tile
+                    out = buf.batch()
+                    buf = TopKBuffer(qids, k)
+                    if out is not None:
+                        yield out
         out = buf.batch()
         if out is not None:
             yield out
@@ -239,6 +245,11 @@ def late_topk_kernel(bc, k: int | None, id_col: str = "point_id", vec_col: str =
                 scores = round_scores(scores)
                 for qi in range(len(qids)):
                     buf.add(qi, ids, scores[qi])
+            if k is None:
+                out = buf.batch()
+                buf = TopKBuffer(qids, k)
+                if out is not None:
+                    yield out
         out = buf.batch()
         if out is not None:
             yield out
