@@ -49,9 +49,10 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``hyrank`` importable in Python workers (the --py-files route).
 
     The batch kernels are pickled by reference to this package, so executors
-    need it on their path. The package is zipped on the driver once per
-    application and handed to ``addPyFile``, which distributes it to every
-    executor (including ones started later).
+    need it on their path. The package's source is zipped on the driver once
+    per application and handed to ``addPyFile``, which distributes it to every
+    executor (including ones started later). Only code goes through this
+    driver-side file; no data is ever written to a machine-local folder.
     """
     sc = spark.sparkContext
     app = sc.applicationId
