@@ -141,3 +141,27 @@ def test_bounded_broadcast_falls_back_to_shuffle(spark):
     assert "broadcast" not in kept._jdf.queryExecution().analyzed().toString().lower()
     hinted = retrieve.bounded_broadcast(small, bound=3, max_rows=5)
     assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_hot_term_sparse_salted_equals_plain(spark):
+    """A term in every document (a third of all postings and more): salted
+    two-level ranking gives the same exact top-k as the single level."""
+    rows = [(i, "common " + " ".join(f"w{(i * 7 + j) % 23}" for j in range(i % 5 + 1))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "point_id long, text string")
+    post = represent.bm25_weights(docs)
+    idf = represent.idf_table(post)
+    qs = spark.createDataFrame([(1, "common w3 w5"), (2, "common")], "item_id long, text string")
+    _, terms = represent.build_queries(qs)
+    plain = sorted(map(tuple, retrieve.sparse_topk(post, idf, terms, 20, salt_buckets=1).collect()))
+    salted = sorted(map(tuple, retrieve.sparse_topk(post, idf, terms, 20, salt_buckets=9).collect()))
+    assert plain == salted and len(plain) == 40
+
+
+def test_hot_key_upsert_dedup(spark):
+    """One key updated many times in a batch reduces to its latest version."""
+    target = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "point_id long, source string, seq long")
+    upd = spark.range(2, 502).select(F.lit(1).cast("long").alias("point_id"),
+                                     F.concat(F.lit("v"), F.col("id").cast("string")).alias("source"),
+                                     F.col("id").alias("seq"))
+    got = sorted(map(tuple, CO.upsert_points(target, upd).collect()))
+    assert got == [(1, "v501", 501), (2, "b", 1)]
