@@ -165,3 +165,21 @@ def test_hot_key_upsert_dedup(spark):
                                      F.col("id").alias("seq"))
     got = sorted(map(tuple, CO.upsert_points(target, upd).collect()))
     assert got == [(1, "v501", 501), (2, "b", 1)]
+
+
+def test_public_api_roundtrip(spark):
+    from hyrank import api
+    docs = spark.createDataFrame(
+        [(1, "quality engineering and test automation", "en"), (2, "regression testing tools", "en"),
+         (3, "la cuisine française", "fr"), (4, "test automation strategy", "en")],
+        "doc_id long, text string, lang string")
+    col = api.build_collection(spark, docs, payload=["lang"])
+    qs = api.build_query_set(spark, spark.createDataFrame([(7, "test automation")], "query_id long, text string"))
+    for m in api.METHODS:
+        hits = api.search(col, qs, m, k=3, where=F.col("lang") == "en", payload=["lang"], **(
+            {"threshold": None} if m == "dense" else {}))
+        rows = hits.collect()
+        assert rows and all(r.lang == "en" for r in rows), m
+    top = api.search(col, qs, "sparse", k=10).orderBy("rank").collect()
+    assert {top[0].point_id, top[1].point_id} == {1, 4}
+    assert api.page(api.search(col, qs, "sparse", k=None), 1, 2).count() == 0
