@@ -20,7 +20,8 @@ from hyrank.session import get_spark, ship_package
 
 METHODS = tuple(strategies.STRATEGIES)
 
-__all__ = ["get_spark", "build_collection", "open_collection", "build_query_set", "search", "page", "METHODS"]
+__all__ = ["get_spark", "build_collection", "build_collection_from_vectors", "open_collection", "build_query_set",
+           "search", "page", "METHODS"]
 
 
 def build_collection(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -54,3 +55,37 @@ def search(col: Collection, qs: QuerySet, method: str = "rrf_dense_sparse", k: i
 def page(hits: DataFrame, page_no: int, size: int = strategies.PAGE_SIZE) -> DataFrame:
     """Page ``page_no`` (0-based) of a ranked hit list: a filter on the rank."""
     return retrieve.page_hits(hits, page_no, size)
+
+
+def build_collection_from_vectors(spark: SparkSession, points: DataFrame, dense_dim: int, late_dim: int,
+                                  text_col: str | None = None, payload: list[str] = (),
+                                  path: str | None = None) -> tuple[Collection, DataFrame]:
+    """Ingest points whose vectors were computed elsewhere (``point_id``,
+    ``dense`` array, ``late`` array of arrays, payload, optional text).
+
+    Rows violating the declared dimensions are returned as ``rejected`` (with
+    a reason) instead of being written; the rest are L2-normalised once, at
+    write time, and BM25 postings are built from ``text_col`` when given.
+    """
+    from hyrank.operators import represent
+    from hyrank.session import scratch_path
+    from hyrank.sources.collection_ops import validate_vectors
+    ship_package(spark)
+    path = path or scratch_path(spark, "collection")
+    valid, rejected = validate_vectors(points, dense_dim, late_dim)
+    norm = represent.normalize_vectors(valid, ["dense"], ["late"])
+    norm = norm.select("point_id", *payload,
+                       F.col("dense").cast("array<float>").alias("dense"),
+                       F.col("late").cast("array<array<float>>").alias("late"),
+                       *([F.col(text_col)] if text_col else []))
+    norm.drop(*([text_col] if text_col else [])).write.mode("errorifexists").parquet(f"{path}/points")
+    pts = spark.read.parquet(f"{path}/points")
+    if text_col:
+        post = represent.bm25_weights(points.join(valid.select("point_id"), "point_id", "left_semi")
+                                      .select("point_id", text_col), "point_id", text_col)
+    else:
+        post = spark.createDataFrame([], "point_id long, term string, tf long, dl long, weight double")
+    post.write.mode("errorifexists").parquet(f"{path}/postings")
+    p = spark.read.parquet(f"{path}/postings")
+    represent.idf_table(p).write.mode("errorifexists").parquet(f"{path}/idf")
+    return open_collection(spark, path), rejected

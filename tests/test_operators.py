@@ -183,3 +183,23 @@ def test_public_api_roundtrip(spark):
     top = api.search(col, qs, "sparse", k=10).orderBy("rank").collect()
     assert {top[0].point_id, top[1].point_id} == {1, 4}
     assert api.page(api.search(col, qs, "sparse", k=None), 1, 2).count() == 0
+
+
+def test_collection_from_external_vectors(spark):
+    from hyrank import api
+    from hyrank.plans.collection import QuerySet
+    pts = spark.createDataFrame(
+        [(1, [3.0, 4.0], [[1.0, 0.0], [0.0, 2.0]], "red fish"),
+         (2, [1.0, 0.0, 0.0], [[1.0, 0.0]], "blue fish"),          # wrong dense dimension
+         (3, [0.0, 5.0], [[0.0, 1.0]], "green fish")],
+        "point_id long, dense array<double>, late array<array<double>>, text string")
+    col, rejected = api.build_collection_from_vectors(spark, pts, 2, 2, text_col="text")
+    assert [(r.point_id, r.reason) for r in rejected.collect()] == [(2, "dense_dim")]
+    dense = {r.point_id: r.dense for r in col.points.collect()}
+    assert sorted(dense) == [1, 3] and dense[1] == pytest.approx([0.6, 0.8], abs=1e-6)
+    q = spark.createDataFrame([(9, [0.0, 1.0], [[0.0, 1.0]])], "query_id long, dense array<double>, late array<array<double>>")
+    terms = spark.createDataFrame([(9, "fish", 1.0)], "query_id long, term string, qweight double")
+    qs = QuerySet(q, terms, 1)
+    top = api.search(col, qs, "dense", k=1, threshold=None).collect()
+    assert top[0].point_id == 3 and top[0].score == pytest.approx(1.0)
+    assert {r.point_id for r in api.search(col, qs, "sparse", k=5).collect()} == {1, 3}
