@@ -411,6 +411,40 @@ def late_embed_array(tok_col: pa.Array, emb: HashEmbedder) -> pa.Array:
     return _list_of_lists(t.ravel(), np.full(len(t), dim), per_row, null_rows)
 
 
+def embed_batch(tok_col: pa.Array, emb: HashEmbedder, late_dim: int) -> tuple[pa.Array, pa.Array]:
+    """Dense and late vectors of a batch from one token dictionary.
+
+    Component i of the hashing embedder does not depend on the dimension, so
+    a token's late vector is the first ``late_dim`` components of its dense
+    token vector: one md5 pass serves both. Late vectors are one per distinct
+    token of each row (MaxSim ignores repeats and order).
+    """
+    n_tok, vecs, idx = _token_matrix(tok_col, emb)
+    n = len(n_tok)
+    dim = emb.dim
+    dense = np.zeros((n, dim))
+    late_vals = np.empty((0, late_dim))
+    per_row = np.zeros(n, np.int64)
+    if len(idx):
+        nz = np.flatnonzero(n_tok > 0)
+        starts = np.concatenate([[0], np.cumsum(n_tok)[:-1]])[nz]
+        dense[nz] = np.add.reduceat(vecs[idx], starts, axis=0)
+        row = np.repeat(np.arange(n), n_tok)
+        key = np.unique(row * len(vecs) + idx)                  # distinct (row, token), row-major
+        r, t = key // len(vecs), key % len(vecs)
+        lv = vecs[t, :late_dim]
+        norms = np.linalg.norm(lv, axis=1)
+        good = norms > 0
+        late_vals = lv[good] / norms[good][:, None]
+        per_row = np.bincount(r[good], minlength=n)
+    norms = np.linalg.norm(dense, axis=1)
+    null_d = norms == 0
+    dense = dense / np.where(null_d, 1.0, norms)[:, None]
+    dense_arr = _vectors(dense[~null_d].ravel(), np.where(null_d, 0, dim), null_d)
+    late_arr = _list_of_lists(late_vals.ravel(), np.full(len(late_vals), late_dim), per_row, per_row == 0)
+    return dense_arr, late_arr
+
+
 def dense_embed_kernel(dim: int, id_col: str, tok_col: str, out_col: str, normalize: bool = True):
     def run(batches):
         emb = HashEmbedder(dim)

@@ -122,23 +122,22 @@ def normalize_vectors(df: DataFrame, cols: list[str], multivector_cols: list[str
 def embed_all(df: DataFrame, id_col: str = "point_id", text_col: str = "text",
               dense_dim: int = DENSE_DIM, late_dim: int = LATE_DIM,
               keep: list[str] = ()) -> DataFrame:
-    """Dense and late vectors for every row in one Arrow pass (no self-join)."""
-    toks = text.tokens(text_col)
-    src = df.select(F.col(id_col), *[F.col(c) for c in keep], toks.alias("_toks"),
-                    F.array_distinct(toks).alias("_dtoks"))
+    """Dense and late vectors for every row in one Arrow pass (no self-join),
+    from one token array and one token dictionary per batch."""
+    if late_dim > dense_dim:
+        raise ValueError("late_dim must not exceed dense_dim (late vectors reuse the dense token hashes)")
+    src = df.select(F.col(id_col), *[F.col(c) for c in keep], text.tokens(text_col).alias("_toks"))
     fields = [df.schema[id_col]] + [df.schema[c] for c in keep]
     schema = T.StructType(fields + [T.StructField("dense", VEC, True), T.StructField("late", MULTIVEC, True)])
     names = [id_col, *keep]
 
     def run(batches):
         import pyarrow as pa
-        dense_emb, late_emb = text.HashEmbedder(dense_dim), text.HashEmbedder(late_dim)
+        emb = text.HashEmbedder(dense_dim)
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(n) for n in names]
-                + [kernels.dense_embed_array(b.column("_toks"), dense_emb),
-                   kernels.late_embed_array(b.column("_dtoks"), late_emb)],
-                names=names + ["dense", "late"])
+            dense, late = kernels.embed_batch(b.column("_toks"), emb, late_dim)
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [dense, late],
+                                             names=names + ["dense", "late"])
 
     return src.mapInArrow(run, schema)
 
