@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hyrank.operators import retrieve, shape
+from hyrank.operators import shape
 from hyrank.plans.collection import corpus
 from hyrank.plans import strategies as S
 
