@@ -225,7 +225,8 @@ def weighted_query_terms(query_terms: DataFrame, idf: DataFrame, n_terms: int |
 
 
 def sparse_scores(postings: DataFrame, idf: DataFrame, query_terms: DataFrame,
-                  candidates: DataFrame | None = None, candidate_bound: int | None = None) -> DataFrame:
+                  candidates: DataFrame | None = None, candidate_bound: int | None = None,
+                  allowed: DataFrame | None = None) -> DataFrame:
     """Sum over shared terms of qweight * weight * idf, per (query, point).
 
     Postings stream past a broadcast of the weighted query terms, so a hot
@@ -249,14 +250,18 @@ def sparse_scores(postings: DataFrame, idf: DataFrame, query_terms: DataFrame,
         m = m.join(c, ["query_id", "point_id"], "left_semi")
     s = m.groupBy("query_id", "point_id").agg(
         F.sum(F.col("qweight") * F.col("weight") * F.col("idf")).alias("score"))
+    if allowed is not None:
+        # payload filter: applied to the (query, point) scores, before ranking --
+        # the same result as filtering postings, without shuffling the postings
+        s = s.join(allowed.select("point_id"), "point_id", "left_semi")
     return s.select("query_id", "point_id", (F.round("score", kernels.SCORE_DECIMALS) + 0.0).alias("score"))
 
 
 def sparse_topk(postings: DataFrame, idf: DataFrame, query_terms: DataFrame, k: int | None = 10,
                 candidates: DataFrame | None = None, candidate_bound: int | None = None,
-                salt_buckets: int | None = None) -> DataFrame:
-    """R2: IDF-weighted sparse dot product top-k."""
-    s = sparse_scores(postings, idf, query_terms, candidates, candidate_bound)
+                salt_buckets: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """R2: IDF-weighted sparse dot product top-k (``allowed``: payload-filtered points)."""
+    s = sparse_scores(postings, idf, query_terms, candidates, candidate_bound, allowed)
     salt = salt_buckets if salt_buckets is not None else auto_salt(
         int(_spark(postings).conf.get("spark.sql.shuffle.partitions")))
     return rank_hits(s, k, salt)

@@ -31,11 +31,13 @@ PREFETCH = 1000
 DENSE_THRESHOLD = 0.6
 
 
-def _filtered(col: Collection, where: Column | None) -> tuple[DataFrame, DataFrame]:
+def _filtered(col: Collection, where: Column | None) -> tuple[DataFrame, DataFrame | None]:
+    """Points passing the payload filter (pushed to the scan) and, for the
+    sparse branch, the allowed ids (applied to scores before ranking)."""
     if where is None:
-        return col.points, col.postings
+        return col.points, None
     pts = col.points.where(where)
-    return pts, col.postings.join(pts.select("point_id"), "point_id", "left_semi")
+    return pts, pts.select("point_id")
 
 
 def dense(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, threshold: float | None = DENSE_THRESHOLD,
@@ -45,8 +47,8 @@ def dense(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, threshold: f
 
 
 def sparse(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, where: Column | None = None) -> DataFrame:
-    _, post = _filtered(col, where)
-    return retrieve.sparse_topk(post, col.idf, qs.terms, k)
+    _, allowed = _filtered(col, where)
+    return retrieve.sparse_topk(col.postings, col.idf, qs.terms, k, allowed=allowed)
 
 
 def late(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, where: Column | None = None) -> DataFrame:
@@ -56,36 +58,36 @@ def late(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, where: Column
 
 def rrf_dense_sparse(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch: int = PREFETCH,
                      where: Column | None = None) -> DataFrame:
-    pts, post = _filtered(col, where)
+    pts, allowed = _filtered(col, where)
     d = retrieve.dense_topk(pts, qs.queries, prefetch)
-    s = retrieve.sparse_topk(post, col.idf, qs.terms, prefetch)
+    s = retrieve.sparse_topk(col.postings, col.idf, qs.terms, prefetch, allowed=allowed)
     return fuse.rrf([d, s], k)
 
 
 def rrf_all(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch: int = PREFETCH,
             where: Column | None = None) -> DataFrame:
-    pts, post = _filtered(col, where)
+    pts, allowed = _filtered(col, where)
     d = retrieve.dense_topk(pts, qs.queries, prefetch)
-    s = retrieve.sparse_topk(post, col.idf, qs.terms, prefetch)
+    s = retrieve.sparse_topk(col.postings, col.idf, qs.terms, prefetch, allowed=allowed)
     lt = retrieve.late_topk(pts, qs.queries, prefetch)
     return fuse.rrf([d, s, lt], k)
 
 
 def rerank_late(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch: int = PREFETCH,
                 where: Column | None = None) -> DataFrame:
-    pts, post = _filtered(col, where)
+    pts, allowed = _filtered(col, where)
     d = retrieve.dense_topk(pts, qs.queries, prefetch)
-    s = retrieve.sparse_topk(post, col.idf, qs.terms, prefetch)
+    s = retrieve.sparse_topk(col.postings, col.idf, qs.terms, prefetch, allowed=allowed)
     cands = fuse.union_candidates([d, s])
     return fuse.rerank(cands, pts, qs.queries, k, candidate_bound=2 * prefetch * qs.n)
 
 
 def multistep(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch_dense: int = PREFETCH,
               prefetch_sparse: int = PREFETCH, where: Column | None = None) -> DataFrame:
-    pts, post = _filtered(col, where)
+    pts, allowed = _filtered(col, where)
     d = retrieve.dense_topk(pts, qs.queries, prefetch_dense)
-    s = retrieve.sparse_topk(post, col.idf, qs.terms, prefetch_sparse, candidates=d,
-                             candidate_bound=prefetch_dense * qs.n)
+    s = retrieve.sparse_topk(col.postings, col.idf, qs.terms, prefetch_sparse, candidates=d,
+                             candidate_bound=prefetch_dense * qs.n, allowed=allowed)
     return fuse.rerank(s, pts, qs.queries, k, candidate_bound=prefetch_sparse * qs.n)
 
 
@@ -112,12 +114,12 @@ def all_strategies(col: Collection, qs: QuerySet, depth: int = 200, prefetch: in
     """
     assert depth <= prefetch
     work_dir(col.points.sparkSession)       # checkpoint() needs the shared folder
-    pts, post = _filtered(col, where)
+    pts, allowed = _filtered(col, where)
     d = retrieve.dense_topk(pts, qs.queries, prefetch).checkpoint()
-    s = retrieve.sparse_topk(post, col.idf, qs.terms, prefetch).checkpoint()
+    s = retrieve.sparse_topk(col.postings, col.idf, qs.terms, prefetch, allowed=allowed).checkpoint()
     lt = retrieve.late_topk(pts, qs.queries, prefetch).checkpoint()
-    cascade_s = retrieve.sparse_topk(post, col.idf, qs.terms, prefetch, candidates=d,
-                                     candidate_bound=prefetch * qs.n).checkpoint()
+    cascade_s = retrieve.sparse_topk(col.postings, col.idf, qs.terms, prefetch, candidates=d,
+                                     candidate_bound=prefetch * qs.n, allowed=allowed).checkpoint()
     rr_cands = fuse.union_candidates([d, s])
     both = fuse.union_candidates([rr_cands, cascade_s])
     rescored = retrieve.late_rescore(both, pts, qs.queries, candidate_bound=3 * prefetch * qs.n).checkpoint()
