@@ -156,23 +156,34 @@ def dense_topk_kernel(bc, k: int | None, threshold: float | None,
 # Late interaction: MaxSim = sum over query tokens of max over doc tokens
 # ---------------------------------------------------------------------------
 
+QBLOCK = 256        # query-token rows per GEMM block
+TOKEN_TILE = 4096   # document tokens per tile: a 256 x 4096 block stays cache-resident
+
+
+def _segment_max(u: np.ndarray, t: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """max over each document's tokens of u . t -> (len(u), len(starts)), blocked
+    so every similarity block is reduced while it is still in cache."""
+    tt = np.ascontiguousarray(t.T)
+    out = np.empty((len(u), len(starts)), dtype=np.result_type(u, t))
+    for q0 in range(0, len(u), QBLOCK):
+        out[q0:q0 + QBLOCK] = np.maximum.reduceat(u[q0:q0 + QBLOCK] @ tt, starts, axis=1)
+    return out
+
+
 def _maxsim(tokens: np.ndarray, starts: np.ndarray, utok: np.ndarray, tok_index: np.ndarray,
             qstarts: np.ndarray) -> np.ndarray:
     """(n_queries x n_docs) MaxSim for documents given as stacked token rows.
 
     Similarities are computed once per *distinct* query token (``utok``),
     then gathered per query token via ``tok_index``. Laid out
-    query-token-major so both reductions run along contiguous memory
-    (reduceat along the slow axis is an order of magnitude slower).
+    query-token-major so both reductions run along contiguous memory.
     """
-    sims = utok @ tokens.T                                    # (n_utok, n_tok)
-    per_doc = np.maximum.reduceat(sims, starts, axis=1)       # (n_utok, n_docs)
-    return np.add.reduceat(per_doc[tok_index], qstarts, axis=0)   # (n_queries, n_docs)
+    per_doc = _segment_max(utok, tokens, starts)                    # (n_utok, n_docs)
+    return np.add.reduceat(per_doc[tok_index], qstarts, axis=0)    # (n_queries, n_docs)
 
 
-def _doc_chunks(starts: np.ndarray, n_tok_total: int, n_qtok: int):
-    """Split documents so one tile holds at most MAX_TILE_ELEMENTS sims."""
-    budget = max(1, MAX_TILE_ELEMENTS // max(1, n_qtok))
+def _doc_chunks(starts: np.ndarray, n_tok_total: int, budget: int = TOKEN_TILE):
+    """Split documents into runs of about ``budget`` tokens (one doc at least)."""
     ends = np.append(starts[1:], n_tok_total)
     i = 0
     n = len(starts)
@@ -191,10 +202,10 @@ SIM_EPS32 = 4e-6
 def _maxsim32(tokens32: np.ndarray, starts: np.ndarray, utok32: np.ndarray) -> np.ndarray:
     """float32 per-(distinct query token, doc) maxima for screening."""
     out = np.empty((len(utok32), len(starts)), dtype=np.float32)
-    for i, j in _doc_chunks(starts, len(tokens32), len(utok32)):
+    for i, j in _doc_chunks(starts, len(tokens32)):
         t0 = starts[i]
         t1 = starts[j] if j < len(starts) else len(tokens32)
-        out[:, i:j] = np.maximum.reduceat(utok32 @ tokens32[t0:t1].T, starts[i:j] - t0, axis=1)
+        out[:, i:j] = _segment_max(utok32, tokens32[t0:t1], starts[i:j] - t0)
     return out
 
 
@@ -237,7 +248,7 @@ def late_topk_kernel(bc, k: int | None, id_col: str = "point_id", vec_col: str =
                     buf.add(qi, ids[cand], round_scores(exact))
             else:
                 scores = np.empty((len(qids), n))
-                for i, j in _doc_chunks(starts, len(toks), len(utok)):
+                for i, j in _doc_chunks(starts, len(toks)):
                     t0 = starts[i]
                     t1 = starts[j] if j < len(starts) else len(toks)
                     scores[:, i:j] = _maxsim(toks[t0:t1].astype(np.float64), starts[i:j] - t0, utok, tok_index,
@@ -269,28 +280,27 @@ def _pair_scores(qt: np.ndarray, toks: np.ndarray, starts: np.ndarray, lens: np.
     """Exact MaxSim of one query against documents ``sel`` (rows of the batch);
     with k, only a superset of the top-k (float32 screen) is scored exactly."""
     qt32 = qt.astype(np.float32)
+    budget = max(TOKEN_TILE, QBLOCK * TOKEN_TILE // len(qt))
     if k is not None and len(sel) > 4 * k:
         approx = np.empty(len(sel))
-        budget = max(1, MAX_TILE_ELEMENTS // len(qt))
         c0 = 0
         while c0 < len(sel):
             csum = np.cumsum(lens[sel[c0:]])
             c1 = c0 + max(1, int(np.searchsorted(csum, budget, side="right")))
             idx, st = _gather_tokens(starts, lens, sel[c0:c1])
-            m = np.maximum.reduceat(qt32 @ toks[idx].T, st, axis=1)
+            m = _segment_max(qt32, toks[idx], st)
             approx[c0:c1] = m.astype(np.float64).sum(axis=0)
             c0 = c1
         n = len(sel)
         kth = np.partition(approx, n - k)[n - k]
         sel = sel[approx >= kth - (2 * len(qt) * SIM_EPS32 + 1e-6)]
     out = np.empty(len(sel))
-    budget = max(1, MAX_TILE_ELEMENTS // len(qt))
     c0 = 0
     while c0 < len(sel):
         csum = np.cumsum(lens[sel[c0:]])
         c1 = c0 + max(1, int(np.searchsorted(csum, budget, side="right")))
         idx, st = _gather_tokens(starts, lens, sel[c0:c1])
-        out[c0:c1] = np.maximum.reduceat(qt @ toks[idx].astype(np.float64).T, st, axis=1).sum(axis=0)
+        out[c0:c1] = _segment_max(qt, toks[idx].astype(np.float64), st).sum(axis=0)
         c0 = c1
     return sel, round_scores(out)
 
