@@ -110,7 +110,8 @@ def all_strategies(col: Collection, qs: QuerySet, depth: int = 200, prefetch: in
     are computed once and checkpointed to the shared folder; every strategy
     is derived from them. The MaxSim rescoring of both candidate sets
     (rerank: dense ∪ sparse; cascade: sparse restricted to dense) is one
-    pass over their union. Results equal the independent strategies.
+    pass over their union, minus the pairs the late prefetch already scored.
+    Results equal the independent strategies.
     """
     assert depth <= prefetch
     work_dir(col.points.sparkSession)       # checkpoint() needs the shared folder
@@ -122,7 +123,13 @@ def all_strategies(col: Collection, qs: QuerySet, depth: int = 200, prefetch: in
                                      candidate_bound=prefetch * qs.n, allowed=allowed).checkpoint()
     rr_cands = fuse.union_candidates([d, s])
     both = fuse.union_candidates([rr_cands, cascade_s])
-    rescored = retrieve.late_rescore(both, pts, qs.queries, candidate_bound=3 * prefetch * qs.n).checkpoint()
+    # a pair's MaxSim does not depend on the candidate set: reuse the scores the
+    # late prefetch already computed, rescore only the pairs it did not rank
+    keys = ["query_id", "point_id"]
+    known = lt.select(*keys, "score").join(both, keys, "left_semi")
+    missing = both.join(lt.select(*keys), keys, "left_anti")
+    rescored = known.unionByName(
+        retrieve.late_rescore(missing, pts, qs.queries, candidate_bound=3 * prefetch * qs.n)).checkpoint()
     rerank_hits = retrieve.rank_hits(rescored.join(rr_cands, ["query_id", "point_id"], "left_semi"), depth)
     cascade_hits = retrieve.rank_hits(
         rescored.join(cascade_s.select("query_id", "point_id"), ["query_id", "point_id"], "left_semi"), depth)
