@@ -38,12 +38,21 @@ def total_results(hits: DataFrame, group=("query_id", "method")) -> DataFrame:
     return hits.groupBy(*group).agg(F.count(F.lit(1)).cast("long").alias("total"))
 
 
-def compare_methods(method_hits: dict[str, DataFrame], every: int = 50) -> DataFrame:
-    """V4: all strategies on the same queries -> hit rate at every cutoff."""
+def compare_methods(method_hits: dict[str, DataFrame], every: int = 50, points: DataFrame | None = None,
+                    text_col: str = "headline", words=RELEVANCE_WORDS, hit_bound: int | None = None) -> DataFrame:
+    """V4: all strategies on the same queries -> hit rate at every cutoff.
+
+    Hits either carry ``relevant`` already, or ``points`` is given: then the
+    hit lists are unioned first and the payload is joined (and flagged) once.
+    """
     allh = None
     for name, h in method_hits.items():
-        part = h.select("query_id", "point_id", "rank", "relevant").withColumn("method", F.lit(name))
+        cols = ["query_id", "point_id", "rank"] + (["relevant"] if points is None else [])
+        part = h.select(*cols).withColumn("method", F.lit(name))
         allh = part if allh is None else allh.unionByName(part)
+    if points is not None:
+        from hyrank.operators.shape import project_hits
+        allh = relevance_flag(project_hits(allh, points, [text_col], hit_bound), text_col, words)
     cut = hits_at_cutoffs(allh, every)
     return cut.groupBy("method", "cutoff").agg(
         F.count(F.lit(1)).cast("long").alias("queries"),

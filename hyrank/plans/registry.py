@@ -547,4 +547,4 @@ def compare_methods(spark: SparkSession, sf: str) -> DataFrame:
     down to a depth of 200."""
     col, qs = corpus(spark, sf)
     runs = S.all_strategies(col, qs, _DEPTH)
-    return V.compare_methods({m: _flagged(h, col.points, qs.n * _DEPTH) for m, h in runs.items()})
+    return V.compare_methods(runs, points=col.points, hit_bound=len(runs) * qs.n * _DEPTH)
