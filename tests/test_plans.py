@@ -56,3 +56,12 @@ def test_small_query_batch_pushes_term_filter(spark):
     p = plan(S.sparse(col, one, 10))
     line = [x for x in p.split("\n") if "FileScan parquet" in x and "postings" in x][0]
     assert "PushedFilters: [In(term, [" in line
+
+
+def test_dense_threshold_scores_once(spark):
+    """The threshold is applied inside the scoring kernel: one Arrow pass over
+    the points, no score expression re-evaluated in a filter or join."""
+    col, qs = corpus(spark, SF_SMALL)
+    p = plan(S.dense(col, qs, 10, threshold=0.6))
+    assert p.count("MapInArrow") == 1
+    assert "aggregate(" not in p and "zip_with" not in p
