@@ -21,8 +21,6 @@ import pyarrow.compute as pc
 from hyrank.functions.text import HashEmbedder
 
 SCORE_DECIMALS = 6
-# Upper bound on the elements of one intermediate score matrix (float64).
-MAX_TILE_ELEMENTS = 8_000_000
 
 HIT_SCHEMA = pa.schema([("query_id", pa.int64()), ("point_id", pa.int64()), ("score", pa.float64())])
 
@@ -129,7 +127,7 @@ def dense_topk_kernel(bc, k: int | None, threshold: float | None,
             if len(rows) == 0:
                 continue
             ids = ids_all[rows]
-            step = max(1, MAX_TILE_ELEMENTS // max(1, len(qids)))
+            step = TOKEN_TILE          # points per tile: (queries x 4096) scores stay cache-sized
             for s in range(0, len(ids), step):
                 scores = round_scores(qmat @ mat[s:s + step].T)      # (queries, points)
                 tid = ids[s:s + step]
