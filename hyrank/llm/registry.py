@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from hyrank.llm import decontam, quality
+from hyrank.llm import chat, decontam, licenses, quality
 
 QUERIES = {
     "op2_quality": quality.op2,
     "op3_decontaminate": decontam.op3,
+    "op4_chat": chat.op4,
+    "op9_licenses": licenses.op9,
 }
 
 ORACLE = {
     "op3_decontaminate": decontam.ORACLE,
+    "op4_chat": chat.ORACLE,
 }
