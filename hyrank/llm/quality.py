@@ -110,7 +110,7 @@ def ftrl(rows, bits: int, alpha: float, beta: float, l1: float, l2: float, epoch
 
 def train(rows: DataFrame, text_col: str = "text", label_col: str = "label", bits: int = BITS, shards: int = SHARDS,
           alpha: float = 12.0, beta: float = 1.0, l1: float = 0.001, l2: float = 0.0, epochs: int = 6) -> np.ndarray:
-    """Average of ``shards`` FTRL models; ``rows`` must already be a bounded sample."""
+    """Average of ``shards`` FTRL models over (id, text, label) rows, which must already be a bounded sample."""
     def fit(batches):
         seen = []
         for b in tb.slices(batches):
@@ -126,9 +126,9 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "label", bit
             yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0.0]), pa.array([len(seen)])],
                                              names=["bucket", "weight", "rows"])
 
-    src = rows.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    # placed and ordered by text, so that reruns train on the same order
-    parts = (src.repartition(shards, F.xxhash64("text")).sortWithinPartitions(F.xxhash64("text", F.lit(7)), "label")
+    src = rows.select(F.xxhash64("id").alias("spot"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
+    # placed and ordered by id, so that reruns train on the same order
+    parts = (src.repartition(shards, "spot").sortWithinPartitions("spot", "label", "text")
              .mapInArrow(fit, "bucket long, weight double, rows long"))
     got = parts.groupBy("bucket").agg(F.sum("weight"), F.sum("rows")).collect()   # at most 2^bits + 1 rows
     w = np.zeros(1 << bits)
