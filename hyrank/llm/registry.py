@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hyrank.llm import chat, decontam, licenses, mixing, quality
+from hyrank.llm import chat, decontam, jaccard, licenses, mixing, quality
 
 QUERIES = {
     "op2_quality": quality.op2,
     "op3_decontaminate": decontam.op3,
     "op4_chat": chat.op4,
+    "op5_jaccard": jaccard.op5,
     "op8_mix": mixing.op8,
     "op9_licenses": licenses.op9,
 }
@@ -15,4 +16,5 @@ QUERIES = {
 ORACLE = {
     "op3_decontaminate": decontam.ORACLE,
     "op4_chat": chat.ORACLE,
+    "op5_jaccard": jaccard.ORACLE,
 }
