@@ -1,4 +1,6 @@
-"""Connected components of an edge table by alternating large-star and small-star.
+"""Connected components of links, and of links still to be found inside candidate lists.
+
+``connected_components`` alternates large-star and small-star.
 
 Each star step is a grouped minimum (combined map-side) joined back to the
 edges, so a hub of any degree splits like any skewed join. Rounds are cut
@@ -45,3 +47,42 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = now
     return cut(e.select(F.col("a").alias("id"), F.col("b").alias("component"))
                .unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct())
+
+
+def star_components(lists: DataFrame, fits, verify, rounds: int = 2):
+    """Components of the links inside candidate lists, found by stars instead of all pairs.
+
+    ``lists``: (token, cls, info); ``fits(info, info)``: a cheap condition any
+    link meets; ``verify``: pairs (a, b) -> those that link. Each round
+    compares the members of a list with one hub of it. Returns (labels
+    (id, component), links, checked pairs, lists that still span components).
+    """
+    live = lists.withColumn("component", F.col("cls"))
+    checked = links = labels = None
+    for r in range(rounds):
+        pick = (F.min if r % 2 == 0 else F.max)(F.struct("cls", "info", "component"))
+        hub = live.groupBy("token").agg(pick.alias("hub"))
+        pairs = live.join(hub, "token").where((F.col("hub.component") != F.col("component")) & fits(F.col("info"), F.col("hub.info")))
+        pairs = pairs.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
+        pairs = cut(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
+        good = cut(verify(pairs))
+        checked = pairs if checked is None else cut(checked.unionAll(pairs))
+        links = good if links is None else links.unionAll(good)
+        labels = connected_components(links)
+        live = cut(live_lists(lists, labels))
+    return labels, links, checked, live
+
+
+def live_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """List entries with their components; lists inside one component are dropped."""
+    e = lists.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    span = e.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    return e.join(span.select("token"), "token", "left_semi")
+
+
+def cross_pairs(live: DataFrame, fits, checked: DataFrame) -> DataFrame:
+    """Unchecked pairs of different components that share a list and fit."""
+    a = live.select("token", F.col("cls").alias("a"), F.col("info").alias("ia"), F.col("component").alias("ca"))
+    b = live.select("token", F.col("cls").alias("b"), F.col("info").alias("ib"), F.col("component").alias("cb"))
+    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("ia"), F.col("ib")))
+    return pairs.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")

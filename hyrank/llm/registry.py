@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from hyrank.llm import chat, decontam, jaccard, licenses, mixing, quality
+from hyrank.llm import chat, decontam, jaccard, licenses, linededup, mixing, quality
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1,
     "op2_quality": quality.op2,
     "op3_decontaminate": decontam.op3,
     "op4_chat": chat.op4,
