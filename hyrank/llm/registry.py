@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hyrank.llm import chat, decontam, jaccard, licenses, linededup, mixing, quality, suffix
+from hyrank.llm import ann, chat, decontam, jaccard, licenses, linededup, mixing, quality, suffix
 
 QUERIES = {
     "op1_line_dedup": linededup.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontaminate": decontam.op3,
     "op4_chat": chat.op4,
     "op5_jaccard": jaccard.op5,
+    "op6_ann": ann.op6,
     "op7_suffix": suffix.op7,
     "op8_mix": mixing.op8,
     "op9_licenses": licenses.op9,
