@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hyrank.llm import ann, chat, decontam, jaccard, licenses, linededup, mixing, quality, suffix
+from hyrank.llm import ann, chat, decontam, jaccard, licenses, linededup, mixing, quality, suffix, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1,
@@ -14,10 +14,12 @@ QUERIES = {
     "op7_suffix": suffix.op7,
     "op8_mix": mixing.op8,
     "op9_licenses": licenses.op9,
+    "op10_warc": warc.op10,
 }
 
 ORACLE = {
     "op3_decontaminate": decontam.ORACLE,
     "op4_chat": chat.ORACLE,
     "op5_jaccard": jaccard.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
