@@ -29,3 +29,16 @@ def fresh(df: DataFrame, base: str) -> str:
     while name in df.columns:
         name += "_"
     return name
+
+
+#: Keys of 8 bytes that may be broadcast to filter a table: 32 MB.
+FILTER_KEYS = 2_000_000
+
+
+def few(df: DataFrame, keys: DataFrame, name: str, inside: bool = True) -> DataFrame:
+    """Rows of ``df`` whose key is in (or not in) ``keys``, a written table of one column.
+
+    Up to FILTER_KEYS keys filter where the rows are; beyond it the same join is an ordinary one.
+    """
+    small = keys.limit(FILTER_KEYS + 1).count() <= FILTER_KEYS
+    return df.join(F.broadcast(keys) if small else keys, name, "left_semi" if inside else "left_anti")
