@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hyrank.llm import textbytes as tb
-from hyrank.llm.common import cut, table
+from hyrank.llm.common import cut, few, table
 
 LENGTH = 400
 GRAM = 32
@@ -44,7 +44,6 @@ BLOCKS = (128, 16, 2)
 HOT = 4096
 BATCH = 1 << 20
 PIECE = 1 << 20
-BROADCAST_ROWS = 500_000
 
 SEGMENT = "_key long, key long, seg long, start long, n long, far long"
 
@@ -119,11 +118,9 @@ def segments(docs: DataFrame, block: int) -> DataFrame:
 
 
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """Each wanted document once, with its places in an array ``at`` (broadcast only if few)."""
+    """Each wanted document once, with its places in an array ``at``."""
     per = cut(places.groupBy("_key").agg(F.collect_list(F.struct(*[c for c in places.columns if c != "_key"])).alias("at")))
-    few = (per.agg(F.sum(F.size("at") + 1)).first()[0] or 0) <= BROADCAST_ROWS
-    return docs.dropDuplicates(["_key"]).join(per, "_key") if not few else \
-        docs.join(F.broadcast(per), "_key").dropDuplicates(["_key"])
+    return few(docs, per.select("_key"), "_key").dropDuplicates(["_key"]).join(per, "_key")
 
 
 def recut(docs: DataFrame, hot: DataFrame, block: int) -> DataFrame:
@@ -327,7 +324,10 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``removed`` (merged byte runs), ``n_bytes`` and the kept bytes' ``kept`` (binary)."""
     keyed = docs.withColumn("_key", F.xxhash64(*[c for c in ("doc_id",) if c in docs.columns], F.coalesce(text_col, F.lit(""))))
     spans = repeated_spans(keyed.select("_key", F.col(text_col).alias("text")))
-    both = keyed.join(spans, "_key", "left").drop("_key")
+    spans = cut(spans)
+    names = spans.select("_key")
+    both = few(keyed, names, "_key").join(spans, "_key").unionByName(
+        few(keyed, names, "_key", inside=False).withColumn("runs", F.lit(None).cast(spans.schema["runs"].dataType))).drop("_key")
     extra = T._parse_datatype_string("removed array<struct<lo:long,hi:long>>, n_bytes long, kept binary")
     schema = T.StructType([*docs.schema.fields, *extra.fields])
     names, own = schema.names, docs.columns
