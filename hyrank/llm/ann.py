@@ -134,7 +134,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = 10, tables: int = TABL
     total = 2 * width * max(1, axes2)
 
     probe_count = probe_count or fit_probes(queries, index, k, sign, axes2, total)
-    found = _probe(queries, index, k, sign, axes2, tables, min(probe_count, total))
+    found = cut(_probe(queries, index, k, sign, axes2, tables, min(probe_count, total)))
     others = index.select("id").distinct().count() - 1
     enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, others)).select(F.col("query_id").alias("id"))
     short = cut(queries.join(enough, "id", "left_anti"))
