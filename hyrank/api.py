@@ -5,7 +5,7 @@
     col = api.build_collection(spark, docs_df, id_col="doc_id", text_col="text", payload=["title"])
     qs = api.build_query_set(spark, queries_df, id_col="qid", text_col="text")
     hits = api.search(col, qs, "rrf_dense_sparse", k=10, where=F.col("lang") == "en", payload=["title"])
-    page3 = api.page(hits, 2)
+    page3 = api.search_page(col, qs, "rrf_dense_sparse", 2)
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from hyrank.session import get_spark, ship_package
 METHODS = tuple(strategies.STRATEGIES)
 
 __all__ = ["get_spark", "build_collection", "build_collection_from_vectors", "open_collection", "build_query_set",
-           "search", "page", "METHODS"]
+           "search", "search_page", "page", "METHODS"]
 
 
 def build_collection(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -52,8 +52,16 @@ def search(col: Collection, qs: QuerySet, method: str = "rrf_dense_sparse", k: i
     return hits
 
 
+def search_page(col: Collection, qs: QuerySet, method: str = "rrf_dense_sparse", page_no: int = 0,
+                size: int = strategies.PAGE_SIZE, **params) -> DataFrame:
+    """Page ``page_no`` (0-based) of a search. The ranking is cut at the page's
+    end, so pages follow one another until the matches are used up."""
+    return retrieve.page_hits(search(col, qs, method, k=(page_no + 1) * size, **params), page_no, size)
+
+
 def page(hits: DataFrame, page_no: int, size: int = strategies.PAGE_SIZE) -> DataFrame:
-    """Page ``page_no`` (0-based) of a ranked hit list: a filter on the rank."""
+    """Page ``page_no`` (0-based) of a hit list searched with ``k=None`` or a k beyond
+    the page's end; ``search_page`` sees to that by itself."""
     return retrieve.page_hits(hits, page_no, size)
 
 

@@ -76,12 +76,14 @@ class TopKBuffer:
 
 
 def _flat_vectors(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list<double> column with exactly ``dim`` values -> (row idx, matrix)."""
+    """Non-null rows of a list<double> column -> (row idx, matrix); another size than ``dim`` is an error."""
     col = col.cast(pa.list_(pa.float64())) if col.type != pa.list_(pa.float64()) else col
     lengths = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    ok = np.flatnonzero(lengths == dim)
+    ok = np.flatnonzero(~col.is_null().to_numpy(zero_copy_only=False))
     if len(ok) == 0:
         return ok, np.empty((0, dim))
+    if np.any(lengths[ok] != dim):
+        raise ValueError(f"vector of {int(lengths[ok][lengths[ok] != dim][0])} dimensions searched with {dim}")
     if len(ok) == len(col) and col.null_count == 0:
         vals = col.flatten().to_numpy(zero_copy_only=False)
         return ok, vals.reshape(len(col), dim)
@@ -99,13 +101,7 @@ def _flat_multivectors(col: pa.Array, dim: int):
     inner = sub.flatten()
     inner_len = inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     if np.any(inner_len != dim):
-        # wrong-dimension tokens: drop those rows entirely (validated upstream)
-        bad_tok = inner_len != dim
-        row_of_tok = np.repeat(np.arange(len(ok)), n_tok[ok])
-        bad_rows = np.unique(row_of_tok[bad_tok])
-        keep = np.setdiff1d(np.arange(len(ok)), bad_rows)
-        return _flat_multivectors(col.take(pa.array(ok[keep])), dim) if len(keep) else (
-            keep, np.empty((0, dim)), np.empty(0, np.int64))
+        raise ValueError(f"token vector of {int(inner_len[inner_len != dim][0])} dimensions searched with {dim}")
     tokens = inner.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
     starts = np.concatenate([[0], np.cumsum(n_tok[ok])[:-1]]).astype(np.int64)
     return ok, tokens, starts
@@ -192,9 +188,20 @@ def _doc_chunks(starts: np.ndarray, n_tok_total: int, budget: int = TOKEN_TILE):
         i = min(j, n)
 
 
-# Error bound of one float32 similarity of unit vectors (K=16 products summed
-# in float32: K * 2**-24 ~ 1e-6; taken with a 4x margin).
-SIM_EPS32 = 4e-6
+def screen_margin(qtok: np.ndarray, toks: np.ndarray) -> float:
+    """How far a query's float32 MaxSim can move a document across another.
+
+    A float32 dot product of d terms, operands rounded to float32 first, is
+    off by at most (d + 3) * 2^-24 * |a| * |b| (to first order; taken
+    twice). A maximum moves no more than its terms, the sum adds up over the
+    query's tokens, and two documents can move towards each other. The last
+    term is the rounding of scores.
+    """
+    dim = qtok.shape[1]
+    longest = float(np.sqrt(np.einsum("ij,ij->i", toks, toks, dtype=np.float64).max())) if len(toks) else 0.0
+    total = float(np.sqrt(np.einsum("ij,ij->i", qtok, qtok, dtype=np.float64)).sum())
+    sums = len(qtok) * 2.0 ** -24 * total * longest          # adding up the maxima
+    return 2 * (2 * (dim + 3) * 2.0 ** -24 * total * longest + sums) + 10.0 ** -SCORE_DECIMALS
 
 
 def _maxsim32(tokens32: np.ndarray, starts: np.ndarray, utok32: np.ndarray) -> np.ndarray:
@@ -212,9 +219,9 @@ def late_topk_kernel(bc, k: int | None, id_col: str = "point_id", vec_col: str =
 
     When k is small next to the batch, every document is first scored in
     float32 (a third of the GEMM cost); a document can only be in the exact
-    top-k if its float32 score is within 2 * n_query_tokens * SIM_EPS32 of
-    the k-th best float32 score, and only those are rescored in float64.
-    The result is identical to the all-float64 computation.
+    top-k if its float32 score is within ``screen_margin`` of the k-th best
+    float32 score, and only those are rescored in float64. The margin
+    follows the dimension and the norms of the vectors at hand.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qtok, qstarts = bc.value
@@ -223,7 +230,6 @@ def late_topk_kernel(bc, k: int | None, id_col: str = "point_id", vec_col: str =
         tok_index = tok_index.reshape(-1)
         utok32 = utok.astype(np.float32)
         qends = np.append(qstarts[1:], len(qtok))
-        margin = 2 * (qends - qstarts) * SIM_EPS32 + 1e-6
         buf = TopKBuffer(qids, k)
         for b in batches:
             ids_all = b.column(id_col).to_numpy(zero_copy_only=False)
@@ -239,9 +245,9 @@ def late_topk_kernel(bc, k: int | None, id_col: str = "point_id", vec_col: str =
                 for qi in range(len(qids)):
                     a = approx[qi]
                     kth = np.partition(a, n - k)[n - k]
-                    cand = np.flatnonzero(a >= kth - margin[qi])
-                    idx, st = _gather_tokens(starts, lens, cand)
                     qt = qtok[qstarts[qi]:qends[qi]]
+                    cand = np.flatnonzero(a >= kth - screen_margin(qt, toks))
+                    idx, st = _gather_tokens(starts, lens, cand)
                     exact = np.maximum.reduceat(qt @ toks[idx].astype(np.float64).T, st, axis=1).sum(axis=0)
                     buf.add(qi, ids[cand], round_scores(exact))
             else:
@@ -291,7 +297,7 @@ def _pair_scores(qt: np.ndarray, toks: np.ndarray, starts: np.ndarray, lens: np.
             c0 = c1
         n = len(sel)
         kth = np.partition(approx, n - k)[n - k]
-        sel = sel[approx >= kth - (2 * len(qt) * SIM_EPS32 + 1e-6)]
+        sel = sel[approx >= kth - screen_margin(qt, toks)]
     out = np.empty(len(sel))
     c0 = 0
     while c0 < len(sel):

@@ -15,6 +15,7 @@ the corpus is still spread over many tasks.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,9 +63,16 @@ def auto_salt(n_partitions: int) -> int:
     return int(math.isqrt(n_partitions)) if n_partitions >= 64 else 1
 
 
+_NARROW = re.compile(r"^[ :+-]*(Project|Filter|Relation|RelationV2|LocalRelation|LogicalRDD|Range|Union|SubqueryAlias)\b")
+
+
 def scan_partitions(df: DataFrame) -> int:
-    """Partition count of a plain scan (no exchange, so no job is run)."""
-    return df.rdd.getNumPartitions()
+    """Partition count of a plain scan; for plans with a shuffle, which must not be run to
+    be asked, the shuffle's partition number."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if all(_NARROW.match(line) for line in plan.splitlines() if line.strip()):
+        return df.rdd.getNumPartitions()
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def rank_hits(cand: DataFrame, k: int | None, salt_buckets: int = 1,
@@ -277,11 +285,13 @@ def prefetch(hits: DataFrame, n: int) -> DataFrame:
 
 
 def page_hits(hits: DataFrame, page_no: int | None = None, size: int = 10) -> DataFrame:
-    """Rank once, then a page is a filter; ``page_no=None`` labels all."""
-    out = hits.withColumn("page", F.floor((F.col("rank") - 1) / size).cast("long"))
+    """Rank once, then a page is a rank range; ``page_no=None`` labels all.
+
+    The upper end of the range becomes a limit of the ranking itself.
+    """
     if page_no is not None:
-        out = out.where(F.col("page") == page_no)
-    return out
+        hits = hits.where((F.col("rank") > page_no * size) & (F.col("rank") <= (page_no + 1) * size))
+    return hits.withColumn("page", F.floor((F.col("rank") - 1) / size).cast("long"))
 
 
 def page_single(hits: DataFrame, offset: int, limit: int = 10) -> DataFrame:

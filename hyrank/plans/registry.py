@@ -120,6 +120,52 @@ def prefetch_union(spark: SparkSession, sf: str) -> DataFrame:
     return fuse.union_candidates([S.dense(col, qs, S.PREFETCH, threshold=None), S.sparse(col, qs, S.PREFETCH)])
 
 
+# The same fusions with a prefetch that cuts: 25 of the corpus per branch, so what a
+# branch drops shows in the result (1000 covers all documents of the small tables).
+_N = 25
+_D25, _S25, _L25 = (O.ranked(f"{b}_scores", _N) for b in ("dense", "sparse", "late"))
+_UNION25 = f"(SELECT query_id, point_id FROM {_D25} UNION SELECT query_id, point_id FROM {_S25})"
+_CASCADE25 = O.ranked(f"(SELECT s.* FROM sparse_scores s JOIN {_D25} d USING (query_id, point_id))", 15)
+
+
+@register("rrf_dense_sparse_n25", O.with_base(O.select_hits(O.rrf_sql([_D25, _S25], S.PAGE_SIZE))))
+def rrf_dense_sparse_n25(spark: SparkSession, sf: str) -> DataFrame:
+    col, qs = corpus(spark, sf)
+    return _hits(S.rrf_dense_sparse(col, qs, prefetch=_N))
+
+
+@register("rrf_all_n25", O.with_base(O.select_hits(O.rrf_sql([_D25, _S25, _L25], S.PAGE_SIZE))))
+def rrf_all_n25(spark: SparkSession, sf: str) -> DataFrame:
+    col, qs = corpus(spark, sf)
+    return _hits(S.rrf_all(col, qs, prefetch=_N))
+
+
+@register("rerank_late_n25", O.with_base(O.select_hits(O.ranked(O.late_on(_UNION25), S.PAGE_SIZE))))
+def rerank_late_n25(spark: SparkSession, sf: str) -> DataFrame:
+    col, qs = corpus(spark, sf)
+    return _hits(S.rerank_late(col, qs, prefetch=_N))
+
+
+@register("multistep_n25", O.with_base(O.select_hits(O.ranked(O.late_on(_CASCADE25), S.PAGE_SIZE))))
+def multistep_n25(spark: SparkSession, sf: str) -> DataFrame:
+    """dense:25 -> sparse:15 -> MaxSim."""
+    col, qs = corpus(spark, sf)
+    return _hits(S.multistep(col, qs, prefetch_dense=_N, prefetch_sparse=15))
+
+
+@register("prefetch_n25", O.with_base(O.select_hits(O.ranked("sparse_scores", _N))))
+def prefetch_n25(spark: SparkSession, sf: str) -> DataFrame:
+    """The best 25 of a branch ranked deeper."""
+    col, qs = corpus(spark, sf)
+    return _hits(retrieve.prefetch(S.sparse(col, qs, 100), _N))
+
+
+@register("prefetch_union_n25", O.with_base(f"SELECT query_id, point_id FROM {_UNION25}"))
+def prefetch_union_n25(spark: SparkSession, sf: str) -> DataFrame:
+    col, qs = corpus(spark, sf)
+    return fuse.union_candidates([S.dense(col, qs, _N, threshold=None), S.sparse(col, qs, _N)])
+
+
 @register("page_hits", O.with_base(
     "SELECT query_id, point_id, rank, score, ((rank - 1) // 10)::BIGINT AS page FROM "
     f"{O.rrf_sql([_D, _S], None)} WHERE rank > 20 AND rank <= 30"))
@@ -286,16 +332,16 @@ def upsert_points(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("ingest_stream", _UPSERT_SQL)
 def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same updates arriving as two files, drained by a file stream
-    (availableNow) whose micro-batches are upserted; equals S3's table."""
+    """The same updates arriving from two sources, each a file stream with a
+    checkpoint of its own, upserted batch by batch; equals S3's table."""
     from hyrank.streaming.ingest import ingest_stream as run
     target, a, b = _upsert_inputs(spark, sf)
     base = scratch_path(spark, "ingest")
     tbl = CO.VersionedTable(spark, f"{base}/table")
     tbl.commit(target)
-    a.write.parquet(f"{base}/incoming/batch=1")
-    b.write.parquet(f"{base}/incoming/batch=2")
-    run(spark, f"{base}/incoming", tbl, f"{base}/checkpoint", a.schema, max_files_per_trigger=1)
+    for n, part in enumerate((a, b)):
+        part.write.parquet(f"{base}/incoming-{n}")
+        run(spark, f"{base}/incoming-{n}", tbl, f"{base}/checkpoint-{n}", a.schema, max_files_per_trigger=1)
     return tbl.read().select("point_id", "source", "seq")
 
 

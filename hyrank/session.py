@@ -76,12 +76,15 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for materialised tables and checkpoints.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only when nothing is configured -- local runs and
-    tests -- a fresh folder under the system temp dir is created and set.
+    checkpoint dir). Only when nothing is configured and the master is local
+    (tests) a fresh folder under the system temp dir is created and set;
+    on a cluster that would be another disk on every machine, so it raises.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="hyrank-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d

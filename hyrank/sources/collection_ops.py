@@ -8,6 +8,9 @@ the latest logged version. A lost executor only repeats its task.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,28 +46,44 @@ def slice_multivector(v, tokens: int, dim: int):
 def dedupe_latest(updates: DataFrame, key: str = "point_id", order_by: str = "seq") -> DataFrame:
     """Last write wins within a batch: highest ``order_by`` per key.
 
-    A max over a struct led by ``order_by`` (ties broken by the other
-    columns, so the choice is deterministic). It combines map-side, so a
-    key updated a billion times is reduced before the shuffle.
+    ``max_by`` over a struct of the other columns, which may hold maps and
+    vectors; equal ``order_by`` values are decided by a digest of the row, so
+    the choice is deterministic. Combines map-side: a key updated a billion
+    times is reduced before the shuffle.
     """
     rest = [c for c in updates.columns if c not in (key, order_by)]
-    best = F.max(F.struct(F.col(order_by), *[F.col(c) for c in rest])).alias("_best")
-    out = updates.groupBy(key).agg(best)
+    if not rest:
+        return updates.groupBy(key).agg(F.max(order_by).alias(order_by)).select(*updates.columns)
+    row = F.struct(*[F.col(c) for c in rest])
+    best = F.max_by(F.struct(F.col(order_by), *[F.col(c) for c in rest]), F.struct(F.col(order_by), F.md5(F.to_json(row))))
+    out = updates.groupBy(key).agg(best.alias("_best"))
     return out.select(key, *[F.col(f"_best.{c}").alias(c) for c in [order_by, *rest]]).select(*updates.columns)
 
 
 def upsert_points(target: DataFrame, updates: DataFrame, key: str = "point_id",
                   order_by: str = "seq") -> DataFrame:
-    """S3: replace-by-key. Rows of ``target`` whose key is updated are
-    dropped (anti join), the deduplicated updates are added. Idempotent:
-    applying the same batch twice gives the same table."""
-    latest = dedupe_latest(updates, key, order_by)
-    keep = target.join(latest.select(key), key, "left_anti")
-    return keep.unionByName(latest.select(*target.columns))
+    """S3: replace-by-key, highest ``order_by`` wins, target rows included.
+
+    So applying a batch twice, or an old batch after a newer one, changes
+    nothing. Rows of other keys pass through untouched.
+    """
+    keys = updates.select(key).distinct()
+    keep = target.join(keys, key, "left_anti")
+    rivals = target.join(keys, key, "left_semi").unionByName(updates.select(*target.columns))
+    return keep.unionByName(dedupe_latest(rivals, key, order_by))
+
+
+LOG_SCHEMA = "version long, stream string, epoch long, data string"
 
 
 class VersionedTable:
-    """Immutable version directories plus an append-only version log."""
+    """Immutable data directories plus an append-only version log.
+
+    Data goes to a fresh directory first; the log row that names it publishes
+    it. A directory without a log row (a crash between the two) is garbage
+    that nobody reads, and never in the way of the next commit. One writer
+    at a time.
+    """
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
@@ -74,39 +93,46 @@ class VersionedTable:
     def log_path(self) -> str:
         return f"{self.base}/_log"
 
-    def current_version(self) -> int:
+    def _log(self) -> DataFrame | None:
+        """The log, or None before the first commit; any other failure rises."""
         try:
-            v = self.spark.read.parquet(self.log_path).agg(F.max("version")).first()[0]
-        except Exception:  # noqa: BLE001 - no log yet
-            return 0
-        return int(v or 0)
+            return self.spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def current_version(self) -> int:
+        log = self._log()
+        return int(log.agg(F.max("version")).first()[0] or 0) if log is not None else 0
 
     def path(self, version: int) -> str:
-        return f"{self.base}/v={version:08d}"
+        log = self._log()
+        row = log.where(F.col("version") == version).select("data").first() if log is not None else None
+        if row is None:
+            raise ValueError(f"no version {version} in {self.base}")
+        return f"{self.base}/{row[0]}"
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.current_version() if version is None else version
         return self.spark.read.parquet(self.path(v))
 
-    def committed_epochs(self) -> set[int]:
-        try:
-            rows = self.spark.read.parquet(self.log_path).where(F.col("epoch").isNotNull()) \
-                .select("epoch").distinct().collect()
-        except Exception:  # noqa: BLE001 - no log yet
-            return set()
-        return {int(r[0]) for r in rows}
+    def committed(self, stream: str, epoch: int) -> bool:
+        """Was this micro-batch of this stream published? Epochs count per stream."""
+        log = self._log()
+        return log is not None and not log.where((F.col("stream") == stream) & (F.col("epoch") == epoch)).isEmpty()
 
-    def commit(self, df: DataFrame, epoch: int | None = None) -> int:
+    def commit(self, df: DataFrame, stream: str | None = None, epoch: int | None = None) -> int:
         v = self.current_version() + 1
-        df.write.mode("errorifexists").parquet(self.path(v))
-        self.spark.createDataFrame([(v, epoch)], "version long, epoch long") \
-            .write.mode("append").parquet(self.log_path)
+        data = f"data-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(f"{self.base}/{data}")
+        self.spark.createDataFrame([(v, stream, epoch, data)], LOG_SCHEMA).write.mode("append").parquet(self.log_path)
         return v
 
     def upsert(self, updates: DataFrame, key: str = "point_id", order_by: str = "seq",
-               epoch: int | None = None) -> int:
+               stream: str | None = None, epoch: int | None = None) -> int:
         cur = self.read()
-        return self.commit(upsert_points(cur, updates.select(*cur.columns), key, order_by), epoch)
+        return self.commit(upsert_points(cur, updates.select(*cur.columns), key, order_by), stream, epoch)
 
 
 def write_snapshot(df: DataFrame, base: str, version: str) -> str:

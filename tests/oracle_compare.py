@@ -18,6 +18,10 @@ import __spark_entry__ as E  # noqa: E402
 from hyrank.sources.tables import TABLES  # noqa: E402
 
 
+#: Approximate by design; recall is tested. Queries of the optional folder have tests of their own.
+NO_ORACLE = {"dense_lsh_topk", "lsh_recall"}
+
+
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -42,7 +46,7 @@ def compare(spark, key: str, sf_dir: str, con=None) -> tuple[bool, str]:
     t1 = time.time()
     sql = E.oracle_sql().get(key)
     if sql is None:
-        return True, f"{key}: spark rows={len(s)} ({t1 - t0:.1f}s), no oracle"
+        return key in NO_ORACLE or key.startswith("op") or key == "pipeline", f"{key}: spark rows={len(s)} ({t1 - t0:.1f}s), no oracle"
     o = con.sql(sql).df()
     t2 = time.time()
     if sorted(s.columns) != sorted(o.columns):

@@ -5,6 +5,7 @@ import hashlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from hyrank.functions import kernels
 from hyrank.functions.text import HashEmbedder, hash_component_sql
@@ -167,3 +168,28 @@ def test_late_pair_kernel_topk_screen_is_exact():
         got = [p for s, p in sorted((-s, p) for qq, p, s in zip(out["query_id"], out["point_id"], out["score"])
                                     if qq == qi)]
         assert got == want
+
+
+@pytest.mark.parametrize("dim", [16, 128])
+@pytest.mark.parametrize("scale", [1.0, 1000.0])
+def test_late_screen_is_exact_for_any_norm_and_dimension(dim, scale):
+    """Near ties: the float32 screen must not lose a true hit."""
+    rng = np.random.default_rng(dim)
+    base = rng.standard_normal(dim)
+    toks = (base + 1e-6 * rng.standard_normal((2000, dim))).astype(np.float32)
+    q = scale * rng.standard_normal((4, dim))
+    sims = q @ toks.astype(np.float64).T
+    exact = kernels.round_scores(sims.sum(axis=0))
+    want = sorted(np.lexsort((np.arange(2000), -exact))[:10].tolist())
+    bc = type("B", (), {"value": (np.array([0]), q, np.array([0]))})()
+    b = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), pa.array([[t] for t in toks.tolist()], pa.list_(pa.list_(pa.float32())))],
+                                   names=["point_id", "late"])
+    got = [r for out in kernels.late_topk_kernel(bc, 10)(iter([b])) for r in out.column("point_id").to_pylist()]
+    assert sorted(got) == want
+
+
+def test_wrong_dimension_raises():
+    bc = type("B", (), {"value": (np.array([0]), np.ones((1, 16)))})()
+    b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([[1.0] * 32])], names=["point_id", "dense"])
+    with pytest.raises(ValueError, match="32 dimensions searched with 16"):
+        list(kernels.dense_topk_kernel(bc, 3, None)(iter([b])))
