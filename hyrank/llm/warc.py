@@ -10,9 +10,10 @@ Reading. Spark's text reader cuts the files, in splits, at the magic
 ``WARC/1.``. Every piece's byte offset is the sum of the lengths before it in
 its file. A piece whose head parses is a candidate record and says where its
 successor starts (head + Content-Length + 4). Payloads may contain the magic, even whole fake
-records, so candidates prove nothing; only the chain from offset 0 does. Pointer
-jumping follows it: each round the reached set takes one jump and the jumps double,
-so a file of n records needs about log2(n) rounds of joins on (file, offset). Unreached
+records, so candidates prove nothing; only the chain from offset 0 does. A task
+shortens the pointers of its split's candidates to where their chains leave the split; pointer
+jumping then crosses splits: each round the reached set takes one jump and the jumps double,
+so a file of n splits needs about log2(n) rounds of joins on (file, offset). Unreached
 pieces are payload bytes of the record before them and are put back there.
 
 Null html: empty payload. Null url: empty target. Null page_id: written
@@ -23,6 +24,7 @@ their payload are responses. Only plain (uncompressed) archives can be split.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,25 +136,76 @@ def offsets(found: DataFrame) -> DataFrame:
     return found.withColumn("next", jump).drop("base", "end")
 
 
+def _by_split(candidates: DataFrame, one_split, schema: str) -> DataFrame:
+    """``one_split(lo, next, entry)`` -> (lo, value) lists, for the candidates of each split in order of offset."""
+    src = candidates.repartition("file", "block").sortWithinPartitions("file", "block", "lo")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        key, rows = None, []
+
+        def close():
+            if rows:
+                lo, value = one_split(*zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(lo), pa.string()), pa.array(lo, pa.int64()),
+                                                  pa.array(value, pa.int64())], names=names)
+
+        for b in batches:
+            for file, block, *row in zip(*(b.column(c).to_pylist() for c in ("file", "block", "lo", "next", "entry"))):
+                if (file, block) != key:
+                    yield from close()
+                    key, rows = (file, block), []
+                rows.append(row)
+        yield from close()
+
+    return src.mapInArrow(run, schema)
+
+
+def exits(lo, nxt, entry) -> tuple[list[int], list[int]]:
+    """Where the chain from each candidate first leaves the split (or meets no candidate)."""
+    place = {x: i for i, x in enumerate(lo)}
+    out = list(nxt)
+    for i in range(len(lo) - 1, -1, -1):
+        j = place.get(nxt[i], -1)
+        if j > i:
+            out[i] = out[j]
+    return list(lo), out
+
+
+def walked(lo, nxt, entry) -> tuple[list[int], list[int]]:
+    """The candidates of the split on a chain from one of its entries."""
+    due, kept, after = set(), [], []
+    for x, y, e in zip(lo, nxt, entry):
+        if e or x in due:
+            kept.append(x)
+            after.append(y)
+            due.add(y)
+    return kept, after
+
+
 def reached(found: DataFrame) -> DataFrame:
-    """(file, lo) of the records on the chain from the start of each file, by pointer jumping."""
-    jumps = cut(found.where(F.col("length").isNotNull()).select("file", "lo", "next"))
+    """(file, lo) of the records on the chain from the start of each file.
+
+    Inside a split a candidate's pointer is first shortened to where its chain leaves
+    the split. Pointer jumping then only has to cross splits.
+    """
+    nodes = found.where(F.col("length").isNotNull()).select("file", "block", "lo", "next")
+    jumps = cut(_by_split(nodes.withColumn("entry", F.lit(False)), exits, "file string, lo long, next long"))
     real = jumps.select("file", F.col("lo").alias("next"))
     # a jump that ends nowhere (end of file, or a fake) leads no further
     jumps = cut(jumps.join(real, ["file", "next"], "left_semi"))
-    got = cut(found.where((F.col("lo") == 0) & F.col("length").isNotNull()).select("file", "lo"))
-    frontier = got.count()
-    while frontier:
+    got = cut(nodes.where(F.col("lo") == 0).select("file", "lo"))
+    count = got.count()
+    while count and not jumps.isEmpty():
         more = got.join(jumps, ["file", "lo"]).select("file", F.col("next").alias("lo"))
-        grown = cut(got.unionAll(more).distinct())
-        n = grown.count()
-        done = n == got.count()
-        got = grown
-        if done:
+        got = cut(got.unionAll(more).distinct())
+        count, before = got.count(), count
+        if count == before:
             break
         second = jumps.select("file", F.col("lo").alias("next"), F.col("next").alias("after"))
         jumps = cut(jumps.join(second, ["file", "next"]).select("file", "lo", F.col("after").alias("next")))
-    return got
+    marked = nodes.join(got.withColumn("hit", F.lit(True)), ["file", "lo"], "left").withColumn("entry", F.col("hit").isNotNull())
+    return cut(_by_split(marked.drop("hit"), walked, "file string, lo long, next long").select("file", "lo"))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
