@@ -18,11 +18,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def words_sql(col: str, separators: str) -> Column:
-    """The words of a text as an array, JVM side."""
-    return F.expr(f"filter(split({col}, '{separators}'), w -> w != '')")
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (inputs may carry any columns)."""
     name = base
@@ -31,6 +26,20 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others out of the way in a struct ``_rest``.
+
+    So a column that the caller happens to call ``score`` or ``size`` never meets an operator's own.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*names, (F.struct(*others) if others else F.lit(None).cast("int")).alias("_rest"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, *names: str) -> list[Column]:
+    """The columns of ``docs`` in order, from a frame made by ``packed``."""
+    return [(F.col(c) if c in names else F.col("_rest").getField(c)).alias(c) for c in docs.columns]
+
+
 #: Keys of 8 bytes that may be broadcast to filter a table: 32 MB.
 FILTER_KEYS = 2_000_000
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hyrank.llm import textbytes as tb
-from hyrank.llm.common import table
+from hyrank.llm.common import packed, table, unpacked
 
 WINDOW = 10
 MAX_WINDOWS = 500_000
@@ -132,7 +132,7 @@ def _merge(runs) -> list[tuple[int, int]]:
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text",
                   window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """``docs`` plus a struct ``found``: n_words, runs of hit words, items, and spans in characters of the text."""
+    """``docs`` plus a struct ``found`` (replaced if there): n_words, runs of hit words, items, and spans in characters of the text."""
     spark = docs.sparkSession
     wins = windows(items, id_col, text_col, window)
     wins = wins.persist()
@@ -190,8 +190,8 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of any benchmark item go."""
-    out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return out.where(F.size("found.runs") == 0).select(*docs.columns)
+    out = decontaminate(packed(docs, "text"), table(spark, sf_dir, "benchmark")).where(F.size("found.runs") == 0)
+    return out.select(*unpacked(out, docs, "text"))
 
 
 ORACLE = r"""

@@ -32,6 +32,11 @@ from hyrank.llm.common import table
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 
+def _pattern(p: str) -> re.Pattern:
+    """Texts are matched as Latin-1 over UTF-8 bytes, so only ASCII is a word character or a space."""
+    return re.compile(p, re.A)
+
+
 class Rule(NamedTuple):
     label: str
     priority: int
@@ -106,17 +111,17 @@ SENTENCES = [
 
 def _family_rules(label, name, keyword, versions):
     under = r"(?:licen[cs]ed|released|distributed|published|available|provided)\s+under\s+(?:the\s+terms\s+of\s+)?(?:the\s+)?"
-    yield Rule(label, 30, keyword, re.compile(under + name), 0.9)
-    yield Rule(label, 10, keyword, re.compile(r"\b" + name), 0.6)
-    yield Rule(label, 50, "spdx", re.compile(r"spdx-license-identifier:\s*" + re.escape(label) + r"\b[-\w.+]*"), 1.0)
+    yield Rule(label, 30, keyword, _pattern(under + name), 0.9)
+    yield Rule(label, 10, keyword, _pattern(r"\b" + name), 0.6)
+    yield Rule(label, 50, "spdx", _pattern(r"spdx-license-identifier:\s*" + re.escape(label) + r"\b[-\w.+]*"), 1.0)
     for v in versions:
         num = re.escape(v.removesuffix(".0")) + r"(?:\.0)?(?![.\d]*\d)"
         ver = r",?\s+(?:version|v\.?)?\s*" + num
         later = r"(?:\s+or\s+(?:\(at\s+your\s+option\)\s+)?(?:any\s+)?later(?:\s+version)?)?"
-        yield Rule(f"{label}-{v}", 40, keyword, re.compile(under + name + ver + later), 1.0)
-        yield Rule(f"{label}-{v}", 20, keyword, re.compile(r"\b" + name + ver + later), 0.8)
+        yield Rule(f"{label}-{v}", 40, keyword, _pattern(under + name + ver + later), 1.0)
+        yield Rule(f"{label}-{v}", 20, keyword, _pattern(r"\b" + name + ver + later), 0.8)
         short = r"\b" + re.escape(label) + r"[- ]?v?" + num
-        yield Rule(f"{label}-{v}", 15, label, re.compile(short), 0.7)
+        yield Rule(f"{label}-{v}", 15, label, _pattern(short), 0.7)
 
 
 def _cc_rules():
@@ -124,21 +129,21 @@ def _cc_rules():
         parts = kind.split("-")
         short = r"\bcc[- ]" + r"[- ]".join(parts) + r"(?![- ](?:sa|nc|nd)\b)"
         long = r"creative\s+commons\s+" + r"[- ,]+".join(CC_PARTS[p] for p in parts) + r"(?![- ]+(?:share|non|no[- ]?deriv))"
-        yield Rule(f"cc-{kind}", 12, "cc", re.compile(short + r"\b"), 0.7)
-        yield Rule(f"cc-{kind}", 12, "creative commons", re.compile(long), 0.8)
+        yield Rule(f"cc-{kind}", 12, "cc", _pattern(short + r"\b"), 0.7)
+        yield Rule(f"cc-{kind}", 12, "creative commons", _pattern(long), 0.8)
         for v in CC_VERSIONS:
             num = re.escape(v)
-            yield Rule(f"cc-{kind}-{v}", 22, "cc", re.compile(short + r"[- ]" + num), 0.9)
+            yield Rule(f"cc-{kind}-{v}", 22, "cc", _pattern(short + r"[- ]" + num), 0.9)
             yield Rule(f"cc-{kind}-{v}", 32, "creative commons",
-                       re.compile(long + r"(?:\s+(?:international|unported|generic))?\s+" + num), 1.0)
+                       _pattern(long + r"(?:\s+(?:international|unported|generic))?\s+" + num), 1.0)
             yield Rule(f"cc-{kind}-{v}", 42, "creativecommons.org",
-                       re.compile(r"creativecommons\.org/licenses/" + re.escape(kind) + "/" + num), 1.0)
+                       _pattern(r"creativecommons\.org/licenses/" + re.escape(kind) + "/" + num), 1.0)
 
 
 def rules() -> list[Rule]:
     """All rules in order: priority first, then as listed."""
     out = [r for f in FAMILIES for r in _family_rules(*f)] + list(_cc_rules())
-    out += [Rule(label, 14, keyword, re.compile(p), 0.7) for label, keyword, p in SENTENCES]
+    out += [Rule(label, 14, keyword, _pattern(p), 0.7) for label, keyword, p in SENTENCES]
     return sorted(out, key=lambda r: -r.priority)
 
 
@@ -187,10 +192,12 @@ class Scanner:
             self.gate.add_word(keyword, ns)
         self.gate.make_automaton()
 
-    def scan(self, low: str) -> list[tuple[int, int, int]]:
-        """(start, end, rule) kept after suppression; ``low`` is the lower-cased text as Latin-1 bytes."""
+    def scan(self, raw: bytes) -> list[tuple[int, int, int]]:
+        """(start, end, rule) kept after suppression; ``raw`` is the lower-cased text."""
+        low = raw.decode("latin-1")
         due: set[int] = set()
-        for _, ns in self.gate.iter(low):
+        # patterns take any run of spaces for one, so the keywords are looked for with single spaces
+        for _, ns in self.gate.iter(b" ".join(raw.split()).decode("latin-1")):
             if ns[0] not in due:
                 due.update(ns)
         found = [(n, m.start(), m.end()) for n in due for m in self.rules[n].pattern.finditer(low) if m.end() > m.start()]
@@ -235,7 +242,7 @@ def scan_text(text: str | None) -> dict:
             base.add(label)
             at = norm.find(phrase, at + 1)
     s = scanner()
-    kept = s.scan(raw.translate(_LOWER).decode("latin-1"))
+    kept = s.scan(raw.translate(_LOWER))
     spans = []
     if kept:
         chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
@@ -246,7 +253,8 @@ def scan_text(text: str | None) -> dict:
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", out: str = "found") -> DataFrame:
-    """``docs`` plus a struct ``out`` (see FOUND)."""
+    """``docs`` plus a struct ``out`` (see FOUND; replaced if there)."""
+    docs = docs.drop(out)
     def run(batches):
         for b in batches:
             got = pa.array([scan_text(t.as_py()) for t in b.column(text_col)], _ARROW)

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hyrank.llm.common import cut, table
+from hyrank.llm.common import cut, fresh, packed, table, unpacked
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -164,7 +164,8 @@ def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block_words: in
         max_blocks: int = MAX_BLOCKS, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``docs`` plus a struct ``mixed``: size, source_size, target, times, and the shards of its draws.
 
-    ``times`` is how often the document is taken, 0 included.
+    ``times`` is how often the document is taken, 0 included. Other columns than doc_id,
+    text and source must not bear names used here (``packed`` puts any columns out of the way).
     """
     base = sized(docs)
     key = F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(("doc_id", "text")) if c in docs.columns])
@@ -258,5 +259,6 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: one row per draw, with its shard."""
-    drawn = mix(docs).select(*docs.columns, "mixed")
-    return drawn.select(*docs.columns, F.explode("mixed.shards").alias("shard"))
+    names = ("doc_id", "text", "source")
+    drawn = mix(packed(docs, *names))
+    return drawn.select(*unpacked(drawn, docs, *names), F.explode("mixed.shards").alias(fresh(docs, "shard")))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hyrank.llm import textbytes as tb
-from hyrank.llm.common import table
+from hyrank.llm.common import packed, table, unpacked
 
 BITS = 18
 SAMPLE_ROWS = 12_000
@@ -142,7 +142,8 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "label", bit
 
 
 def score(docs: DataFrame, weights: np.ndarray, out: str = "score", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``out``: the probability of label 1, from the whole text."""
+    """``docs`` with a column ``out`` (replaced if there): the probability of label 1, from the whole text."""
+    docs = docs.drop(out)
     bits = int(len(weights)).bit_length() - 1
     model = docs.sparkSession.sparkContext.broadcast(weights)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
@@ -183,4 +184,5 @@ def op2(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold go; all columns of the rest stay."""
     w = train(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    return score(docs, w, "_quality").where(F.col("_quality") >= THRESHOLD).drop("_quality")
+    out = score(packed(docs, "text"), w, "_quality").where(F.col("_quality") >= THRESHOLD)
+    return out.select(*unpacked(out, docs, "text"))
