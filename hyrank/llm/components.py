@@ -49,16 +49,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
                .unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct())
 
 
-def star_components(lists: DataFrame, fits, verify, rounds: int = 2):
+def star_components(lists: DataFrame, fits, verify, links: DataFrame | None = None, checked: DataFrame | None = None, rounds: int = 2):
     """Components of the links inside candidate lists, found by stars instead of all pairs.
 
     ``lists``: (token, cls, info); ``fits(info, info)``: a cheap condition any
     link meets; ``verify``: pairs (a, b) -> those that link. Each round
-    compares the members of a list with one hub of it. Returns (labels
+    compares the members of a list with one hub of it. ``links`` and ``checked``:
+    what is known from elsewhere. Returns (labels
     (id, component), links, checked pairs, lists that still span components).
     """
-    live = lists.withColumn("component", F.col("cls"))
-    checked = links = labels = None
+    labels = None if links is None else connected_components(links)
+    live = lists.withColumn("component", F.col("cls")) if links is None else cut(live_lists(lists, labels))
     for r in range(rounds):
         pick = (F.min if r % 2 == 0 else F.max)(F.struct("cls", "info", "component"))
         hub = live.groupBy("token").agg(pick.alias("hub"))
