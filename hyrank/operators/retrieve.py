@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hyrank.functions import kernels
+from hyrank.functions.text import _token_vector
 
 MAX_QUERY_BYTES = 64 << 20          # per broadcast query block
 MAX_BROADCAST_ROWS = 2_000_000      # bound for broadcasting candidate/term sets
@@ -294,17 +295,13 @@ def page_hits(hits: DataFrame, page_no: int | None = None, size: int = 10) -> Da
     return hits.withColumn("page", F.floor((F.col("rank") - 1) / size).cast("long"))
 
 
-def page_single(hits: DataFrame, offset: int, limit: int = 10) -> DataFrame:
-    """Offset/limit for one query (TakeOrderedAndProject with an offset)."""
-    return hits.orderBy(F.col("score").desc(), F.col("point_id").asc()).offset(offset).limit(limit)
-
-
 # ---------------------------------------------------------------------------
 # R11 approximate dense search (random-hyperplane LSH, exact rescoring)
 # ---------------------------------------------------------------------------
 
 def _hyperplanes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, bits, dim))
+    """Fixed random normals from the embedder's token hash, so that SQL can reproduce them."""
+    return np.stack([[_token_vector(f"plane{seed}:{t}:{b}", dim) for b in range(bits)] for t in range(tables)])
 
 
 SIG_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("table", T.IntegerType()),

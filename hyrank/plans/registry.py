@@ -484,22 +484,34 @@ def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(retrieve.dense_topk(pts, q, S.PAGE_SIZE, max_query_bytes=256 << 10))
 
 
-@register("dense_lsh_topk")
+_LSH_TABLES, _LSH_BITS, _LSH_SEED = 16, 6, 7
+_LSH = f"""{_EMB_SCORES},
+planes AS (SELECT t, b, i, {O._comp(f"('plane{_LSH_SEED}:' || t || ':' || b)", '(i - 1)')} AS p
+  FROM range({_LSH_TABLES}) x(t), range({_LSH_BITS}) y(b), range(1, 65) z(i)),
+sig AS (SELECT id, t, sum(CASE WHEN s > 0 THEN 1 << b ELSE 0 END) AS bucket FROM (
+  SELECT id, t, b::INTEGER AS b, sum(v * p) AS s FROM en JOIN planes USING (i) GROUP BY id, t, b) GROUP BY id, t),
+cand AS (SELECT DISTINCT q.id AS query_id, p.id AS point_id FROM sig q JOIN sig p USING (t, bucket)),
+near AS (SELECT pair.* FROM pair JOIN cand USING (query_id, point_id))"""
+
+
+@register("dense_lsh_topk", f"WITH {_LSH}\n" + O.select_hits(O.ranked("near", S.PAGE_SIZE)))
 def dense_lsh_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Random-hyperplane LSH candidates, exact rescoring; approximate by
-    design, so checked by recall against R12 (see ``lsh_recall``)."""
+    design (``lsh_recall`` compares with R12), but its signatures are SQL too."""
     pts = _norm_embeddings(spark, sf)
     q = pts.select(F.col("point_id").alias("query_id"), "dense")
-    return _hits(retrieve.dense_lsh_topk(pts, q, S.PAGE_SIZE, tables=16, bits=6, dim=64))
+    return _hits(retrieve.dense_lsh_topk(pts, q, S.PAGE_SIZE, tables=_LSH_TABLES, bits=_LSH_BITS, seed=_LSH_SEED, dim=64))
 
 
-@register("lsh_recall")
+@register("lsh_recall", f"""WITH {_LSH}
+SELECT e.query_id, count(a.point_id)::BIGINT AS found, count(*)::BIGINT AS wanted, count(a.point_id) / count(*) AS recall
+FROM {O.ranked("pair", S.PAGE_SIZE)} e LEFT JOIN {O.ranked("near", S.PAGE_SIZE)} a USING (query_id, point_id) GROUP BY e.query_id""")
 def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
     """R11 quality: recall@10 of the LSH search against the exact search."""
     pts = _norm_embeddings(spark, sf)
     q = pts.select(F.col("point_id").alias("query_id"), "dense")
     exact = retrieve.dense_topk(pts, q, S.PAGE_SIZE)
-    approx = retrieve.dense_lsh_topk(pts, q, S.PAGE_SIZE, tables=16, bits=6, dim=64)
+    approx = retrieve.dense_lsh_topk(pts, q, S.PAGE_SIZE, tables=_LSH_TABLES, bits=_LSH_BITS, seed=_LSH_SEED, dim=64)
     return retrieve.lsh_recall(approx, exact)
 
 

@@ -95,15 +95,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path below the work folder."""
     base = work_dir(spark).rstrip("/")
     return f"{base}/hyrank/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str:
-    """Strip a file: scheme so local-mode helpers can use os APIs."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    try:
-        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    except Exception:  # noqa: BLE001 - conf may be unset/adaptive
-        return max(1, os.cpu_count() or 1)
