@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from hyrank.operators import retrieve, shape
 from hyrank.plans import strategies
-from hyrank.plans.collection import Collection, QuerySet, open_collection, spread, write_collection, write_queries
+from hyrank.plans.collection import (Collection, QuerySet, ingest_candidates, open_collection, spread, upsert_collection,
+                                     write_collection, write_queries)
 from hyrank.session import get_spark, ship_package
 
 METHODS = tuple(strategies.STRATEGIES)
 
-__all__ = ["get_spark", "build_collection", "build_collection_from_vectors", "open_collection", "build_query_set",
+__all__ = ["get_spark", "build_collection", "build_collection_from_vectors", "open_collection", "ingest_candidates", "upsert",
+           "build_query_set",
            "search", "search_page", "page", "METHODS"]
 
 
@@ -39,6 +41,14 @@ def build_query_set(spark: SparkSession, queries: DataFrame, id_col: str = "quer
     return write_queries(spark, queries, id_col, text_col)
 
 
+def upsert(spark: SparkSession, col: Collection, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           payload: list[str] = (), path: str | None = None) -> Collection:
+    """A new collection with ``docs`` (one row per id) in place of the points of their ids."""
+    ship_package(spark)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *payload)
+    return upsert_collection(spark, col, base, path, list(payload))
+
+
 def search(col: Collection, qs: QuerySet, method: str = "rrf_dense_sparse", k: int | None = 10,
            where: Column | None = None, payload: list[str] = (), **params) -> DataFrame:
     """Run one of METHODS for every query; ``where`` filters the points before

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyrank.operators import represent
+from hyrank.operators import represent, shape
 from hyrank.operators.retrieve import scan_partitions
 from hyrank.session import scratch_path, ship_package
 from hyrank.sources import tables
@@ -67,6 +67,26 @@ def write_collection(spark: SparkSession, docs: DataFrame, path: str | None = No
     path = path or scratch_path(spark, "collection")
     docs = spread(docs)
     points, postings = represent.build_points(docs, "doc_id", "text", payload=payload)
+    return _write_tables(spark, path, points, postings)
+
+
+def upsert_collection(spark: SparkSession, col: Collection, docs: DataFrame, path: str | None = None,
+                      payload: list[str] = PAYLOAD) -> Collection:
+    """A new collection in which ``docs`` (one row per doc_id) replace the points of their ids.
+
+    Points and postings of these ids are dropped and written anew, and the IDF follows from
+    the postings, so terms that a replaced text no longer holds stop matching. The old
+    collection stays readable; the new one is complete once this returns.
+    """
+    path = path or scratch_path(spark, "collection")
+    points, postings = represent.build_points(spread(docs), "doc_id", "text", payload=payload)
+    gone = docs.select(F.col("doc_id").alias("point_id")).distinct()
+    return _write_tables(spark, path,
+                         col.points.join(gone, "point_id", "left_anti").unionByName(points.select(*col.points.columns)),
+                         col.postings.join(gone, "point_id", "left_anti").unionByName(postings.select(*col.postings.columns)))
+
+
+def _write_tables(spark: SparkSession, path: str, points: DataFrame, postings: DataFrame) -> Collection:
     points.write.mode("errorifexists").parquet(f"{path}/points")
     p = spark.read.parquet(f"{path}/points")
     # Inverted-index layout: each file is sorted by term, so a term filter
@@ -82,6 +102,18 @@ def write_collection(spark: SparkSession, docs: DataFrame, path: str | None = No
     return open_collection(spark, path)
 
 
+def ingest_candidates(spark: SparkSession, candidates: DataFrame, path: str | None = None,
+                      col: Collection | None = None) -> Collection:
+    """Candidate records to a searchable collection: map the payload, make the text, embed, write; with ``col``
+    they are upserted into it."""
+    payload = ["language", "headline", "email", "country", "city", "cv_url"]
+    mapped = shape.map_candidate(candidates).select(F.col("candidate_id").alias("doc_id"), *payload)
+    docs = mapped.join(shape.candidate_text(candidates).withColumnRenamed("point_id", "doc_id"), "doc_id")
+    if col is not None:
+        return upsert_collection(spark, col, docs, path, payload)
+    return write_collection(spark, docs, path, payload)
+
+
 def open_collection(spark: SparkSession, path: str) -> Collection:
     return Collection(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/postings"),
                       spark.read.parquet(f"{path}/idf"), path)

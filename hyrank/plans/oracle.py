@@ -45,9 +45,9 @@ def _tok(src: str, id_expr: str, name: str) -> str:
   FROM {name}_late_raw)"""
 
 
-def base_ctes() -> str:
-    """Corpus (documents) and query set (benchmark) representations."""
-    return f"""{_tok('documents', 'doc_id', 'd')},
+def base_ctes(corpus: str = "documents") -> str:
+    """Corpus (doc_id, text) and query set (benchmark) representations."""
+    return f"""{_tok(corpus, 'doc_id', 'd')},
 {_tok('benchmark', 'item_id', 'q')},
 d_n AS (SELECT count(DISTINCT id) AS n FROM d_post),
 idf AS (
@@ -89,8 +89,9 @@ def late_on(cands: str) -> str:
   JOIN (SELECT DISTINCT query_id, point_id FROM {cands}) c USING (query_id, point_id))"""
 
 
-def with_base(body: str) -> str:
-    return f"WITH {base_ctes()}\n{body}"
+def with_base(body: str, corpus: str = "documents", before: str = "") -> str:
+    """``before``: CTEs that define another corpus than the documents table."""
+    return f"WITH {before}{base_ctes(corpus)}\n{body}"
 
 
 def select_hits(src: str) -> str:

@@ -274,6 +274,42 @@ def candidate_text(spark: SparkSession, sf: str) -> DataFrame:
     return shape.candidate_text(C.build_candidates(spark, sf))
 
 
+_CAND_DOCS = C.candidates_source_sql() + """,
+cand_docs AS (SELECT id AS doc_id,
+  headline || ', ' || coalesce(job_titles, '') || chr(10) || text || chr(10)
+  || array_to_string(string_split(headline, ' ')[1:3], ', ') || chr(10)
+  || array_to_string(string_split(headline, ' ')[4:6], ', ') || ', ' || source || ', ' || lang
+  || 'quality=' || coalesce(quality::VARCHAR, 'none') AS text FROM cand),
+"""
+
+
+@register("ingest_candidates", O.with_base(O.select_hits(O.ranked("sparse_scores", S.PAGE_SIZE)), "cand_docs", _CAND_DOCS))
+def ingest_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 to E6 in a row: nested records loaded, mapped, embedded and written, then searched (sparse top-10)."""
+    from hyrank.plans.collection import ingest_candidates as ingest
+    path = scratch_path(spark, "candidates")
+    C.write_candidates(C.build_candidates(spark, sf), path, "json")
+    col = ingest(spark, C.load_candidates(spark, path, "json"))
+    return _hits(S.sparse(col, corpus(spark, sf)[1], S.PAGE_SIZE))
+
+
+_SHORTENED = """short_docs AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+  THEN split_part(coalesce(text, ''), chr(10), 1) ELSE text END AS text FROM documents),
+"""
+
+
+@register("upsert_collection", O.with_base(O.select_hits(O.rrf_sql(
+    [O.ranked("dense_scores", S.PREFETCH), O.ranked("sparse_scores", S.PREFETCH)], S.PAGE_SIZE)), "short_docs", _SHORTENED))
+def upsert_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxic documents replaced by their first lines in points, postings and IDF; a hybrid search no
+    longer meets the terms that went."""
+    from hyrank.plans.collection import document_payload, upsert_collection as upsert
+    col, qs = corpus(spark, sf)
+    toxic = tables.load(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
+    docs = document_payload(tables.load(spark, sf, "documents").join(toxic, "doc_id", "left_semi"))
+    return _hits(S.rrf_dense_sparse(upsert(spark, col, docs.withColumn("text", F.col("headline"))), qs))
+
+
 _EMB_POINTS = """emb AS (SELECT vec_id AS point_id, embedding FROM embeddings)"""
 
 
