@@ -31,3 +31,9 @@ def test_lsh_recall_reported(spark):
     r = E.queries()["lsh_recall"](spark, SF_SMALL).collect()
     assert r and all(0.0 <= x.recall <= 1.0 for x in r)
     assert sum(x.found for x in r) > 0
+
+
+def test_small_prefetch_cuts(spark):
+    """With 25 per branch the cascade is not the exhaustive search."""
+    rows = lambda k: sorted(map(tuple, E.queries()[k](spark, SF_SMALL).collect()))
+    assert rows("rerank_late_n25") != rows("late_topk")
