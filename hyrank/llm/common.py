@@ -12,10 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A written table is read back in tasks of at least about so many rows.
+ROWS_PER_TASK = 100_000
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: an eager reliable checkpoint in the shared folder."""
+    """Cut the lineage: an eager reliable checkpoint in the shared folder.
+
+    A small table that came out of many shuffle partitions is read back in few tasks, so that later
+    shuffles do not write a file for each of its nearly empty partitions.
+    """
     work_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    return out.coalesce(max(8, out.count() // ROWS_PER_TASK))
 
 
 def fresh(df: DataFrame, base: str) -> str:
