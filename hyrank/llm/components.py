@@ -61,7 +61,8 @@ def star_components(lists: DataFrame, fits, verify, links: DataFrame | None = No
     labels = None if links is None else connected_components(links)
     live = lists.withColumn("component", F.col("cls")) if links is None else cut(live_lists(lists, labels))
     for r in range(rounds):
-        pick = (F.min if r % 2 == 0 else F.max)(F.struct("cls", "info", "component"))
+        # first the hub with the least of its own beside what the list shares (``info`` leads with a size), then another
+        pick = F.min(F.struct("info", "cls", "component")) if r == 0 else F.max(F.struct("cls", "info", "component"))
         hub = live.groupBy("token").agg(pick.alias("hub"))
         pairs = live.join(hub, "token").where((F.col("hub.component") != F.col("component")) & fits(F.col("info"), F.col("hub.info")))
         pairs = pairs.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
