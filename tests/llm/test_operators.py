@@ -90,6 +90,36 @@ def test_links_of_lines_equal_brute_force(spark):
     assert kept == set(root) and len(kept) < len(lines)
 
 
+def test_near_lines_are_found_by_edit_similarity_alone(spark):
+    rng = random.Random(8)
+    syllables = "the on re tion er an in ha st ou wh at ble ly ed ing sh nd".split()
+
+    def line(length):
+        out = ""
+        while len(out) < length:
+            out += rng.choice(syllables) + rng.choice(["", "", " "])
+        return out.strip()
+
+    def word_off(x):
+        words = x.split(" ")
+        at = rng.choice([i for i, w in enumerate(words) if len(w) <= max(1, 0.14 * len(x))] or [0])
+        return " ".join(words[:at] + ["".join(rng.choice("abcdefg") for _ in words[at])] + words[at + 1:])
+
+    def typos(x):
+        own = list(x)
+        for i in rng.sample([i for i, c in enumerate(own) if c != " "], max(1, len(x) // 25)):
+            own[i] = rng.choice("0123456789")
+        return "".join(own)
+
+    pairs = [(x, make(x)) for make in (word_off, typos) for n in (25, 40, 47, 48, 60, 90, 150, 300, 600) for x in (line(n) for _ in range(20))]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(x for p in pairs for x in p)], "doc_id long, text string")
+    near = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "n long, a string, b string").where(
+        "levenshtein(a, b) <= 0.15 * greatest(length(a), length(b))")
+    want = {2 * r.n + 1 for r in near.collect()}
+    gone = {r.doc_id for r in linededup.dedup_lines(docs).where("n_removed = 1").collect()}
+    assert len(want) > 200 and gone <= want and len(gone) >= 0.97 * len(want)
+
+
 # ---------------------------------------------------------------- 2 quality
 
 def test_quality_learns_and_scores_everything(spark):
