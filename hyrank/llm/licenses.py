@@ -102,7 +102,9 @@ SENTENCES = [
     ("copyright", "copyright", r"copyright\s+(?:\(c\)\s*|\xc2\xa9\s*)?(?:19|20)\d\d(?:\s*[-,]\s*(?:19|20)\d\d)*"),
     ("reserved", "rights reserved", r"(?:all|some|no)\s+rights\s+reserved"),
     ("proprietary", "proprietary", r"proprietary\s+(?:and|&)\s+confidential"),
-    ("proprietary", "without permission", r"may\s+not\s+be\s+(?:reproduced|copied|distributed)[^.]{0,60}without\s+(?:prior\s+)?(?:written\s+)?permission"),
+    # up to the end of the sentence; from the last "may not be" before the permission, so that a long sentence is read once
+    ("proprietary", "may not be", r"may\s+not\s+be\s+(?:reproduced|copied|distributed)(?:(?!may\s+not\s+be\s+(?:reproduced|copied|distributed))[^.])*?"
+                                  r"without\s+(?:prior\s+)?(?:written\s+)?permission"),
     ("non-commercial", "commercial", r"(?:for\s+)?non[- ]?commercial\s+(?:use|purposes)\s+only"),
     ("cc0", "cc0", r"\bcc0(?:[- ]1\.0)?\b"),
     ("unlicense", "unencumbered", r"free\s+and\s+unencumbered\s+software"),

@@ -381,6 +381,55 @@ def test_license_rules_and_gates():
     assert sorted((a, b, n) for n, a, b in kept) == s.scan(low.encode())
 
 
+def _example(tree, rng):
+    """A text made from a parsed pattern; look-arounds are left out."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "NOT_LITERAL":
+            out += "x"
+        elif op == "IN":
+            kind, what = rng.choice(arg)
+            if str(kind) == "NEGATE":
+                out += "x"
+            elif str(kind) == "RANGE":
+                out += chr(rng.randint(*what))
+            elif str(kind) == "CATEGORY":
+                out += {"CATEGORY_SPACE": rng.choice(" \n\t"), "CATEGORY_DIGIT": "7", "CATEGORY_WORD": "w"}[str(what)]
+            else:
+                out += chr(what)
+        elif op == "BRANCH":
+            out += _example(rng.choice(arg[1]), rng)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(_example(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        elif op == "SUBPATTERN":
+            out += _example(arg[-1], rng)
+        else:
+            assert op in ("AT", "ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_every_match_of_a_rule_holds_its_keyword():
+    rng = random.Random(1)
+    for r in licenses.rules():
+        tree = re._parser.parse(r.pattern.pattern, re.A)
+        texts = [x for x in (_example(tree, rng) for _ in range(60)) if r.pattern.search(x)]
+        assert texts, r
+        for x in texts:
+            assert r.keyword in " ".join(x.split()), (r, x)
+
+
+def test_notices_without_permission_are_found():
+    for notice in ("This may not be reproduced without prior written permission.", "It may not be copied without  written\npermission of the owner",
+                   "No part may not be reproduced, stored in a retrieval system or transmitted in any form or by any means, electronic, "
+                   "mechanical, photocopying, recording or otherwise, without permission of the publisher."):
+        got = licenses.scan_text(notice)
+        assert [s["label"] for s in got["spans"]] == ["proprietary"] and got["score"] == 0.7
+    assert not licenses.scan_text("It may not be copied. Do not enter without permission.")["spans"]
+
+
 def test_base_phrases_equal_brute_force(spark):
     rng = random.Random(3)
     vocabulary = "cc by all rights reserved general public license é x9".split()
