@@ -195,6 +195,9 @@ def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block_words: in
     # whole: all of it in the last pass; cut: the rest ends inside
     blocks = blocks.withColumn("whole", F.col("through") <= F.col("rest"))
     blocks = blocks.withColumn("cut", ~F.col("whole") & (F.col("before") < F.col("rest")))
+    blocks = cut(blocks)
+    taken, fills = _filled(lean, blocks)
+    blocks = blocks.join(_small(fills), ["number", "block"], "left").withColumn("cut", F.col("cut") | F.col("fit").isNotNull())
     blocks = cut(blocks.withColumn("draws", F.col("passes") + F.when(F.col("whole") | F.col("cut"), 1).otherwise(0)))
 
     # draws of a source, in pass and block order, run through the shards by quota
@@ -208,30 +211,64 @@ def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block_words: in
     draws = draws.withColumn("nth", F.row_number().over(turn)).join(_small(bounds), "number")
     shard = F.filter("ends", lambda e: e["end"] >= F.col("nth"))[0]["shard"]
     where = draws.groupBy("number", "block").agg(F.array_sort(F.collect_list(F.struct("pass", shard.alias("shard")))).alias("drawn"))
-    flags = blocks.select("number", "block", "cut", (F.col("rest") - F.col("before")).alias("left")).join(where, ["number", "block"], "left")
-
-    # the one cut block of each source: documents in seeded order as long as they fit, then again
-    # over those passed by, for what is still missing
-    taken = lean.join(_small(flags.where("cut").select("number", "block", "left")), ["number", "block"])
-    taken = taken.groupBy("number", "_key", "left").agg(F.sum("size").alias("size")).withColumn("in_cut", F.lit(False))
-    in_order = Window.partitionBy("number").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for _ in range(SWEEPS):
-        fits = ~F.col("in_cut") & (F.col("size") <= F.col("left"))
-        taken = taken.withColumn("through", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(in_order))
-        taken = taken.withColumn("new", fits & (F.col("through") <= F.col("left")))
-        used = F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).over(Window.partitionBy("number"))
-        taken = taken.withColumn("left", F.col("left") - used).withColumn("in_cut", F.col("in_cut") | F.col("new"))
-    taken = taken.where("in_cut").select("number", "_key", "in_cut")
+    flags = blocks.select("number", "block", "cut", "fit").join(where, ["number", "block"], "left")
 
     keep = [c for c in docs.columns]
-    out = docs_plan.join(_small(flags.drop("left")), ["number", "block"], "left").join(_small(taken), ["number", "_key"], "left")
+    out = docs_plan.join(_small(flags), ["number", "block"], "left").join(_small(taken), ["number", "_key"], "left")
     whole = F.coalesce(F.col("drawn"), F.array().cast("array<struct<pass:bigint,shard:int>>"))
-    drawn = F.filter(whole, lambda d: (d["pass"] <= F.col("passes")) | ~F.col("cut") | F.coalesce(F.col("in_cut"), F.lit(False)))
+    in_last = F.coalesce(F.col("in_cut"), F.lit(False)) | F.coalesce(F.col("size") <= F.col("fit"), F.lit(False))
+    drawn = F.filter(whole, lambda d: (d["pass"] <= F.col("passes")) | ~F.col("cut") | in_last)
     drawn = F.when(F.col("cut").isNull(), F.array().cast("array<struct<pass:bigint,shard:int>>")).otherwise(drawn)
     return out.select(*keep, F.struct("size", "source_size", "target", F.size(drawn).cast("long").alias("times"),
                                       F.transform(drawn, lambda d: d["shard"]).alias("shards")).alias("mixed"))
 
 
+def _filled(lean: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The last, partial pass beyond its whole blocks: (documents (number, _key, in_cut), blocks (number, block, fit)).
+
+    A cut block gives documents in seeded order as long as they fit, then again over those passed by.
+    What it leaves unfilled goes on to the following blocks: of these, documents of at most the words still
+    missing count; blocks whose sums fit give all such documents (``fit`` is their largest size), the first that
+    does not is cut in turn (``fit`` -1). It ends when nothing is missing or no later document fits.
+    """
+    at = _small(blocks.where("cut").select("number", "block", "place", (F.col("rest") - F.col("before")).alias("left")))
+    places = _small(blocks.select("number", "block", "place"))
+    docs, fills = [], []
+    in_order = Window.partitionBy("number").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("number").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    while True:
+        fills.append(at.select("number", "block", F.lit(-1.0).alias("fit")))
+        taken = lean.join(at, ["number", "block"]).groupBy("number", "_key", "left").agg(F.sum("size").alias("size")).withColumn("in_cut", F.lit(False))
+        for _ in range(SWEEPS):
+            fits = ~F.col("in_cut") & (F.col("size") <= F.col("left"))
+            taken = taken.withColumn("through", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(in_order))
+            taken = taken.withColumn("new", fits & (F.col("through") <= F.col("left")))
+            used = F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).over(Window.partitionBy("number"))
+            taken = taken.withColumn("left", F.col("left") - used).withColumn("in_cut", F.col("in_cut") | F.col("new"))
+        taken = cut(taken.where("in_cut").select("number", "_key", "size", "in_cut"))
+        docs.append(taken.select("number", "_key", "in_cut"))
+        used = taken.groupBy("number").agg(F.sum("size").alias("used"))
+        still = at.join(used, "number", "left").select("number", F.col("place").alias("done"),
+                                                       (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
+        still = _small(still.where("left >= 1"))
+        rows = lean.join(still, "number").where((F.col("size") > 0) & (F.col("size") <= F.col("left")))
+        sums = rows.join(places, ["number", "block"]).where(F.col("place") > F.col("done")) \
+            .groupBy("number", "block", "place", "left").agg(F.sum("size").alias("words"))
+        sums = sums.withColumn("through", F.sum("words").over(run)).withColumn("before", F.col("through") - F.col("words"))
+        sums = cut(sums.where(F.col("before") < F.col("left")))
+        fills.append(sums.where("through <= left").select("number", "block", F.col("left").alias("fit")))
+        at = _small(sums.where("through > left").select("number", "block", "place", (F.col("left") - F.col("before")).alias("left")))
+        if at.isEmpty():
+            return cut(_all(docs)), cut(_all(fills))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 #: Rows of sources, blocks and one cut block per source: bounded by the recipe (sources x max_blocks).
 BROADCAST_ROWS = 200_000
 

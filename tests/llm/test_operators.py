@@ -356,6 +356,18 @@ def test_mix_meets_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 50 for s in order)
 
 
+def test_mix_goes_on_past_a_document_that_does_not_fit(spark):
+    # c, f and i hold a document of 40 blocks' words that is longer than their targets
+    rng = random.Random(2)
+    docs = [(c, n) for c in "cfi" for n in [4000] + [rng.randrange(5, 40) for _ in range(250)]] + [(c, 1000) for c in "abdegh" for _ in range(10)]
+    df = spark.createDataFrame([(i, "w " * n, c) for i, (c, n) in enumerate(docs)], "doc_id long, text string, source string")
+    got = rows(mixing.mix(df, block_words=100))
+    for source in "cfi":
+        own = [r["mixed"] for r in got if r["source"] == source]
+        assert 3000 < own[0]["target"] < 4000
+        assert 0 <= own[0]["target"] - sum(m["size"] * m["times"] for m in own) <= 5
+
+
 # ---------------------------------------------------------------- 9 licences
 
 def test_contained_spans():
