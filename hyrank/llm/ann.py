@@ -121,7 +121,10 @@ def search(queries: DataFrame, index: DataFrame, k: int = 10, tables: int = TABL
            bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): up to k nearest found for each query id. Inputs as from ``usable``."""
     index = cut(index)
-    rows, dim = index.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    ids, rows, dim = index.agg(F.countDistinct("id"), F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if ids < rows:                                       # equal copies of a row are one
+        index = cut(index.select("id", "v").distinct())
+        rows = index.count()
     queries = cut(queries.groupBy("id").agg(F.min("v").alias("v")))
     if not rows:
         return queries.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"),
@@ -135,7 +138,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = 10, tables: int = TABL
 
     probe_count = probe_count or fit_probes(queries, index, k, sign, axes2, total)
     found = cut(_probe(queries, index, k, sign, axes2, tables, min(probe_count, total)))
-    others = index.select("id").distinct().count() - 1
+    others = ids - 1
     enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, others)).select(F.col("query_id").alias("id"))
     short = cut(queries.join(enough, "id", "left_anti"))
     if not short.isEmpty():
@@ -188,7 +191,7 @@ def _probe(queries, index, k, sign, axes2, tables, probe_count):
     size = rows.groupBy("tab", "bucket").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     hot = cut(size.where("salts > 1"))
     rows = rows.drop("salt").join(hot, ["tab", "bucket"], "left").withColumn(
-        "salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        "salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("id", "v"), F.col("salts"))).otherwise(0).cast("int")).drop("salts")
     asks = queries.select("id", "v").mapInArrow(list_queries, LISTED).drop("salt").join(hot, ["tab", "bucket"], "left")
     asks = asks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     # queries of a bucket come in blocks; every block meets the whole bucket
@@ -249,8 +252,13 @@ def _scan(qids, q, ids, v, k, best) -> None:
     scale = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :]
     rough = scale - 2.0 * (q @ v.T)
     slack = 1e-9 * scale + 1e-300
-    n = min(len(ids), k + 1)
-    bound = np.partition(rough + slack, n - 1, axis=1)[:, n - 1]
+    # the bound is the k-th over ids, each by its best row (rows are sorted by id), the query's own id left out
+    upper = np.where(qids[:, None] == ids[None, :], np.inf, rough + slack)
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    if len(first) < len(ids):
+        upper = np.minimum.reduceat(upper, first, axis=1)
+    n = min(len(first), k)
+    bound = np.partition(upper, n - 1, axis=1)[:, n - 1]
     for i, query in enumerate(qids.tolist()):
         near = np.flatnonzero((rough[i] - slack[i] <= bound[i]) & (ids != query))
         if not len(near):

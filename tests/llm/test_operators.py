@@ -255,6 +255,20 @@ def test_neighbours(spark):
     assert [i for _, i in found[100]][:2] == [7, 8]
 
 
+@pytest.mark.parametrize("same", (True, False))
+def test_screen_counts_ids_not_rows(same):
+    rng = np.random.default_rng(3)
+    ids = np.repeat(np.arange(40), [1, 25, 1, 30] + [1] * 36)
+    v = rng.standard_normal((len(ids), 8))
+    for i, far in ((1, 1e-3), (3, 1e-2)):                    # the query's own id, and the nearest other one, 25 and 30 times
+        v[ids == i] = far * (np.ones(8) if same else rng.standard_normal(((ids == i).sum(), 8)))
+    q = np.zeros((1, 8))
+    best = {}
+    ann._scan(np.array([1]), q, ids, v, 10, best)
+    dist = {int(i): float(np.sqrt((v[ids == i] ** 2).sum(axis=1)).min()) for i in range(40) if i != 1}
+    assert [x for _, x in best[1]] == sorted(dist, key=lambda i: (dist[i], i))[:10]
+
+
 def test_neighbours_of_few_vectors_are_all_found(spark):
     v = [(i, [float(i == j) for j in range(8)]) for i in range(6)]
     index = ann.usable(spark.createDataFrame(v, "vec_id long, embedding array<double>"))
