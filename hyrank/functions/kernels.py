@@ -146,6 +146,44 @@ def dense_topk_kernel(bc, k: int | None, threshold: float | None,
     return run
 
 
+def dense_block_kernel(k: int):
+    """Local top-k of each pair of blocks. Rows (qb, pb, side, id, v) come sorted; a pair's queries (side 0) lead."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, asked, mats, buf = None, [], [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            qb, pb, side, all_ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("qb", "pb", "side", "id"))
+            change = np.flatnonzero((qb[1:] != qb[:-1]) | (pb[1:] != pb[:-1]) | (side[1:] != side[:-1])) + 1
+            for lo, hi in zip(np.append(0, change).tolist(), np.append(change, b.num_rows).tolist()):
+                if (qb[lo], pb[lo]) != key:
+                    out = buf.batch() if buf is not None else None
+                    if out is not None:
+                        yield out
+                    key, asked, mats, buf = (qb[lo], pb[lo]), [], [], None
+                vectors = b.column("v").slice(lo, hi - lo)
+                if side[lo] == 0:
+                    rows, mat = _flat_vectors(vectors, mats[0].shape[1] if mats else len(vectors[0]))
+                    asked.append(all_ids[lo:hi][rows])
+                    mats.append(mat.astype(np.float64))
+                    continue
+                if not asked:
+                    continue
+                if buf is None:
+                    qids, qmat = np.concatenate(asked).astype(np.int64), np.concatenate(mats)
+                    buf = TopKBuffer(qids, k)
+                rows, mat = _flat_vectors(vectors, qmat.shape[1])
+                ids = all_ids[lo:hi][rows]
+                for s in range(0, len(ids), TOKEN_TILE):
+                    for q in range(0, len(qids), QBLOCK):
+                        for qi, row in enumerate(round_scores(qmat[q:q + QBLOCK] @ mat[s:s + TOKEN_TILE].T), q):
+                            buf.add(qi, ids[s:s + TOKEN_TILE], row)
+        out = buf.batch() if buf is not None else None
+        if out is not None:
+            yield out
+    return run
+
+
 # ---------------------------------------------------------------------------
 # Late interaction: MaxSim = sum over query tokens of max over doc tokens
 # ---------------------------------------------------------------------------

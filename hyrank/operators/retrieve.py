@@ -187,6 +187,27 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int | None = 10, thresh
     return rank_hits(_union(parts, HIT_SCHEMA, spark), k, salt)
 
 
+def dense_topk_blocks(points: DataFrame, queries: DataFrame, k: int = 10, vec_col: str = "dense",
+                      block_bytes: int = MAX_QUERY_BYTES // 8) -> DataFrame:
+    """``dense_topk`` for a query table as large as a corpus; neither side is collected.
+
+    Both sides are dealt into blocks by a hash of the id; the rows of a block go to each of its pairs
+    with the other side's blocks, and a pair is scored in one task. The plan does not grow with the blocks.
+    """
+    def dealt(df, id_col):
+        df = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(F.col(vec_col).isNotNull())
+        n = _n_blocks(df, F.size("v"), block_bytes)
+        return df.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
+
+    (asks, n_asks), (rows, n_rows) = dealt(queries, "query_id"), dealt(points, "point_id")
+    asks = asks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
+    both = asks.select(F.col("own").alias("qb"), F.col("other").alias("pb"), F.lit(0).alias("side"), "id", "v").unionByName(
+        rows.select(F.col("other").alias("qb"), F.col("own").alias("pb"), F.lit(1).alias("side"), "id", "v"))
+    both = both.repartition("qb", "pb").sortWithinPartitions("qb", "pb", "side")
+    return rank_hits(both.mapInArrow(kernels.dense_block_kernel(k), HIT_SCHEMA), k, auto_salt(n_rows))
+
+
 def late_topk(points: DataFrame, queries: DataFrame, k: int | None = 10, vec_col: str = "late",
               max_query_bytes: int = MAX_QUERY_BYTES, salt_buckets: int | None = None) -> DataFrame:
     """MaxSim top-k -- sum over query tokens of the best document token."""

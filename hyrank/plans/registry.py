@@ -513,11 +513,11 @@ pair AS (SELECT q.id AS query_id, p.id AS point_id, (round(sum(q.v * p.v), 6) +
 @register("batch_search", f"WITH {_EMB_SCORES}\n" + O.select_hits(O.ranked("pair", S.PAGE_SIZE)))
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     """Every embedding queries the embeddings table (k-NN self-join),
-    the query side split into broadcast blocks of at most 256 KiB."""
+    both sides dealt into blocks that meet on the executors."""
     work_dir(spark)
-    pts = _norm_embeddings(spark, sf).checkpoint()   # read once per query block: materialise it
+    pts = _norm_embeddings(spark, sf).checkpoint()   # counted, then read for both sides: materialise it
     q = pts.select(F.col("point_id").alias("query_id"), "dense")
-    return _hits(retrieve.dense_topk(pts, q, S.PAGE_SIZE, max_query_bytes=256 << 10))
+    return _hits(retrieve.dense_topk_blocks(pts, q, S.PAGE_SIZE, block_bytes=256 << 10))
 
 
 _LSH_TABLES, _LSH_BITS, _LSH_SEED = 16, 6, 7
@@ -546,7 +546,7 @@ def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
     """R11 quality: recall@10 of the LSH search against the exact search."""
     pts = _norm_embeddings(spark, sf)
     q = pts.select(F.col("point_id").alias("query_id"), "dense")
-    exact = retrieve.dense_topk(pts, q, S.PAGE_SIZE)
+    exact = retrieve.dense_topk_blocks(pts, q, S.PAGE_SIZE)
     approx = retrieve.dense_lsh_topk(pts, q, S.PAGE_SIZE, tables=_LSH_TABLES, bits=_LSH_BITS, seed=_LSH_SEED, dim=64)
     return retrieve.lsh_recall(approx, exact)
 

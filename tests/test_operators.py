@@ -134,6 +134,18 @@ def test_query_blocks_give_same_hits(spark):
     assert retrieve._n_blocks(q, F.size("dense"), 2048) > 1
 
 
+def test_block_pairs_fetch_nothing_and_give_same_hits(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    pts = spark.createDataFrame([(i, _unit(rng.standard_normal(8))) for i in range(200)] + [(999, None)], "point_id long, dense array<double>")
+    q = pts.select(F.col("point_id").alias("query_id"), "dense")
+    want = sorted(map(tuple, retrieve.dense_topk(pts, q, 5).collect()))
+    monkeypatch.setattr(type(pts), "toArrow", None)
+    few, many = (retrieve.dense_topk_blocks(pts, q, 5, block_bytes=n) for n in (8192, 1024))
+    assert sorted(map(tuple, many.collect())) == want
+    lines = [len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()) for df in (few, many)]
+    assert lines[0] == lines[1]
+
+
 def test_bounded_broadcast_falls_back_to_shuffle(spark):
     small = spark.range(10)
     assert "ResolvedHint" in small.hint("broadcast")._jdf.queryExecution().analyzed().toString()
