@@ -65,6 +65,11 @@ class TopKBuffer:
             ids, scores = ids[sel], scores[sel]
         self.ids[qi], self.scores[qi] = ids, scores
 
+    def bound(self, qi: int) -> float:
+        """The k-th best score so far; nothing below it can enter any more."""
+        s = self.scores[qi]
+        return float(s.min()) if self.k is not None and len(s) >= self.k > 0 else -np.inf
+
     def batch(self) -> pa.RecordBatch | None:
         n = [len(x) for x in self.ids]
         if sum(n) == 0:
@@ -123,17 +128,17 @@ def dense_topk_kernel(bc, k: int | None, threshold: float | None,
             if len(rows) == 0:
                 continue
             ids = ids_all[rows]
-            step = TOKEN_TILE          # points per tile: (queries x 4096) scores stay cache-sized
+            step = TOKEN_TILE          # points per tile: (256 x 4096) scores stay cache-sized
             for s in range(0, len(ids), step):
-                scores = round_scores(qmat @ mat[s:s + step].T)      # (queries, points)
                 tid = ids[s:s + step]
-                for qi in range(len(qids)):
-                    row = scores[qi]
-                    if threshold is not None:
-                        keep = np.flatnonzero(row >= threshold)
-                        buf.add(qi, tid[keep], row[keep])
-                    else:
-                        buf.add(qi, tid, row)
+                for q in range(0, len(qids), QBLOCK):
+                    for qi, row in enumerate(round_scores(qmat[q:q + QBLOCK] @ mat[s:s + step].T), q):
+                        low = buf.bound(qi) if threshold is None else max(threshold, buf.bound(qi))
+                        if low > -np.inf:
+                            keep = np.flatnonzero(row >= low)
+                            buf.add(qi, tid[keep], row[keep])
+                        else:
+                            buf.add(qi, tid, row)
                 if k is None:
                     # no limit: nothing to merge, so stream hits out per tile
                     out = buf.batch()
@@ -189,6 +194,7 @@ def dense_block_kernel(k: int):
 # ---------------------------------------------------------------------------
 
 QBLOCK = 256        # query-token rows per GEMM block
+QUERY_TILE = 1024   # queries whose scores against a batch exist at once
 TOKEN_TILE = 4096   # document tokens per tile: a 256 x 4096 block stays cache-resident
 
 
@@ -210,7 +216,7 @@ def _maxsim(tokens: np.ndarray, starts: np.ndarray, utok: np.ndarray, tok_index:
     then gathered per query token via ``tok_index``. Laid out
     query-token-major so both reductions run along contiguous memory.
     """
-    per_doc = _segment_max(utok, tokens, starts)                    # (n_utok, n_docs)
+    per_doc = _segment_max(utok, tokens, starts).astype(np.float64, copy=False)     # (n_utok, n_docs)
     return np.add.reduceat(per_doc[tok_index], qstarts, axis=0)    # (n_queries, n_docs)
 
 
@@ -226,29 +232,34 @@ def _doc_chunks(starts: np.ndarray, n_tok_total: int, budget: int = TOKEN_TILE):
         i = min(j, n)
 
 
-def screen_margin(qtok: np.ndarray, toks: np.ndarray) -> float:
+def token_norms(toks: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", toks, toks, dtype=np.float64))
+
+
+def screen_margin(qnorms: np.ndarray, dim: int, longest: float) -> float:
     """How far a query's float32 MaxSim can move a document across another.
 
     A float32 dot product of d terms, operands rounded to float32 first, is
     off by at most (d + 3) * 2^-24 * |a| * |b| (to first order; taken
     twice). A maximum moves no more than its terms, the sum adds up over the
     query's tokens, and two documents can move towards each other. The last
-    term is the rounding of scores.
+    term is the rounding of scores. ``qnorms``: norms of the query's tokens;
+    ``longest``: the largest norm of the documents' tokens, taken once a batch.
     """
-    dim = qtok.shape[1]
-    longest = float(np.sqrt(np.einsum("ij,ij->i", toks, toks, dtype=np.float64).max())) if len(toks) else 0.0
-    total = float(np.sqrt(np.einsum("ij,ij->i", qtok, qtok, dtype=np.float64)).sum())
-    sums = len(qtok) * 2.0 ** -24 * total * longest          # adding up the maxima
+    total = float(qnorms.sum())
+    sums = len(qnorms) * 2.0 ** -24 * total * longest          # adding up the maxima
     return 2 * (2 * (dim + 3) * 2.0 ** -24 * total * longest + sums) + 10.0 ** -SCORE_DECIMALS
 
 
-def _maxsim32(tokens32: np.ndarray, starts: np.ndarray, utok32: np.ndarray) -> np.ndarray:
-    """float32 per-(distinct query token, doc) maxima for screening."""
-    out = np.empty((len(utok32), len(starts)), dtype=np.float32)
-    for i, j in _doc_chunks(starts, len(tokens32)):
+def _maxsim_tiled(toks: np.ndarray, starts: np.ndarray, utok: np.ndarray, tok_index: np.ndarray,
+                  qstarts: np.ndarray) -> np.ndarray:
+    """(n_queries x n_docs) MaxSim in the precision of ``utok``, summed in float64, by runs of documents:
+    only (distinct query tokens x documents of a run) maxima exist at once."""
+    out = np.empty((len(qstarts), len(starts)))
+    for i, j in _doc_chunks(starts, len(toks)):
         t0 = starts[i]
-        t1 = starts[j] if j < len(starts) else len(tokens32)
-        out[:, i:j] = _segment_max(utok32, tokens32[t0:t1], starts[i:j] - t0)
+        t1 = starts[j] if j < len(starts) else len(toks)
+        out[:, i:j] = _maxsim(toks[t0:t1].astype(utok.dtype, copy=False), starts[i:j] - t0, utok, tok_index, qstarts)
     return out
 
 
@@ -258,16 +269,20 @@ def late_topk_kernel(bc, k: int | None, id_col: str = "point_id", vec_col: str =
     When k is small next to the batch, every document is first scored in
     float32 (a third of the GEMM cost); a document can only be in the exact
     top-k if its float32 score is within ``screen_margin`` of the k-th best
-    float32 score, and only those are rescored in float64. The margin
-    follows the dimension and the norms of the vectors at hand.
+    float32 score of the batch and of the k-th best score so far, and only
+    those are rescored in float64. The margin follows the dimension and the
+    norms of the vectors at hand.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qtok, qstarts = bc.value
         dim = qtok.shape[1]
-        utok, tok_index = np.unique(qtok, axis=0, return_inverse=True)
-        tok_index = tok_index.reshape(-1)
-        utok32 = utok.astype(np.float32)
+        qnorms = token_norms(qtok)
         qends = np.append(qstarts[1:], len(qtok))
+        groups = []                 # queries scored together: bounds (queries x documents of a batch)
+        for g in range(0, len(qids), QUERY_TILE):
+            own = qstarts[g:g + QUERY_TILE]
+            utok, tok_index = np.unique(qtok[own[0]:qends[g + len(own) - 1]], axis=0, return_inverse=True)
+            groups.append((g, utok, tok_index.reshape(-1), own - own[0]))
         buf = TopKBuffer(qids, k)
         for b in batches:
             ids_all = b.column(id_col).to_numpy(zero_copy_only=False)
@@ -276,28 +291,24 @@ def late_topk_kernel(bc, k: int | None, id_col: str = "point_id", vec_col: str =
                 continue
             ids = ids_all[rows]
             n = len(ids)
-            if k is not None and n > 4 * k:
-                approx = np.add.reduceat(_maxsim32(toks, starts, utok32)[tok_index].astype(np.float64),
-                                         qstarts, axis=0)                      # (queries, docs)
-                lens = np.diff(np.append(starts, len(toks)))
-                for qi in range(len(qids)):
-                    a = approx[qi]
-                    kth = np.partition(a, n - k)[n - k]
-                    qt = qtok[qstarts[qi]:qends[qi]]
-                    cand = np.flatnonzero(a >= kth - screen_margin(qt, toks))
+            screened = k is not None and n > 4 * k
+            lens = np.diff(np.append(starts, len(toks)))
+            longest = float(token_norms(toks).max())
+            for g, utok, tok_index, own in groups:
+                if not screened:
+                    scores = round_scores(_maxsim_tiled(toks, starts, utok, tok_index, own))
+                    for qi, row in enumerate(scores, g):
+                        buf.add(qi, ids, row)
+                    continue
+                for qi, a in enumerate(_maxsim_tiled(toks, starts, utok.astype(np.float32), tok_index, own), g):
+                    span = slice(qstarts[qi], qends[qi])
+                    kth = max(np.partition(a, n - k)[n - k], buf.bound(qi))
+                    cand = np.flatnonzero(a >= kth - screen_margin(qnorms[span], dim, longest))
+                    if not len(cand):
+                        continue
                     idx, st = _gather_tokens(starts, lens, cand)
-                    exact = np.maximum.reduceat(qt @ toks[idx].astype(np.float64).T, st, axis=1).sum(axis=0)
+                    exact = np.maximum.reduceat(qtok[span] @ toks[idx].astype(np.float64).T, st, axis=1).sum(axis=0)
                     buf.add(qi, ids[cand], round_scores(exact))
-            else:
-                scores = np.empty((len(qids), n))
-                for i, j in _doc_chunks(starts, len(toks)):
-                    t0 = starts[i]
-                    t1 = starts[j] if j < len(starts) else len(toks)
-                    scores[:, i:j] = _maxsim(toks[t0:t1].astype(np.float64), starts[i:j] - t0, utok, tok_index,
-                                             qstarts)
-                scores = round_scores(scores)
-                for qi in range(len(qids)):
-                    buf.add(qi, ids, scores[qi])
             if k is None:
                 out = buf.batch()
                 buf = TopKBuffer(qids, k)
@@ -318,9 +329,9 @@ def _gather_tokens(starts: np.ndarray, lens: np.ndarray, sel: np.ndarray):
 
 
 def _pair_scores(qt: np.ndarray, toks: np.ndarray, starts: np.ndarray, lens: np.ndarray, sel: np.ndarray,
-                 k: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Exact MaxSim of one query against documents ``sel`` (rows of the batch);
-    with k, only a superset of the top-k (float32 screen) is scored exactly."""
+                 k: int | None, margin: float = 0.0, bound: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Exact MaxSim of one query against documents ``sel`` (rows of the batch); with k, only a
+    superset of the top-k (float32 screen by ``margin``; ``bound``: the k-th best so far) is scored exactly."""
     qt32 = qt.astype(np.float32)
     budget = max(TOKEN_TILE, QBLOCK * TOKEN_TILE // len(qt))
     if k is not None and len(sel) > 4 * k:
@@ -334,8 +345,8 @@ def _pair_scores(qt: np.ndarray, toks: np.ndarray, starts: np.ndarray, lens: np.
             approx[c0:c1] = m.astype(np.float64).sum(axis=0)
             c0 = c1
         n = len(sel)
-        kth = np.partition(approx, n - k)[n - k]
-        sel = sel[approx >= kth - screen_margin(qt, toks)]
+        kth = max(np.partition(approx, n - k)[n - k], bound)
+        sel = sel[approx >= kth - margin]
     out = np.empty(len(sel))
     c0 = 0
     while c0 < len(sel):
@@ -360,6 +371,7 @@ def late_pair_kernel(bc, vec_col: str = "late", qids_col: str = "qids", k: int |
         dim = qtok.shape[1]
         qends = np.append(qstarts[1:], len(qtok))
         order_q = np.argsort(qids)
+        qnorms = token_norms(qtok)
         buf = TopKBuffer(qids, k) if k is not None else None
         for b in batches:
             p_all = b.column("point_id").to_numpy(zero_copy_only=False)
@@ -381,11 +393,14 @@ def late_pair_kernel(bc, vec_col: str = "late", qids_col: str = "qids", k: int |
             pair_qi, pair_r = pair_qi[o], pair_r[o]
             cuts = np.flatnonzero(np.diff(pair_qi)) + 1
             out_q, out_p, out_s = [], [], []
+            longest = float(token_norms(toks).max()) if k is not None else 0.0
             for g0, g1 in zip(np.r_[0, cuts], np.r_[cuts, len(pair_qi)]):
                 qi = pair_qi[g0]
                 if qends[qi] == qstarts[qi]:
                     continue
-                sel, sc = _pair_scores(qtok[qstarts[qi]:qends[qi]], toks, starts, lens, pair_r[g0:g1], k)
+                span = slice(qstarts[qi], qends[qi])
+                margin, bound = (0.0, -np.inf) if buf is None else (screen_margin(qnorms[span], dim, longest), buf.bound(qi))
+                sel, sc = _pair_scores(qtok[span], toks, starts, lens, pair_r[g0:g1], k, margin, bound)
                 if buf is not None:
                     buf.add(qi, p_all[rows[sel]], sc)
                 else:
