@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hyrank.llm import ann, chat, decontam, jaccard, licenses, linededup, mixing, quality, repair, suffix, warc
+from hyrank.llm import ann, chat, decontam, jaccard, langid, licenses, linededup, mixing, quality, repair, suffix, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix": mixing.op8,
     "op9_licenses": licenses.op9,
     "op10_warc": warc.op10,
+    "op11_langid": langid.op11,
     "op13_repair": repair.op13,
 }
 
