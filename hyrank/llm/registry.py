@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hyrank.llm import ann, chat, decontam, jaccard, langid, licenses, linededup, mixing, quality, repair, suffix, warc
+from hyrank.llm import ann, chat, collocations, decontam, jaccard, langid, licenses, linededup, mixing, quality, repair, suffix, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_licenses": licenses.op9,
     "op10_warc": warc.op10,
     "op11_langid": langid.op11,
+    "op12_collocations": collocations.op12,
     "op13_repair": repair.op13,
 }
 
@@ -24,4 +25,5 @@ ORACLE = {
     "op4_chat": chat.ORACLE,
     "op5_jaccard": jaccard.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
