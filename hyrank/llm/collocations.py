@@ -44,8 +44,8 @@ LONGEST = 3
 MIN_COUNT = 10
 SAMPLE_OF = 8                 # one document in so many is mined first
 LOWERED = 2                   # threshold of the sample: MIN_COUNT / SAMPLE_OF, and a little more
-SLICE = 4 << 20
-PACK_KEYS = 1 << 20
+SLICE = 2 << 20
+PACK_KEYS = 1 << 19
 KEY_BITS = 48
 KEYS_PER_BUCKET = 1 << 20
 MIN_BITS, MAX_BITS = 20, 28
