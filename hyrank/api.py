@@ -15,30 +15,47 @@ from pyspark.sql import functions as F
 
 from hyrank.operators import retrieve, shape
 from hyrank.plans import strategies
-from hyrank.plans.collection import (Collection, QuerySet, ingest_candidates, open_collection, spread, upsert_collection,
-                                     write_collection, write_queries)
+from hyrank.plans.collection import (Collection, QuerySet, check_dims, copy_collection, ingest_candidates, open_collection, spread,
+                                     upsert_collection, write_collection, write_queries, write_query_tables, write_tables)
 from hyrank.session import get_spark, ship_package
 
 METHODS = tuple(strategies.STRATEGIES)
 
 __all__ = ["get_spark", "build_collection", "build_collection_from_vectors", "open_collection", "ingest_candidates", "upsert",
-           "build_query_set",
+           "build_query_set", "build_query_set_from_vectors", "copy_collection",
            "search", "search_page", "page", "METHODS"]
 
 
 def build_collection(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     payload: list[str] = (), path: str | None = None) -> Collection:
-    """Ingest a corpus: points (payload, dense, late), postings and IDF, written once."""
+                     payload: list[str] = (), path: str | None = None, filterable: list[str] = (),
+                     **how) -> Collection:
+    """Ingest a corpus: points (payload, sparse, dense, late), postings, blocks, IDF and manifest, written once.
+
+    ``filterable``: payload that postings carry too, so that search filters on it reach their scan.
+    ``how``: dense_dim, late_dim, stopwords.
+    """
     ship_package(spark)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *payload)
-    return write_collection(spark, spread(base), path, payload=list(payload))
+    return write_collection(spark, spread(base), path, payload=list(payload), filterable=list(filterable), **how)
 
 
 def build_query_set(spark: SparkSession, queries: DataFrame, id_col: str = "query_id",
-                    text_col: str = "text") -> QuerySet:
-    """Embed a query table with the same (document-mode) representations."""
+                    text_col: str = "text", **how) -> QuerySet:
+    """Embed a query table with the same (document-mode) representations; ``how``: dense_dim, late_dim,
+    query_mode, stopwords."""
+    ship_package(spark)
+    return write_queries(spark, queries, id_col, text_col, **how)
+
+
+def build_query_set_from_vectors(spark: SparkSession, queries: DataFrame, text_col: str | None = None) -> QuerySet:
+    """Queries whose vectors were computed elsewhere: ``query_id``, ``dense`` and ``late`` (either may be null), L2-normalised
+    here as the points are; sparse terms come from ``text_col`` when given."""
+    from hyrank.operators import represent
     ship_package(spark)
-    return write_queries(spark, queries, id_col, text_col)
+    q = represent.normalize_vectors(queries, ["dense"], ["late"])
+    q = q.select("query_id", F.col("dense").cast("array<float>").alias("dense"), F.col("late").cast("array<array<float>>").alias("late"),
+                 *([F.col(text_col).alias("text")] if text_col else []))
+    return write_query_tables(spark, represent.with_sparse(q, "query_id", "text" if text_col else None))
 
 
 def upsert(spark: SparkSession, col: Collection, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -55,6 +72,7 @@ def search(col: Collection, qs: QuerySet, method: str = "rrf_dense_sparse", k: i
     scoring; ``payload`` columns are joined after the top-k (vectors never read)."""
     if method not in strategies.STRATEGIES:
         raise ValueError(f"unknown method {method!r}; choose from {METHODS}")
+    check_dims(col, qs)
     hits = strategies.STRATEGIES[method](col, qs, k, where=where, **params)
     if payload:
         bound = qs.n * k if k is not None else None
@@ -95,15 +113,6 @@ def build_collection_from_vectors(spark: SparkSession, points: DataFrame, dense_
     norm = norm.select("point_id", *payload,
                        F.col("dense").cast("array<float>").alias("dense"),
                        F.col("late").cast("array<array<float>>").alias("late"),
-                       *([F.col(text_col)] if text_col else []))
-    norm.drop(*([text_col] if text_col else [])).write.mode("errorifexists").parquet(f"{path}/points")
-    pts = spark.read.parquet(f"{path}/points")
-    if text_col:
-        post = represent.bm25_weights(points.join(valid.select("point_id"), "point_id", "left_semi")
-                                      .select("point_id", text_col), "point_id", text_col)
-    else:
-        post = spark.createDataFrame([], "point_id long, term string, tf long, dl long, weight double")
-    post.write.mode("errorifexists").parquet(f"{path}/postings")
-    p = spark.read.parquet(f"{path}/postings")
-    represent.idf_table(p).write.mode("errorifexists").parquet(f"{path}/idf")
-    return open_collection(spark, path), rejected
+                       *([F.col(text_col).alias("_text")] if text_col else []))
+    full = represent.with_sparse(norm, "point_id", "_text" if text_col else None).drop("_text")
+    return write_tables(spark, path, full, points.count(), list(payload), [], dense_dim, late_dim), rejected

@@ -112,6 +112,32 @@ def _flat_multivectors(col: pa.Array, dim: int):
     return ok, tokens, starts
 
 
+def number_kernel(group: list[str]):
+    """Rows in order -> the same with the partition's number (``_part``) and a count from 1 within each run of equal groups (``_local``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for c in group:
+                col = b.column(c)
+                same = pc.fill_null(pc.equal(col.slice(1), col.slice(0, b.num_rows - 1)), False).to_numpy(zero_copy_only=False)
+                null = col.is_null().to_numpy(zero_copy_only=False)
+                new[1:] |= ~(same | (null[1:] & null[:-1]))
+            first = [b.column(c)[0].as_py() for c in group]
+            at = np.arange(b.num_rows)
+            start = np.maximum.accumulate(np.where(new, at, 0))
+            local = at - start + 1
+            if last == first:
+                local[start == 0] += seen
+            last, seen = [b.column(c)[b.num_rows - 1].as_py() for c in group], int(local[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(local)],
+                                             names=[*b.schema.names, "_part", "_local"])
+    return run
+
+
 # ---------------------------------------------------------------------------
 # Dense: cosine top-k (vectors are unit length, so cosine = dot product)
 # ---------------------------------------------------------------------------
@@ -193,6 +219,7 @@ def dense_block_kernel(k: int):
 # Late interaction: MaxSim = sum over query tokens of max over doc tokens
 # ---------------------------------------------------------------------------
 
+GATHER = 1 << 18   # token vectors an embedder gathers at once
 QBLOCK = 256        # query-token rows per GEMM block
 QUERY_TILE = 1024   # queries whose scores against a batch exist at once
 TOKEN_TILE = 4096   # document tokens per tile: a 256 x 4096 block stays cache-resident
@@ -478,43 +505,73 @@ def late_embed_array(tok_col: pa.Array, emb: HashEmbedder) -> pa.Array:
     return _list_of_lists(t.ravel(), np.full(len(t), dim), per_row, null_rows)
 
 
-def embed_batch(tok_col: pa.Array, emb: HashEmbedder, late_dim: int) -> tuple[pa.Array, pa.Array]:
-    """Dense and late vectors of a batch from one token dictionary.
+def embedder(dim: int) -> HashEmbedder:
+    """The worker's hashing embedder; its token cache outlives the task."""
+    if dim not in _EMBEDDERS:
+        _EMBEDDERS[dim] = HashEmbedder(dim)
+    return _EMBEDDERS[dim]
+
+
+_EMBEDDERS: dict[int, HashEmbedder] = {}
+
+
+def sparse_batch(tok_col: pa.Array):
+    """(terms, tf, dl, names): each row's distinct tokens and their counts as lists, its number of tokens, and
+    what the rows' terms are made of: (row of each term, its place in names, offsets)."""
+    n_tok = tok_col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = tok_col.flatten()
+    coded = flat.dictionary_encode()
+    names = coded.dictionary
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    key, tf = np.unique(np.repeat(np.arange(len(n_tok)), n_tok) * max(1, len(names)) + code, return_counts=True)
+    row, term = key // max(1, len(names)), key % max(1, len(names))
+    off = np.searchsorted(row, np.arange(len(n_tok) + 1))
+    return n_tok, names, row, term, tf, off
+
+
+def embed_batch(tok_col: pa.Array, emb: HashEmbedder, late_dim: int):
+    """(terms, tf, dl, dense, late) of a batch of token lists, from one token dictionary.
 
     Component i of the hashing embedder does not depend on the dimension, so
     a token's late vector is the first ``late_dim`` components of its dense
     token vector: one md5 pass serves both. Late vectors are one per distinct
-    token of each row (MaxSim ignores repeats and order).
+    token of each row (MaxSim ignores repeats and order). Token vectors are gathered
+    for about ``GATHER`` terms at a time.
     """
-    n_tok, vecs, idx = _token_matrix(tok_col, emb)
-    n = len(n_tok)
-    dim = emb.dim
+    n_tok, names, row, term, tf, off = sparse_batch(tok_col)
+    vecs = emb.vectors(names.to_pylist())
+    n, dim = len(n_tok), emb.dim
+    lists = pa.array(off.astype(np.int32))
+    terms = pa.ListArray.from_arrays(lists, names.take(pa.array(term)))
+    counts = pa.ListArray.from_arrays(lists, pa.array(tf.astype(np.int32)))
     dense = np.zeros((n, dim))
-    late_vals = np.empty((0, late_dim))
-    per_row = np.zeros(n, np.int64)
-    if len(idx):
-        nz = np.flatnonzero(n_tok > 0)
-        starts = np.concatenate([[0], np.cumsum(n_tok)[:-1]])[nz]
-        dense[nz] = np.add.reduceat(vecs[idx], starts, axis=0)
-        row = np.repeat(np.arange(n), n_tok)
-        key = np.unique(row * len(vecs) + idx)                  # distinct (row, token), row-major
-        r, t = key // len(vecs), key % len(vecs)
-        lv = vecs[t, :late_dim]
-        norms = np.linalg.norm(lv, axis=1)
-        good = norms > 0
-        late_vals = lv[good] / norms[good][:, None]
-        per_row = np.bincount(r[good], minlength=n)
+    late_parts, per_row = [np.empty((0, late_dim), np.float32)], np.zeros(n, np.int64)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + GATHER, "right")) - 1)
+        span = slice(off[lo], off[hi])
+        if off[hi] > off[lo]:
+            full = lo + np.flatnonzero(np.diff(off[lo:hi + 1]))
+            own = vecs[term[span]]
+            dense[full] = np.add.reduceat(own * tf[span, None], off[full] - off[lo], axis=0)
+            own = own[:, :late_dim]
+            norms = np.linalg.norm(own, axis=1)
+            good = norms > 0
+            late_parts.append((own[good] / norms[good][:, None]).astype(np.float32))
+            per_row += np.bincount(row[span][good], minlength=n)
+        lo = hi
     norms = np.linalg.norm(dense, axis=1)
     null_d = norms == 0
     dense = dense / np.where(null_d, 1.0, norms)[:, None]
     dense_arr = _vectors(dense[~null_d].ravel(), np.where(null_d, 0, dim), null_d)
+    late_vals = np.concatenate(late_parts)
     late_arr = _list_of_lists(late_vals.ravel(), np.full(len(late_vals), late_dim), per_row, per_row == 0)
-    return dense_arr, late_arr
+    return terms, counts, n_tok, dense_arr, late_arr
 
 
 def dense_embed_kernel(dim: int, id_col: str, tok_col: str, out_col: str, normalize: bool = True):
     def run(batches):
-        emb = HashEmbedder(dim)
+        emb = embedder(dim)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(id_col), dense_embed_array(b.column(tok_col), emb, normalize)],
                                              names=[id_col, out_col])
@@ -523,7 +580,7 @@ def dense_embed_kernel(dim: int, id_col: str, tok_col: str, out_col: str, normal
 
 def late_embed_kernel(dim: int, id_col: str, tok_col: str, out_col: str):
     def run(batches):
-        emb = HashEmbedder(dim)
+        emb = embedder(dim)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(id_col), late_embed_array(b.column(tok_col), emb)],
                                              names=[id_col, out_col])

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: the words the searched system counts as relevant.
 RELEVANCE_WORDS = ("test", "qa")
+#: Steps of a running sum that one window takes.
+STEPS = 1024
 
 
 def relevance_flag(hits: DataFrame, text_col: str = "headline", words=RELEVANCE_WORDS) -> DataFrame:
@@ -22,15 +24,21 @@ def relevance_flag(hits: DataFrame, text_col: str = "headline", words=RELEVANCE_
 def hits_at_cutoffs(hits: DataFrame, every: int = 50, group=("query_id", "method")) -> DataFrame:
     """V2: relevant hits among the first n results, for n = every, 2*every, ...
 
-    Running sum over rank within each ranked list; each list is bounded by
-    the strategy's own limit.
+    Hits are first summed up by steps of ``every`` ranks (combined map-side). The running sum over the steps is taken
+    in two levels, runs of STEPS steps and what lies before a run, so no task holds a long list.
     """
-    w = Window.partitionBy(*group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    run = hits.withColumn("_rel", F.sum(F.col("relevant").cast("long")).over(w))
-    out = run.where(F.col("rank") % every == 0)
-    return out.select(*group, F.col("rank").cast("long").alias("cutoff"),
+    step = F.floor((F.col("rank") - 1) / every).cast("long")
+    steps = hits.groupBy(*group, step.alias("_step")).agg(F.sum(F.col("relevant").cast("long")).alias("_own"), F.max("rank").alias("_last"))
+    steps = steps.withColumn("_run", F.floor(F.col("_step") / STEPS).cast("long"))
+    inside = Window.partitionBy(*group, "_run").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = steps.groupBy(*group, "_run").agg(F.sum("_own").alias("_sum"))
+    runs = runs.select(*group, "_run", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("long")).alias("_before"))
+    out = steps.withColumn("_rel", F.sum("_own").over(inside)).join(runs, [*group, "_run"])
+    out = out.where(F.col("_last") == (F.col("_step") + 1) * every).withColumn("_rel", F.col("_rel") + F.col("_before"))
+    return out.select(*group, F.col("_last").cast("long").alias("cutoff"),
                       F.col("_rel").cast("long").alias("relevant"),
-                      (F.round(F.col("_rel") / F.col("rank"), 6) + 0.0).alias("ratio"))
+                      (F.round(F.col("_rel") / F.col("_last"), 6) + 0.0).alias("ratio"))
 
 
 def total_results(hits: DataFrame, group=("query_id", "method")) -> DataFrame:

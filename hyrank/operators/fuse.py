@@ -22,6 +22,7 @@ def rrf(branches: list[DataFrame], k: int | None = 10, c: float = RRF_C,
     score = sum over branches of 1 / (c + rank'), rank' counted from
     ``rank_base`` (0 by default; the RRF paper uses c=60 and base 1). A
     point found by one branch only still scores. Branch order is irrelevant.
+    The branches are prefetches, so a fused list is bounded by the sum of their limits.
     """
     contrib = None
     for b in branches:
@@ -30,7 +31,7 @@ def rrf(branches: list[DataFrame], k: int | None = 10, c: float = RRF_C,
         contrib = part if contrib is None else contrib.unionByName(part)
     fused = contrib.groupBy("query_id", "point_id").agg(
         (F.round(F.sum("_c"), kernels.SCORE_DECIMALS) + 0.0).alias("score"))
-    return rank_hits(fused, k)
+    return rank_hits(fused, k, bounded=True)
 
 
 def union_candidates(branches: list[DataFrame]) -> DataFrame:
@@ -44,7 +45,7 @@ def union_candidates(branches: list[DataFrame]) -> DataFrame:
 
 def rerank(candidates: DataFrame, points: DataFrame, queries: DataFrame, k: int | None = 10,
            candidate_bound: int | None = None, vec_col: str = "late") -> DataFrame:
-    """Rescore candidates with MaxSim; prefetch scores are discarded."""
+    """Rescore candidates with MaxSim; prefetch scores are discarded. Lists are bounded by the prefetches."""
     from hyrank.operators.retrieve import late_rescore
     scored = late_rescore(candidates, points, queries, vec_col, candidate_bound=candidate_bound, k=k)
-    return rank_hits(scored, k)
+    return rank_hits(scored, k, bounded=True)

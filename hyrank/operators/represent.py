@@ -5,7 +5,7 @@
 * E3 ``idf_table``    postings -> (term, n, idf)
 * E4 ``embed_late``   text -> one unit vector per distinct token
 * E5 ``normalize_vectors`` L2-normalise vector columns once, at write time
-* E6 ``build_points`` all representations of a corpus in one pass
+* E6 ``build_points`` all representations of a corpus in one pass over its texts
 * E7 ``build_queries`` the same representations for a query table
 """
 
@@ -121,51 +121,93 @@ def normalize_vectors(df: DataFrame, cols: list[str], multivector_cols: list[str
 
 def embed_all(df: DataFrame, id_col: str = "point_id", text_col: str = "text",
               dense_dim: int = DENSE_DIM, late_dim: int = LATE_DIM,
-              keep: list[str] = ()) -> DataFrame:
-    """Dense and late vectors for every row in one Arrow pass (no self-join),
-    from one token array and one token dictionary per batch."""
+              keep: list[str] = (), stopwords: list[str] | None = None) -> DataFrame:
+    """Every representation of a row in one Arrow pass over one token array: (id, keep..., dl, terms, tf, dense, late).
+
+    ``terms`` and ``tf`` are the row's distinct tokens and their counts, ``dl`` its number of tokens;
+    stopwords are left out of the terms, not of the vectors or of ``dl``.
+    """
     if late_dim > dense_dim:
         raise ValueError("late_dim must not exceed dense_dim (late vectors reuse the dense token hashes)")
     src = df.select(F.col(id_col), *[F.col(c) for c in keep], text.tokens(text_col).alias("_toks"))
     fields = [df.schema[id_col]] + [df.schema[c] for c in keep]
-    schema = T.StructType(fields + [T.StructField("dense", VEC, True), T.StructField("late", MULTIVEC, True)])
+    schema = T.StructType(fields + SPARSE_FIELDS + [T.StructField("dense", VEC, True), T.StructField("late", MULTIVEC, True)])
     names = [id_col, *keep]
 
     def run(batches):
         import pyarrow as pa
-        emb = text.HashEmbedder(dense_dim)
+        emb = kernels.embedder(dense_dim)
         for b in batches:
-            dense, late = kernels.embed_batch(b.column("_toks"), emb, late_dim)
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [dense, late],
-                                             names=names + ["dense", "late"])
+            terms, tf, dl, dense, late = kernels.embed_batch(b.column("_toks"), emb, late_dim)
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(dl), terms, tf, dense, late],
+                                             names=names + ["dl", "terms", "tf", "dense", "late"])
+
+    out = src.mapInArrow(run, schema)
+    if stopwords:
+        both = F.filter(F.arrays_zip("terms", "tf"), lambda x: ~x["terms"].isin(list(stopwords)))
+        out = out.withColumn("_z", both).withColumn("terms", F.col("_z.terms")).withColumn("tf", F.col("_z.tf")).drop("_z")
+    return out
+
+
+SPARSE_FIELDS = [T.StructField("dl", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType())),
+                 T.StructField("tf", T.ArrayType(T.IntegerType()))]
 
-    return src.mapInArrow(run, schema)
+
+def with_weights(df: DataFrame, k1: float = text.BM25_K1, b: float = text.BM25_B, avgdl: float = text.BM25_AVGDL) -> DataFrame:
+    """BM25 ``weights`` beside ``terms`` and ``tf`` (the sparse vector of a row)."""
+    return df.withColumn("weights", F.transform("tf", lambda tf: text.bm25_weight(tf, F.col("dl"), k1, b, avgdl)))
+
+
+def with_sparse(df: DataFrame, id_col: str, text_col: str | None) -> DataFrame:
+    """``df`` with dl, terms, tf and weights from a text column, in the row (without one: empty)."""
+    if text_col is None:
+        none = df.withColumn("dl", F.lit(0).cast("long")).withColumn("terms", F.array().cast("array<string>"))
+        return with_weights(none.withColumn("tf", F.array().cast("array<int>")))
+    toks = df.withColumn("_t", F.array_sort(F.coalesce(text.tokens(text_col), F.array().cast("array<string>"))))
+    terms = toks.withColumn("dl", F.size("_t").cast("long")).withColumn("terms", F.array_distinct("_t"))
+    # tokens are sorted: a term's count is the distance between where it and the next term begin
+    starts = terms.withColumn("_s", F.transform("terms", lambda t: F.array_position("_t", t).cast("int")))
+    ends = F.concat(F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1))), F.array((F.col("dl") + 1).cast("int")))
+    tf = F.when(F.size("_s") > 0, F.zip_with("_s", ends, lambda a, b: b - a)).otherwise(F.array().cast("array<int>"))
+    return with_weights(starts.withColumn("tf", tf)).drop("_t", "_s")
+
+
+def exploded(points: DataFrame, id_col: str = "point_id", keep: list[str] = ()) -> DataFrame:
+    """Postings (id, keep..., term, tf, dl, weight) of rows with sparse vectors; no text is read again."""
+    z = points.select(id_col, *keep, "dl", F.explode(F.arrays_zip("terms", "tf", "weights")).alias("_z"))
+    return z.select(id_col, *keep, F.col("_z.terms").alias("term"), F.col("_z.tf").cast("long").alias("tf"), "dl",
+                    F.col("_z.weights").alias("weight"))
 
 
 def build_points(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 payload: list[str] = (), dense_dim: int = DENSE_DIM, late_dim: int = LATE_DIM):
-    """(points, postings) for a corpus table.
+                 payload: list[str] = (), dense_dim: int = DENSE_DIM, late_dim: int = LATE_DIM,
+                 stopwords: list[str] | None = None):
+    """(points, postings) of a corpus table; points: point_id, payload..., dl, terms, tf, weights, dense, late.
 
-    ``points``: point_id, payload..., dense, late. ``postings``: the sparse
-    vectors in long form. Callers write both once (see plans.collection).
+    The postings are the points' sparse vectors in long form. Callers write the points and
+    take ``exploded`` of what they wrote, so every text is read and tokenised once.
     """
     base = docs.select(F.col(id_col).alias("point_id"), F.col(text_col).alias("text"), *payload)
-    points = embed_all(base, "point_id", "text", dense_dim, late_dim, keep=list(payload))
-    postings = bm25_weights(base, "point_id", "text")
-    return points, postings
+    points = with_weights(embed_all(base, "point_id", "text", dense_dim, late_dim, keep=list(payload), stopwords=stopwords))
+    return points, exploded(points)
 
 
 def build_queries(queries: DataFrame, id_col: str = "item_id", text_col: str = "text",
-                  dense_dim: int = DENSE_DIM, late_dim: int = LATE_DIM, query_mode: str = "document"):
-    """(queries, query_terms) using the document-mode embedders.
+                  dense_dim: int = DENSE_DIM, late_dim: int = LATE_DIM, query_mode: str = "document",
+                  stopwords: list[str] | None = None):
+    """(queries, query_terms) with the document-mode embedders; queries: query_id, text, dl, terms, tf, weights,
+    dense, late.
 
     ``query_mode='document'`` keeps BM25-saturated query weights (as the
     searched system does); ``'unit'`` gives every query term weight 1.
     """
     base = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
-    q = embed_all(base, "query_id", "text", dense_dim, late_dim, keep=["text"])
-    terms = bm25_weights(base, "query_id", "text")
+    q = with_weights(embed_all(base, "query_id", "text", dense_dim, late_dim, keep=["text"], stopwords=stopwords))
     if query_mode == "unit":
-        terms = terms.withColumn("weight", F.lit(1.0))
-    terms = terms.select("query_id", "term", F.col("weight").alias("qweight"))
-    return q, terms
+        q = q.withColumn("weights", F.transform("weights", lambda w: F.lit(1.0)))
+    return q, query_terms(q)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qweight) of queries with sparse vectors."""
+    return exploded(queries, "query_id").select("query_id", "term", F.col("weight").alias("qweight"))

@@ -14,6 +14,7 @@ the corpus is still spread over many tasks.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 
 from hyrank.functions import kernels
 from hyrank.functions.text import _token_vector
+from hyrank.session import work_dir
 
 MAX_QUERY_BYTES = 64 << 20          # per broadcast query block
 MAX_BROADCAST_ROWS = 2_000_000      # bound for broadcasting candidate/term sets
@@ -77,8 +79,14 @@ def scan_partitions(df: DataFrame) -> int:
 
 
 def rank_hits(cand: DataFrame, k: int | None, salt_buckets: int = 1,
-              group: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """(group..., point_id, score) -> + rank (bigint), best first, rank <= k."""
+              group: tuple[str, ...] = ("query_id",), bounded: bool = False) -> DataFrame:
+    """(group..., point_id, score) -> + rank (bigint), best first, rank <= k.
+
+    Without ``k`` lists may be of any length (``rank_all``), unless the caller knows them to be
+    ``bounded`` by the limits of prefetches: such a list is ordered in one task.
+    """
+    if k is None and not bounded:
+        return rank_all(cand, group)
     _ensure_group_limit(_spark(cand), k)
     order = [F.col("score").desc(), F.col("point_id").asc()]
     if k is not None and salt_buckets > 1:
@@ -90,6 +98,30 @@ def rank_hits(cand: DataFrame, k: int | None, salt_buckets: int = 1,
     return ranked.where(F.col("rank") <= k) if k is not None else ranked
 
 
+def rank_all(cand: DataFrame, group: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Ranks of whole result lists, however long: no task holds a group's list.
+
+    Hits are range-partitioned by (group, score, point_id) and sorted; each
+    partition counts its own hits of a group (a streaming pass), and the
+    counts of the partitions before it are added. The numbered hits are written once
+    (checkpoint), so the search below runs once for its range bounds and its ranks.
+    """
+    spark = _spark(cand)
+    work_dir(spark)
+    cand = cand.checkpoint()
+    keys = [*[F.col(c) for c in group], F.col("score").desc(), F.col("point_id").asc()]
+    parts = cand.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    schema = T.StructType([*cand.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
+    local = parts.mapInArrow(kernels.number_kernel(list(group)), schema).checkpoint()
+    sizes = local.groupBy(*group, "_part").agg(F.max("_local").alias("_n"))           # groups x partitions at most
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))).drop("_n")
+    keys = [*group, "_part"]
+    sizes = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_before")
+    on = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    return local.join(sizes, on).select(*cand.columns, (F.col("_before") + F.col("_local")).alias("rank"))
+
+
 # ---------------------------------------------------------------------------
 # Query blocks (bounded driver-side query matrices)
 # ---------------------------------------------------------------------------
@@ -171,7 +203,7 @@ def _union(parts: list[DataFrame], schema: T.StructType, spark: SparkSession) ->
 
 def dense_topk(points: DataFrame, queries: DataFrame, k: int | None = 10, threshold: float | None = None,
                vec_col: str = "dense", max_query_bytes: int = MAX_QUERY_BYTES,
-               salt_buckets: int | None = None) -> DataFrame:
+               salt_buckets: int | None = None, ranked: bool = True) -> DataFrame:
     """Cosine top-k per query (vectors are unit length).
 
     The threshold is applied inside the scan, so the score is computed once
@@ -183,8 +215,11 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int | None = 10, thresh
     for qids, mat in dense_query_blocks(queries, vec_col, max_query_bytes):
         bc = spark.sparkContext.broadcast((qids, mat))
         parts.append(corpus.mapInArrow(kernels.dense_topk_kernel(bc, k, threshold, "point_id", vec_col), HIT_SCHEMA))
+    hits = _union(parts, HIT_SCHEMA, spark)
+    if k is None and not ranked:
+        return hits
     salt = salt_buckets if salt_buckets is not None else auto_salt(scan_partitions(corpus))
-    return rank_hits(_union(parts, HIT_SCHEMA, spark), k, salt)
+    return rank_hits(hits, k, salt)
 
 
 def dense_topk_blocks(points: DataFrame, queries: DataFrame, k: int = 10, vec_col: str = "dense",
@@ -221,23 +256,51 @@ def late_topk(points: DataFrame, queries: DataFrame, k: int | None = 10, vec_col
     return rank_hits(_union(parts, HIT_SCHEMA, spark), k, salt)
 
 
+def bucket_of(n_buckets: int, id_col: str = "point_id") -> Column:
+    """The bucket directory of a point (see plans.collection)."""
+    return F.pmod(F.xxhash64(id_col), F.lit(n_buckets)).cast("int")
+
+
+def n_buckets(points: DataFrame) -> int | None:
+    """How many bucket directories the points table has, if it is laid out so."""
+    return points.schema["bucket"].metadata.get("buckets") if "bucket" in points.columns else None
+
+
+def at_points(side: DataFrame, points: DataFrame, cols: list[str], bound: int | None, how: str = "inner") -> DataFrame:
+    """Columns of the points that ``side`` (point_id, ...) names, joined to it.
+
+    Points lie in directories by a hash of the id; the side's buckets prune them while the
+    query runs (dynamic partition pruning on the broadcast side), so only buckets with a wanted point are read. A side
+    without a small bound is left to a shuffle join.
+    """
+    on = ["point_id"]
+    n = n_buckets(points)
+    if n:
+        # always true; a side without any comparison is not thought worth pruning by
+        side, on = side.withColumn("bucket", bucket_of(n)).where(F.col("bucket") >= 0), ["bucket", "point_id"]
+    if bound is not None and bound <= MAX_BROADCAST_ROWS:
+        side = F.broadcast(side)
+    return points.select(*on, *cols).join(side, on, how).drop("bucket")
+
+
+def candidate_rows(candidates: DataFrame, points: DataFrame, cols: list[str], bound: int | None) -> DataFrame:
+    """(point_id, cols..., qids): each candidate point once, with the queries that chose it."""
+    wanted = candidates.where(F.col("point_id").isNotNull()).groupBy("point_id").agg(F.collect_list("query_id").alias("qids"))
+    return at_points(wanted, points, cols, bound)
+
+
 def late_rescore(candidates: DataFrame, points: DataFrame, queries: DataFrame, vec_col: str = "late",
                  max_query_bytes: int = MAX_QUERY_BYTES, candidate_bound: int | None = None,
                  k: int | None = None) -> DataFrame:
     """MaxSim for given (query_id, point_id) pairs only.
 
-    Candidates are grouped per point (a point lists at most every query of
-    the block), so each point's vectors are read and shipped once. When the
-    candidate set's bound is small it is broadcast and the point table is
-    filtered in place, without a shuffle of the vector table. With ``k``
-    only each task's per-query top-k is returned (enough for a top-k rank).
+    Candidates are grouped per point (a point lists at most every query),
+    so each point's vectors are read and shipped once, and buckets without a
+    candidate are not read (``at_points``). With ``k`` only each task's
+    per-query top-k is returned (enough for a top-k rank).
     """
     spark = _spark(points)
-    per_point = candidates.groupBy("point_id").agg(F.collect_list("query_id").alias("qids"))
-    side = per_point
-    if candidate_bound is not None and candidate_bound <= MAX_BROADCAST_ROWS:
-        side = F.broadcast(per_point)
-    rows = points.select("point_id", vec_col).where(F.size(vec_col) > 0).join(side, "point_id")
+    rows = candidate_rows(candidates, points, [vec_col], candidate_bound).where(F.size(vec_col) > 0)
     parts = []
     for qids, qtok, qstarts in late_query_blocks(queries, vec_col, max_query_bytes):
         bc = spark.sparkContext.broadcast((qids, qtok, qstarts))
@@ -289,9 +352,11 @@ def sparse_scores(postings: DataFrame, idf: DataFrame, query_terms: DataFrame,
 
 def sparse_topk(postings: DataFrame, idf: DataFrame, query_terms: DataFrame, k: int | None = 10,
                 candidates: DataFrame | None = None, candidate_bound: int | None = None,
-                salt_buckets: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+                salt_buckets: int | None = None, allowed: DataFrame | None = None, ranked: bool = True) -> DataFrame:
     """R2: IDF-weighted sparse dot product top-k (``allowed``: payload-filtered points)."""
     s = sparse_scores(postings, idf, query_terms, candidates, candidate_bound, allowed)
+    if k is None and not ranked:
+        return s
     salt = salt_buckets if salt_buckets is not None else auto_salt(
         int(_spark(postings).conf.get("spark.sql.shuffle.partitions")))
     return rank_hits(s, k, salt)

@@ -1,11 +1,14 @@
-"""The searchable collection: points, postings and IDF written once as Parquet.
+"""The searchable collection: points, postings, IDF and manifest, written once as Parquet.
 
-Ingest builds every representation in one pass over the corpus and writes
-three tables under a fresh version directory in the shared work folder:
+Ingest reads every text once and writes, under a fresh directory in the shared work folder:
 
-* ``points``   point_id, payload columns, dense, late
-* ``postings`` point_id, term, tf, dl, weight          (sorted by term per file)
+* ``points``   point_id, payload, dl, terms, tf, weights, dense, late; in directories ``bucket=`` by a hash of the
+  id, sorted by id inside, so that reading some points reads their buckets only
+* ``postings`` point_id, term, tf, dl, weight and the filterable payload (sorted by term per file)
 * ``idf``      term, n, idf
+* ``blocks``   block-max postings (operators.blockmax)
+* ``manifest`` one row: sizes, dimensions, payload and layout; written last, so a directory without it
+  is no collection
 
 Search jobs read these tables, so the embedding work is never repeated per
 strategy, and the written tables cut the lineage (a lost executor replays
@@ -14,16 +17,23 @@ from Parquet, not from the raw text).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import math
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyrank.operators import represent, shape
-from hyrank.operators.retrieve import scan_partitions
+from hyrank.operators import blockmax, represent, shape
+from hyrank.operators.retrieve import bucket_of, scan_partitions
 from hyrank.session import scratch_path, ship_package
 from hyrank.sources import tables
 
+TABLES = ("points", "postings", "idf", "blocks")
+POINTS_PER_BUCKET = 4096
+MIN_BUCKETS, MAX_BUCKETS = 8, 1 << 14
+
 
 @dataclass
 class Collection:
@@ -31,6 +41,8 @@ class Collection:
     postings: DataFrame
     idf: DataFrame
     path: str
+    blocks: DataFrame | None = None
+    manifest: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -38,6 +50,7 @@ class QuerySet:
     queries: DataFrame      # query_id, text, dense, late
     terms: DataFrame        # query_id, term, qweight
     n: int
+    dims: dict = field(default_factory=dict)
 
 
 def document_payload(docs: DataFrame) -> DataFrame:
@@ -49,6 +62,8 @@ def document_payload(docs: DataFrame) -> DataFrame:
 
 
 PAYLOAD = ["headline", "lang", "source", "n_chars"]
+#: Payload that postings carry too, so that a filter on it is pushed into their scan.
+FILTERABLE = ["lang", "source"]
 TERM_SALT = 16
 
 
@@ -63,42 +78,57 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def write_collection(spark: SparkSession, docs: DataFrame, path: str | None = None,
-                     payload: list[str] = PAYLOAD) -> Collection:
+                     payload: list[str] = PAYLOAD, filterable: list[str] | None = None, **how) -> Collection:
+    """``how``: dense_dim, late_dim, stopwords of ``represent.build_points``."""
     path = path or scratch_path(spark, "collection")
-    docs = spread(docs)
-    points, postings = represent.build_points(docs, "doc_id", "text", payload=payload)
-    return _write_tables(spark, path, points, postings)
+    points, _ = represent.build_points(spread(docs), "doc_id", "text", payload=payload, **how)
+    filterable = [c for c in FILTERABLE if c in payload] if filterable is None else filterable
+    return write_tables(spark, path, points, docs.count(), payload, filterable)
 
 
 def upsert_collection(spark: SparkSession, col: Collection, docs: DataFrame, path: str | None = None,
                       payload: list[str] = PAYLOAD) -> Collection:
-    """A new collection in which ``docs`` (one row per doc_id) replace the points of their ids.
+    """A new collection in which ``docs`` replace the points of their ids; an id given twice raises.
 
-    Points and postings of these ids are dropped and written anew, and the IDF follows from
-    the postings, so terms that a replaced text no longer holds stop matching. The old
-    collection stays readable; the new one is complete once this returns.
+    Postings, blocks and IDF follow from the points, so terms that a replaced text no longer holds stop
+    matching. The old collection stays readable; the new one is complete once this returns.
     """
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not ids.isEmpty():
+        raise ValueError(f"doc_id {ids.first()[0]} is given more than once")
     path = path or scratch_path(spark, "collection")
-    points, postings = represent.build_points(spread(docs), "doc_id", "text", payload=payload)
+    m = col.manifest
+    points, _ = represent.build_points(spread(docs), "doc_id", "text", payload=payload, dense_dim=m["dense_dim"], late_dim=m["late_dim"])
     gone = docs.select(F.col("doc_id").alias("point_id")).distinct()
-    return _write_tables(spark, path,
-                         col.points.join(gone, "point_id", "left_anti").unionByName(points.select(*col.points.columns)),
-                         col.postings.join(gone, "point_id", "left_anti").unionByName(postings.select(*col.postings.columns)))
+    old = col.points.drop("bucket")
+    return write_tables(spark, path, old.join(gone, "point_id", "left_anti").unionByName(points.select(*old.columns)),
+                        m["n_points"] + docs.count(), payload, m["filterable"])
 
 
-def _write_tables(spark: SparkSession, path: str, points: DataFrame, postings: DataFrame) -> Collection:
-    points.write.mode("errorifexists").parquet(f"{path}/points")
+def write_tables(spark: SparkSession, path: str, points: DataFrame, about: int, payload: list[str],
+                 filterable: list[str], dense_dim: int | None = None, late_dim: int | None = None) -> Collection:
+    """Write all tables of a collection from its points (``about`` so many) and publish them by the manifest."""
+    buckets = int(min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(about / POINTS_PER_BUCKET))))
+    (points.withColumn("bucket", bucket_of(buckets)).repartition("bucket").sortWithinPartitions("bucket", "point_id")
+     .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/points"))
     p = spark.read.parquet(f"{path}/points")
     # Inverted-index layout: each file is sorted by term, so a term filter
     # skips row groups by their min-max statistics. Files are hashed on
     # (term, salt) -- no sampling pass over the corpus, and a hot term is
     # written by TERM_SALT tasks instead of one; AQE sizes the file count.
     salt = F.pmod(F.xxhash64("point_id"), F.lit(TERM_SALT))
-    (postings.repartition(F.col("term"), salt).sortWithinPartitions("term", "point_id")
+    (represent.exploded(p, keep=filterable).repartition(F.col("term"), salt).sortWithinPartitions("term", "point_id")
      .write.mode("errorifexists").parquet(f"{path}/postings"))
     post = spark.read.parquet(f"{path}/postings")
-    n_points = p.where(F.size("late") > 0).select(F.count(F.lit(1))).scalar()
-    represent.idf_table(post, n_points).write.mode("errorifexists").parquet(f"{path}/idf")
+    sizes = p.agg(F.count(F.lit(1)).alias("n_points"), F.count_if(F.size("terms") > 0).alias("n_sparse"), F.count("dense").alias("n_dense"),
+                  F.count_if(F.size("late") > 0).alias("n_late"), F.max(F.size("dense")).alias("dense_dim"),
+                  F.max(F.size(F.get("late", 0))).alias("late_dim")).first().asDict()
+    represent.idf_table(post, sizes["n_sparse"]).write.mode("errorifexists").parquet(f"{path}/idf")
+    blockmax.build_blocks(post, sizes["n_sparse"]).write.mode("errorifexists").parquet(f"{path}/blocks")
+    sizes["dense_dim"], sizes["late_dim"] = dense_dim or sizes["dense_dim"], late_dim or sizes["late_dim"]
+    manifest = {**sizes, "buckets": buckets, "n_blocks": max(1, math.ceil(sizes["n_sparse"] / blockmax.BLOCK_POINTS)),
+                "payload": list(payload), "filterable": list(filterable), "tables": list(TABLES)}
+    spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
     return open_collection(spark, path)
 
 
@@ -115,19 +145,57 @@ def ingest_candidates(spark: SparkSession, candidates: DataFrame, path: str | No
 
 
 def open_collection(spark: SparkSession, path: str) -> Collection:
-    return Collection(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/postings"),
-                      spark.read.parquet(f"{path}/idf"), path)
+    """The collection under ``path``; without its manifest it was never completed, which raises."""
+    try:
+        manifest = json.loads(spark.read.parquet(f"{path}/manifest").first()[0])
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise ValueError(f"no complete collection in {path}: it has no manifest") from e
+        raise
+    points, postings, idf, blocks = (spark.read.parquet(f"{path}/{t}") for t in TABLES)
+    points = points.withMetadata("bucket", {"buckets": manifest["buckets"]})
+    return Collection(points, postings, idf, path, blocks, manifest)
+
+
+def copy_collection(spark: SparkSession, col: Collection, path: str) -> Collection:
+    """Every table of a collection under another path, in the same layout, the manifest last."""
+    return write_tables(spark, path, col.points.drop("bucket"), col.manifest["n_points"], col.manifest["payload"],
+                        col.manifest["filterable"], col.manifest["dense_dim"], col.manifest["late_dim"])
+
+
+def check_dims(col: Collection, qs: QuerySet) -> None:
+    """Queries of other dimensions than the collection's raise before anything is searched."""
+    for name in ("dense_dim", "late_dim"):
+        want, got = col.manifest.get(name), qs.dims.get(name)
+        if want and got and want != got:
+            raise ValueError(f"queries have {name} {got}, the collection {want}")
+
+
+def resolves(df: DataFrame, where: Column) -> bool:
+    """Can the condition be told from the columns of ``df`` alone?"""
+    try:
+        df.where(where)
+        return True
+    except AnalysisException as e:
+        if (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+            return False
+        raise
 
 
 def write_queries(spark: SparkSession, qdf: DataFrame, id_col: str = "item_id", text_col: str = "text",
-                  path: str | None = None) -> QuerySet:
+                  path: str | None = None, **how) -> QuerySet:
+    """``how``: dense_dim, late_dim, query_mode, stopwords of ``represent.build_queries``."""
+    return write_query_tables(spark, represent.build_queries(spread(qdf), id_col, text_col, **how)[0], path)
+
+
+def write_query_tables(spark: SparkSession, queries: DataFrame, path: str | None = None) -> QuerySet:
     path = path or scratch_path(spark, "queries")
-    qdf = spread(qdf)
-    q, terms = represent.build_queries(qdf, id_col, text_col)
-    q.write.mode("errorifexists").parquet(f"{path}/queries")
-    terms.write.mode("errorifexists").parquet(f"{path}/terms")
-    qq = spark.read.parquet(f"{path}/queries")
-    return QuerySet(qq, spark.read.parquet(f"{path}/terms"), qq.count())
+    queries.write.mode("errorifexists").parquet(f"{path}/queries")
+    q = spark.read.parquet(f"{path}/queries")
+    represent.query_terms(q).write.mode("errorifexists").parquet(f"{path}/terms")
+    got = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("dense")).alias("dense_dim"),
+                F.max(F.size(F.get("late", 0))).alias("late_dim")).first().asDict()
+    return QuerySet(q, spark.read.parquet(f"{path}/terms"), got.pop("n"), got)
 
 
 _CACHE: dict[tuple, tuple[Collection, QuerySet]] = {}

@@ -609,7 +609,7 @@ def total_results(spark: SparkSession, sf: str) -> DataFrame:
     0.6 threshold, sparse to the last matching point, fusions and cascades
     to the end of their prefetches)."""
     col, qs = corpus(spark, sf)
-    runs = {"dense": S.dense(col, qs, None), "sparse": S.sparse(col, qs, None),
+    runs = {"dense": S.dense(col, qs, None, ranked=False), "sparse": S.sparse(col, qs, None, ranked=False),
             "rrf_dense_sparse": S.rrf_dense_sparse(col, qs, None), "rerank_late": S.rerank_late(col, qs, None),
             "multistep": S.multistep(col, qs, None)}
     out = None

@@ -13,7 +13,10 @@ multistep          late(sparse:N2(dense:N1))
 =================  ==========================================
 
 The payload filter (P4) is applied to the corpus feeding every branch,
-before scoring, so it prunes the scans.
+before scoring: it is pushed into the scan of the points, and into that of the postings
+where they carry the columns it asks for. The sparse branch without a filter skips
+blocks by their largest weights (operators.blockmax); a cascade's sparse stage reads the
+candidates' own term vectors, no postings.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyrank.operators import fuse, retrieve
-from hyrank.plans.collection import Collection, QuerySet
+from hyrank.operators import blockmax, fuse, retrieve
+from hyrank.plans.collection import Collection, QuerySet, resolves
 from hyrank.session import work_dir
 
 # The searched system's defaults.
@@ -31,63 +34,69 @@ PREFETCH = 1000
 DENSE_THRESHOLD = 0.6
 
 
-def _filtered(col: Collection, where: Column | None) -> tuple[DataFrame, DataFrame | None]:
-    """Points passing the payload filter (pushed to the scan) and, for the
-    sparse branch, the allowed ids (applied to scores before ranking)."""
-    if where is None:
-        return col.points, None
-    pts = col.points.where(where)
-    return pts, pts.select("point_id")
+def _filtered(col: Collection, where: Column | None) -> DataFrame:
+    """Points passing the payload filter (pushed to the scan)."""
+    return col.points if where is None else col.points.where(where)
+
+
+def _sparse(col: Collection, qs: QuerySet, k: int | None, where: Column | None, ranked: bool = True) -> DataFrame:
+    if where is None and col.blocks is not None:
+        return blockmax.blockmax_topk(col.blocks, col.idf, qs.terms, k, col.manifest.get("n_blocks"), ranked=ranked)
+    if where is None or resolves(col.postings, where):
+        postings = col.postings if where is None else col.postings.where(where)
+        return retrieve.sparse_topk(postings, col.idf, qs.terms, k, ranked=ranked)
+    # a filter on payload that postings do not carry: applied to the scores before ranking
+    return retrieve.sparse_topk(col.postings, col.idf, qs.terms, k, ranked=ranked,
+                                allowed=_filtered(col, where).select("point_id"))
 
 
 def dense(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, threshold: float | None = DENSE_THRESHOLD,
-          where: Column | None = None) -> DataFrame:
-    pts, _ = _filtered(col, where)
-    return retrieve.dense_topk(pts, qs.queries, k, threshold)
+          where: Column | None = None, ranked: bool = True) -> DataFrame:
+    """``ranked=False`` with no ``k``: the hits alone (to count them)."""
+    pts = _filtered(col, where)
+    return retrieve.dense_topk(pts, qs.queries, k, threshold, ranked=ranked)
 
 
-def sparse(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, where: Column | None = None) -> DataFrame:
-    _, allowed = _filtered(col, where)
-    return retrieve.sparse_topk(col.postings, col.idf, qs.terms, k, allowed=allowed)
+def sparse(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, where: Column | None = None, ranked: bool = True) -> DataFrame:
+    return _sparse(col, qs, k, where, ranked)
 
 
 def late(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, where: Column | None = None) -> DataFrame:
-    pts, _ = _filtered(col, where)
+    pts = _filtered(col, where)
     return retrieve.late_topk(pts, qs.queries, k)
 
 
 def rrf_dense_sparse(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch: int = PREFETCH,
                      where: Column | None = None) -> DataFrame:
-    pts, allowed = _filtered(col, where)
+    pts = _filtered(col, where)
     d = retrieve.dense_topk(pts, qs.queries, prefetch)
-    s = retrieve.sparse_topk(col.postings, col.idf, qs.terms, prefetch, allowed=allowed)
+    s = _sparse(col, qs, prefetch, where)
     return fuse.rrf([d, s], k)
 
 
 def rrf_all(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch: int = PREFETCH,
             where: Column | None = None) -> DataFrame:
-    pts, allowed = _filtered(col, where)
+    pts = _filtered(col, where)
     d = retrieve.dense_topk(pts, qs.queries, prefetch)
-    s = retrieve.sparse_topk(col.postings, col.idf, qs.terms, prefetch, allowed=allowed)
+    s = _sparse(col, qs, prefetch, where)
     lt = retrieve.late_topk(pts, qs.queries, prefetch)
     return fuse.rrf([d, s, lt], k)
 
 
 def rerank_late(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch: int = PREFETCH,
                 where: Column | None = None) -> DataFrame:
-    pts, allowed = _filtered(col, where)
+    pts = _filtered(col, where)
     d = retrieve.dense_topk(pts, qs.queries, prefetch)
-    s = retrieve.sparse_topk(col.postings, col.idf, qs.terms, prefetch, allowed=allowed)
+    s = _sparse(col, qs, prefetch, where)
     cands = fuse.union_candidates([d, s])
     return fuse.rerank(cands, pts, qs.queries, k, candidate_bound=2 * prefetch * qs.n)
 
 
 def multistep(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch_dense: int = PREFETCH,
               prefetch_sparse: int = PREFETCH, where: Column | None = None) -> DataFrame:
-    pts, allowed = _filtered(col, where)
+    pts = _filtered(col, where)
     d = retrieve.dense_topk(pts, qs.queries, prefetch_dense)
-    s = retrieve.sparse_topk(col.postings, col.idf, qs.terms, prefetch_sparse, candidates=d,
-                             candidate_bound=prefetch_dense * qs.n, allowed=allowed)
+    s = blockmax.forward_topk(pts, col.idf, qs.terms, d, prefetch_sparse, prefetch_dense * qs.n)
     return fuse.rerank(s, pts, qs.queries, k, candidate_bound=prefetch_sparse * qs.n)
 
 
@@ -115,12 +124,11 @@ def all_strategies(col: Collection, qs: QuerySet, depth: int = 200, prefetch: in
     """
     assert depth <= prefetch
     work_dir(col.points.sparkSession)       # checkpoint() needs the shared folder
-    pts, allowed = _filtered(col, where)
+    pts = _filtered(col, where)
     d = retrieve.dense_topk(pts, qs.queries, prefetch).checkpoint()
-    s = retrieve.sparse_topk(col.postings, col.idf, qs.terms, prefetch, allowed=allowed).checkpoint()
+    s = _sparse(col, qs, prefetch, where).checkpoint()
     lt = retrieve.late_topk(pts, qs.queries, prefetch).checkpoint()
-    cascade_s = retrieve.sparse_topk(col.postings, col.idf, qs.terms, prefetch, candidates=d,
-                                     candidate_bound=prefetch * qs.n, allowed=allowed).checkpoint()
+    cascade_s = blockmax.forward_topk(pts, col.idf, qs.terms, d, prefetch, prefetch * qs.n).checkpoint()
     rr_cands = fuse.union_candidates([d, s])
     both = fuse.union_candidates([rr_cands, cascade_s])
     # a pair's MaxSim does not depend on the candidate set: reuse the scores the
