@@ -13,7 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyrank.llm.common import cut
+from hyrank.llm.common import ROWS_PER_TASK, cut
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """Few tasks for few rows, behind a shuffle too: its next shuffle then writes no file for each of many nearly empty partitions."""
+    return df.coalesce(max(8, rows // ROWS_PER_TASK))
 
 
 def _stamp(edges: DataFrame):
@@ -21,17 +26,17 @@ def _stamp(edges: DataFrame):
     return r[0], r[1]
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")) \
-        .where(F.col("a") != F.col("b")).distinct()
+    low = narrow(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
+    return narrow(both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+                  .where(F.col("a") != F.col("b")), n)
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    inner = down.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    low = narrow(down.groupBy("u").agg(F.min("v").alias("m")), n)
+    inner = narrow(down.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")), n)
     return inner.unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
 
 
@@ -40,7 +45,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _stamp(e)
     while seen[0]:
-        e = cut(_small_star(_large_star(e)))
+        e = cut(_small_star(cut(_large_star(e, seen[0])), seen[0]))
         now = _stamp(e)
         if now == seen:
             break
@@ -49,6 +54,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
                .unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct())
 
 
+def contracted(labels: DataFrame) -> DataFrame:
+    """Links that say what ``labels`` say: one from each node to its component. With new links beside them
+    components are found in few rounds, whatever links the labels came from."""
+    return labels.where(F.col("id") != F.col("component")).select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
 def star_components(lists: DataFrame, fits, verify, links: DataFrame | None = None, checked: DataFrame | None = None, rounds: int = 2):
     """Components of the links inside candidate lists, found by stars instead of all pairs.
 
@@ -56,23 +67,22 @@ def star_components(lists: DataFrame, fits, verify, links: DataFrame | None = No
     link meets; ``verify``: pairs (a, b) -> those that link. Each round
     compares the members of a list with one hub of it. ``links`` and ``checked``:
     what is known from elsewhere. Returns (labels
-    (id, component), links, checked pairs, lists that still span components).
+    (id, component), links that say the same, checked pairs, lists that still span components).
     """
     labels = None if links is None else connected_components(links)
     live = lists.withColumn("component", F.col("cls")) if links is None else cut(live_lists(lists, labels))
     for r in range(rounds):
         # first the hub with the least of its own beside what the list shares (``info`` leads with a size), then another
         pick = F.min(F.struct("info", "cls", "component")) if r == 0 else F.max(F.struct("cls", "info", "component"))
-        hub = live.groupBy("token").agg(pick.alias("hub"))
+        hub = narrow(live.groupBy("token").agg(pick.alias("hub")), live.count())
         pairs = live.join(hub, "token").where((F.col("hub.component") != F.col("component")) & fits(F.col("info"), F.col("hub.info")))
         pairs = pairs.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
         pairs = cut(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
         good = cut(verify(pairs))
         checked = pairs if checked is None else cut(checked.unionAll(pairs))
-        links = good if links is None else links.unionAll(good)
-        labels = connected_components(links)
+        labels = connected_components(good if labels is None else contracted(labels).unionAll(good))
         live = cut(live_lists(lists, labels))
-    return labels, links, checked, live
+    return labels, contracted(labels), checked, live
 
 
 def live_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
