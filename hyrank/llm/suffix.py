@@ -22,7 +22,7 @@ meet, not all in one array:
    repeated strings; suffixes of a segment that occurs twice have an equal copy beside them.
 5. Marked starts return to all places of their segment and are merged by document.
 
-Null text: empty. Texts shorter than LENGTH keep all bytes. Equal document
+Null text: empty. An empty table gives an empty result. Texts shorter than LENGTH keep all bytes. Equal document
 rows are separate places (so both lose what they share). Long texts are
 hashed in pieces that overlap by LENGTH - 1 bytes, which changes nothing in the result.
 """
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hyrank.llm import textbytes as tb
-from hyrank.llm.common import cut, few, table
+from hyrank.llm.common import cut, few, packed, table, unpacked
+from hyrank.session import scratch_path
 
 LENGTH = 400
 GRAM = 32
@@ -141,25 +142,34 @@ def recut(docs: DataFrame, hot: DataFrame, block: int) -> DataFrame:
 
 
 def _twice(segs: DataFrame) -> DataFrame:
-    """Segments whose key occurs at least twice."""
-    keys = segs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    return segs.join(keys, "key", "left_semi")
+    """Segments whose key occurs at least twice.
+
+    Keys are counted map-side; only the keys that recur meet the segments, where those are if they are few.
+    """
+    keys = cut(segs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
+    return few(segs, keys, "key")
 
 
 def candidates(docs: DataFrame, blocks=BLOCKS, hot_limit: int = HOT) -> DataFrame:
     """Segments that can hold repeated strings, no key with an unbounded number of different ones."""
-    done, now = None, cut(_twice(segments(docs, blocks[0])))
+    done, now = None, cut(_twice(written(segments(docs, blocks[0]), "suffix-segments")))
     for block in blocks[1:]:
         hot = cut(now.select("key", "seg").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("c"))
                   .where(F.col("c") > hot_limit).select("key"))
         if hot.isEmpty():
             break
-        cold = now.join(hot, "key", "left_anti")
+        cold = few(now, hot, "key", inside=False)
         done = cold if done is None else done.unionByName(cold)
-        now = cut(_twice(recut(docs, now.join(hot, "key", "left_semi"), block)))
+        now = cut(_twice(cut(recut(docs, few(now, hot, "key"), block))))
     return now if done is None else done.unionByName(now)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def suffix_order(text: np.ndarray, seg_off: np.ndarray, n_starts: np.ndarray) -> np.ndarray:
     """Starts (the first ``n_starts`` places of each segment) in suffix order, by their first LENGTH bytes.
 
@@ -320,22 +330,29 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return placed.groupBy("_key").agg(F.sort_array(F.collect_list("run")).alias("runs"))
 
 
+EXTRA = "removed array<struct<lo:long,hi:long>>, n_bytes long, kept binary"
+
+
 def dedup_substrings(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``removed`` (merged byte runs), ``n_bytes`` and the kept bytes' ``kept`` (binary)."""
-    keyed = docs.withColumn("_key", F.xxhash64(*[c for c in ("doc_id",) if c in docs.columns], F.coalesce(text_col, F.lit(""))))
-    spans = repeated_spans(keyed.select("_key", F.col(text_col).alias("text")))
-    spans = cut(spans)
+    """``docs`` plus ``removed`` (merged byte runs), ``n_bytes`` and the kept bytes' ``kept`` (binary).
+
+    The caller's columns of these three names are replaced; any others pass through, whatever their names.
+    """
+    docs = docs.drop("removed", "n_bytes", "kept")
+    ids = ["doc_id"] if "doc_id" in docs.columns else []
+    inner = packed(docs, *ids, text_col).withColumnRenamed(text_col, "text")
+    keyed = inner.withColumn("_key", F.xxhash64(*ids, F.coalesce("text", F.lit(""))))
+    spans = cut(repeated_spans(keyed.select("_key", "text")))
     names = spans.select("_key")
     both = few(keyed, names, "_key").join(spans, "_key").unionByName(
         few(keyed, names, "_key", inside=False).withColumn("runs", F.lit(None).cast(spans.schema["runs"].dataType))).drop("_key")
-    extra = T._parse_datatype_string("removed array<struct<lo:long,hi:long>>, n_bytes long, kept binary")
-    schema = T.StructType([*docs.schema.fields, *extra.fields])
-    names, own = schema.names, docs.columns
+    schema = T.StructType([*inner.schema.fields, *T._parse_datatype_string(EXTRA).fields])
+    names, own = schema.names, inner.columns
 
     def run(batches):
-        for b in tb.slices(batches, text_col):
+        for b in tb.slices(batches):
             removed, size, kept = [], [], []
-            for text, runs in zip(b.column(text_col), b.column("runs").to_pylist()):
+            for text, runs in zip(b.column("text"), b.column("runs").to_pylist()):
                 raw = (text.as_py() or "").encode()
                 merged: list[list[int]] = []
                 for r in runs or ():
@@ -352,7 +369,8 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 [*(b.column(c) for c in own), pa.array(removed, kind), pa.array(size, pa.int64()), pa.array(kept, pa.binary())],
                 names=names)
 
-    return both.mapInArrow(run, schema)
+    out = both.mapInArrow(run, schema).withColumnRenamed("text", text_col)
+    return out.select(*unpacked(out, docs, *ids, text_col), "removed", "n_bytes", "kept")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
