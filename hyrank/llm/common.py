@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_PER_TASK = 100_000
 
 
+_CUTS = itertools.count(1)
+TIDY_EVERY = 6
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished rounds: its cleaner does so when the driver's JVM has
+    collected their plans, which an idle driver may not do for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: an eager reliable checkpoint in the shared folder.
 
@@ -24,6 +38,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     work_dir(df.sparkSession)
     out = df.checkpoint()
+    if next(_CUTS) % TIDY_EVERY == 0:
+        tidy(df.sparkSession)
     return out.coalesce(max(8, out.count() // ROWS_PER_TASK))
 
 
