@@ -143,7 +143,8 @@ def number_kernel(group: list[str]):
 # ---------------------------------------------------------------------------
 
 def dense_topk_kernel(bc, k: int | None, threshold: float | None,
-                      id_col: str = "point_id", vec_col: str = "dense"):
+                      id_col: str = "point_id", vec_col: str = "dense", after: list | None = None):
+    """Local top-k. ``after``: for each query the (score, id) behind which hits count (search-after)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qmat = bc.value
         dim = qmat.shape[1]
@@ -160,7 +161,11 @@ def dense_topk_kernel(bc, k: int | None, threshold: float | None,
                 for q in range(0, len(qids), QBLOCK):
                     for qi, row in enumerate(round_scores(qmat[q:q + QBLOCK] @ mat[s:s + step].T), q):
                         low = buf.bound(qi) if threshold is None else max(threshold, buf.bound(qi))
-                        if low > -np.inf:
+                        if after is not None:
+                            score, pid = after[qi]
+                            keep = np.flatnonzero((row >= low) & ((row < score) | ((row == score) & (tid > pid))))
+                            buf.add(qi, tid[keep], row[keep])
+                        elif low > -np.inf:
                             keep = np.flatnonzero(row >= low)
                             buf.add(qi, tid[keep], row[keep])
                         else:

@@ -108,6 +108,11 @@ def idf_table(postings: DataFrame, n_points: Column | int | None = None,
     return dfreq.select("term", "n", text.idf(n_col, F.col("n")).alias("idf"))
 
 
+def idf_of(frequencies: DataFrame, n_points: int) -> DataFrame:
+    """(term, n, idf) of known document frequencies (term, n) among ``n_points``."""
+    return frequencies.select("term", "n", text.idf(F.lit(int(n_points)), F.col("n")).alias("idf"))
+
+
 def normalize_vectors(df: DataFrame, cols: list[str], multivector_cols: list[str] = ()) -> DataFrame:
     """E5: unit-length vectors (JVM side); zero/empty vectors become null."""
     out = df
@@ -121,11 +126,12 @@ def normalize_vectors(df: DataFrame, cols: list[str], multivector_cols: list[str
 
 def embed_all(df: DataFrame, id_col: str = "point_id", text_col: str = "text",
               dense_dim: int = DENSE_DIM, late_dim: int = LATE_DIM,
-              keep: list[str] = (), stopwords: list[str] | None = None) -> DataFrame:
+              keep: list[str] = (), stopwords: list[str] | None = None, embedder=None) -> DataFrame:
     """Every representation of a row in one Arrow pass over one token array: (id, keep..., dl, terms, tf, dense, late).
 
     ``terms`` and ``tf`` are the row's distinct tokens and their counts, ``dl`` its number of tokens;
-    stopwords are left out of the terms, not of the vectors or of ``dl``.
+    stopwords are left out of the terms, not of the vectors or of ``dl``. ``embedder(dense_dim)`` makes the
+    token embedder of a worker: ``dim`` and ``vectors(tokens) -> matrix`` (default: the hashing embedder).
     """
     if late_dim > dense_dim:
         raise ValueError("late_dim must not exceed dense_dim (late vectors reuse the dense token hashes)")
@@ -136,7 +142,7 @@ def embed_all(df: DataFrame, id_col: str = "point_id", text_col: str = "text",
 
     def run(batches):
         import pyarrow as pa
-        emb = kernels.embedder(dense_dim)
+        emb = (embedder or kernels.embedder)(dense_dim)
         for b in batches:
             terms, tf, dl, dense, late = kernels.embed_batch(b.column("_toks"), emb, late_dim)
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(dl), terms, tf, dense, late],
@@ -181,20 +187,20 @@ def exploded(points: DataFrame, id_col: str = "point_id", keep: list[str] = ())
 
 def build_points(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  payload: list[str] = (), dense_dim: int = DENSE_DIM, late_dim: int = LATE_DIM,
-                 stopwords: list[str] | None = None):
+                 stopwords: list[str] | None = None, embedder=None):
     """(points, postings) of a corpus table; points: point_id, payload..., dl, terms, tf, weights, dense, late.
 
     The postings are the points' sparse vectors in long form. Callers write the points and
     take ``exploded`` of what they wrote, so every text is read and tokenised once.
     """
     base = docs.select(F.col(id_col).alias("point_id"), F.col(text_col).alias("text"), *payload)
-    points = with_weights(embed_all(base, "point_id", "text", dense_dim, late_dim, keep=list(payload), stopwords=stopwords))
+    points = with_weights(embed_all(base, "point_id", "text", dense_dim, late_dim, keep=list(payload), stopwords=stopwords, embedder=embedder))
     return points, exploded(points)
 
 
 def build_queries(queries: DataFrame, id_col: str = "item_id", text_col: str = "text",
                   dense_dim: int = DENSE_DIM, late_dim: int = LATE_DIM, query_mode: str = "document",
-                  stopwords: list[str] | None = None):
+                  stopwords: list[str] | None = None, embedder=None):
     """(queries, query_terms) with the document-mode embedders; queries: query_id, text, dl, terms, tf, weights,
     dense, late.
 
@@ -202,7 +208,7 @@ def build_queries(queries: DataFrame, id_col: str = "item_id", text_col: str = "
     searched system does); ``'unit'`` gives every query term weight 1.
     """
     base = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
-    q = with_weights(embed_all(base, "query_id", "text", dense_dim, late_dim, keep=["text"], stopwords=stopwords))
+    q = with_weights(embed_all(base, "query_id", "text", dense_dim, late_dim, keep=["text"], stopwords=stopwords, embedder=embedder))
     if query_mode == "unit":
         q = q.withColumn("weights", F.transform("weights", lambda w: F.lit(1.0)))
     return q, query_terms(q)

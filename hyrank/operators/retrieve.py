@@ -371,6 +371,37 @@ def prefetch(hits: DataFrame, n: int) -> DataFrame:
     return hits.where(F.col("rank") <= n)
 
 
+def cursor_of(page: DataFrame) -> DataFrame:
+    """(query_id, after_score, after_id) of the last hit each query has in a page."""
+    last = page.groupBy("query_id").agg(F.max_by(F.struct("score", "point_id"), "rank").alias("l"))
+    return last.select("query_id", F.col("l.score").alias("after_score"), F.col("l.point_id").alias("after_id"))
+
+
+def dense_page(points: DataFrame, queries: DataFrame, size: int, cursor: DataFrame | None = None, vec_col: str = "dense",
+               max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+    """The next ``size`` hits of each query behind its cursor (score, point_id), ranked from 1.
+
+    The bound goes to the scan kernel, whose tasks keep ``size`` hits a query whatever the page: page n
+    costs what page 1 does, where a rank range would keep and rank n x size. A query without a cursor
+    row has no further hits. Cursors are as many as queries and travel with them.
+    """
+    spark = _spark(points)
+    corpus = points.select("point_id", vec_col).where(F.col(vec_col).isNotNull())
+    if cursor is not None:
+        queries = queries.select("query_id", vec_col).join(bounded_broadcast(cursor), "query_id")
+    parts = []
+    for qids, mat in dense_query_blocks(queries, vec_col, max_query_bytes):
+        after = None
+        if cursor is not None:
+            # as many rows as queries, which are on the driver already
+            rows = cursor.where(F.col("query_id").isin([int(q) for q in qids])).collect() if len(qids) <= MAX_PUSHED_TERMS else cursor.collect()
+            at = {r["query_id"]: (r["after_score"], r["after_id"]) for r in rows}
+            after = [at[int(q)] for q in qids]
+        bc = spark.sparkContext.broadcast((qids, mat))
+        parts.append(corpus.mapInArrow(kernels.dense_topk_kernel(bc, size, None, "point_id", vec_col, after), HIT_SCHEMA))
+    return rank_hits(_union(parts, HIT_SCHEMA, spark), size, auto_salt(scan_partitions(corpus)))
+
+
 def page_hits(hits: DataFrame, page_no: int | None = None, size: int = 10) -> DataFrame:
     """Rank once, then a page is a rank range; ``page_no=None`` labels all.
 

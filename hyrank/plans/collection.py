@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyrank.operators import blockmax, represent, shape
-from hyrank.operators.retrieve import bucket_of, scan_partitions
+from hyrank.operators.retrieve import at_points, bucket_of, scan_partitions
 from hyrank.session import scratch_path, ship_package
 from hyrank.sources import tables
 
@@ -79,7 +79,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def write_collection(spark: SparkSession, docs: DataFrame, path: str | None = None,
                      payload: list[str] = PAYLOAD, filterable: list[str] | None = None, **how) -> Collection:
-    """``how``: dense_dim, late_dim, stopwords of ``represent.build_points``."""
+    """``how``: dense_dim, late_dim, stopwords, embedder of ``represent.build_points``."""
     path = path or scratch_path(spark, "collection")
     points, _ = represent.build_points(spread(docs), "doc_id", "text", payload=payload, **how)
     filterable = [c for c in FILTERABLE if c in payload] if filterable is None else filterable
@@ -87,27 +87,47 @@ def write_collection(spark: SparkSession, docs: DataFrame, path: str | None = No
 
 
 def upsert_collection(spark: SparkSession, col: Collection, docs: DataFrame, path: str | None = None,
-                      payload: list[str] = PAYLOAD) -> Collection:
+                      payload: list[str] = PAYLOAD, **how) -> Collection:
     """A new collection in which ``docs`` replace the points of their ids; an id given twice raises.
 
-    Postings, blocks and IDF follow from the points, so terms that a replaced text no longer holds stop
-    matching. The old collection stays readable; the new one is complete once this returns.
+    Postings and blocks follow from the points, so terms that a replaced text no longer holds stop
+    matching. The IDF is carried on: document frequencies change by the new points' terms and the
+    replaced ones', no other posting is counted. The old collection stays readable; the new one is complete once this returns.
     """
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not ids.isEmpty():
         raise ValueError(f"doc_id {ids.first()[0]} is given more than once")
     path = path or scratch_path(spark, "collection")
     m = col.manifest
-    points, _ = represent.build_points(spread(docs), "doc_id", "text", payload=payload, dense_dim=m["dense_dim"], late_dim=m["late_dim"])
-    gone = docs.select(F.col("doc_id").alias("point_id")).distinct()
+    new_path = f"{path}/_new"
+    dims = {"dense_dim": m["dense_dim"] or represent.DENSE_DIM, "late_dim": m["late_dim"] or represent.LATE_DIM}
+    represent.build_points(spread(docs), "doc_id", "text", payload=payload, **dims, **how)[0].write.parquet(new_path)
+    new = spark.read.parquet(new_path)
+    gone = new.select("point_id")
     old = col.points.drop("bucket")
-    return write_tables(spark, path, old.join(gone, "point_id", "left_anti").unionByName(points.select(*old.columns)),
-                        m["n_points"] + docs.count(), payload, m["filterable"])
+    deltas = document_frequency_deltas(col, new)
+    points = old.join(gone, "point_id", "left_anti").unionByName(new.select(*old.columns))
+    return write_tables(spark, path, points, m["n_points"] + new.count(), payload, m["filterable"], df_deltas=deltas, old_idf=col.idf)
+
+
+def document_frequency_deltas(col: Collection, new: DataFrame) -> DataFrame:
+    """(term, delta): how document frequencies change when ``new`` points replace those of their ids.
+
+    Replaced points are read from their buckets only.
+    """
+    replaced = at_points(new.select("point_id"), col.points, ["terms"], new.count())
+    signed = new.select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("d")).unionAll(
+        replaced.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("d")))
+    return signed.groupBy("term").agg(F.sum("d").alias("delta")).where("delta != 0")
 
 
 def write_tables(spark: SparkSession, path: str, points: DataFrame, about: int, payload: list[str],
-                 filterable: list[str], dense_dim: int | None = None, late_dim: int | None = None) -> Collection:
-    """Write all tables of a collection from its points (``about`` so many) and publish them by the manifest."""
+                 filterable: list[str], dense_dim: int | None = None, late_dim: int | None = None,
+                 df_deltas: DataFrame | None = None, old_idf: DataFrame | None = None) -> Collection:
+    """Write all tables of a collection from its points (``about`` so many) and publish them by the manifest.
+
+    ``df_deltas`` (term, delta) on ``old_idf``: the document frequencies are carried on instead of counted.
+    """
     buckets = int(min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(about / POINTS_PER_BUCKET))))
     (points.withColumn("bucket", bucket_of(buckets)).repartition("bucket").sortWithinPartitions("bucket", "point_id")
      .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/points"))
@@ -123,7 +143,12 @@ def write_tables(spark: SparkSession, path: str, points: DataFrame, about: int,
     sizes = p.agg(F.count(F.lit(1)).alias("n_points"), F.count_if(F.size("terms") > 0).alias("n_sparse"), F.count("dense").alias("n_dense"),
                   F.count_if(F.size("late") > 0).alias("n_late"), F.max(F.size("dense")).alias("dense_dim"),
                   F.max(F.size(F.get("late", 0))).alias("late_dim")).first().asDict()
-    represent.idf_table(post, sizes["n_sparse"]).write.mode("errorifexists").parquet(f"{path}/idf")
+    if df_deltas is None:
+        idf = represent.idf_table(post, sizes["n_sparse"])
+    else:
+        n = (F.coalesce("n", F.lit(0).cast("long")) + F.coalesce("delta", F.lit(0).cast("long"))).alias("n")
+        idf = represent.idf_of(old_idf.select("term", "n").join(df_deltas, "term", "full").select("term", n).where("n > 0"), sizes["n_sparse"])
+    idf.write.mode("errorifexists").parquet(f"{path}/idf")
     blockmax.build_blocks(post, sizes["n_sparse"]).write.mode("errorifexists").parquet(f"{path}/blocks")
     sizes["dense_dim"], sizes["late_dim"] = dense_dim or sizes["dense_dim"], late_dim or sizes["late_dim"]
     manifest = {**sizes, "buckets": buckets, "n_blocks": max(1, math.ceil(sizes["n_sparse"] / blockmax.BLOCK_POINTS)),
@@ -184,7 +209,7 @@ def resolves(df: DataFrame, where: Column) -> bool:
 
 def write_queries(spark: SparkSession, qdf: DataFrame, id_col: str = "item_id", text_col: str = "text",
                   path: str | None = None, **how) -> QuerySet:
-    """``how``: dense_dim, late_dim, query_mode, stopwords of ``represent.build_queries``."""
+    """``how``: dense_dim, late_dim, query_mode, stopwords, embedder of ``represent.build_queries``."""
     return write_query_tables(spark, represent.build_queries(spread(qdf), id_col, text_col, **how)[0], path)
 
 

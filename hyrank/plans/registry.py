@@ -176,6 +176,22 @@ def page_hits(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.page_hits(hits, 2, S.PAGE_SIZE).select(*HITS, "page")
 
 
+@register("cursor_pages", O.with_base(
+    "SELECT query_id, point_id, rank, score, ((rank - 1) // 10)::BIGINT AS page FROM "
+    f"{O.ranked('dense_scores', 30)}"))
+def cursor_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Three dense pages, each asked for behind the last hit of the page before; equal to the ranks 1 to 30."""
+    col, qs = corpus(spark, sf)
+    pages, cursor = [], None
+    for n in range(3):
+        page = _hits(retrieve.dense_page(col.points, qs.queries, S.PAGE_SIZE, cursor)).withColumn("page", F.lit(n).cast("long"))
+        work_dir(spark)
+        page = page.withColumn("rank", F.col("rank") + n * S.PAGE_SIZE).checkpoint()
+        cursor = retrieve.cursor_of(page)
+        pages.append(page)
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 def _payload_sql(src: str) -> str:
     return (f"SELECT h.query_id, h.point_id, h.rank, h.score, "
             f"split_part(coalesce(d.text, ''), chr(10), 1) AS headline, d.lang, d.source "
@@ -293,6 +309,24 @@ def ingest_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(S.sparse(col, corpus(spark, sf)[1], S.PAGE_SIZE))
 
 
+@register("stream_collection", O.with_base(O.select_hits(O.ranked("sparse_scores", S.PAGE_SIZE)), "cand_docs", _CAND_DOCS))
+def stream_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate records streamed into a collection: first all, those of labelled documents with an older text, then
+    the labelled ones as they are, in several batches; equal to a batch build of the records."""
+    from hyrank.streaming.ingest import ingest_candidate_stream
+    now = C.build_candidates(spark, sf)
+    labelled = tables.load(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
+    english = F.col("bio")["english"]
+    aged = english.withField("cv_summary", F.concat(F.lit("an older text "), F.substring_index(english["cv_summary"], " ", 20)))
+    old = now.join(labelled, "id", "left_semi").withColumn("bio", F.create_map(F.lit("english"), aged))
+    base = scratch_path(spark, "candidate-stream")
+    C.write_candidates(now.join(labelled, "id", "left_anti").unionByName(old), f"{base}/first", "json")
+    ingest_candidate_stream(spark, f"{base}/first", f"{base}/versions", f"{base}/checkpoint-1")
+    C.write_candidates(now.join(labelled, "id", "left_semi").repartition(2), f"{base}/second", "json")
+    col = ingest_candidate_stream(spark, f"{base}/second", f"{base}/versions", f"{base}/checkpoint-2", max_files_per_trigger=1)
+    return _hits(S.sparse(col, corpus(spark, sf)[1], S.PAGE_SIZE))
+
+
 _SHORTENED = """short_docs AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
   THEN split_part(coalesce(text, ''), chr(10), 1) ELSE text END AS text FROM documents),
 """
@@ -396,6 +430,15 @@ def snapshot_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
                     F.when(F.col("dense").isNotNull(), F.size("dense")).cast("long").alias("dense_dim"))
 
 
+@register("snapshot_search", O.with_base(O.select_hits(O.rrf_sql([_D, _S], S.PAGE_SIZE))))
+def snapshot_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole collection (points, postings, IDF, blocks, manifest) copied, opened from the copy and searched."""
+    from hyrank.plans.collection import copy_collection, open_collection
+    col, qs = corpus(spark, sf)
+    path = copy_collection(spark, col, scratch_path(spark, "snapshot")).path
+    return _hits(S.rrf_dense_sparse(open_collection(spark, path), qs))
+
+
 @register("collection_info", O.with_base("""SELECT
   (SELECT count(*) FROM documents)::BIGINT AS n_points,
   (SELECT count(DISTINCT id) FROM d_post)::BIGINT AS n_dense,
@@ -495,6 +538,24 @@ def build_queries(spark: SparkSession, sf: str) -> DataFrame:
     return qs.terms.select("query_id", "term", (F.round("qweight", 6) + 0.0).alias("qweight"))
 
 
+_EXTERNAL = """WITH en AS (SELECT vec_id AS id, i, (embedding[i] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))::FLOAT::DOUBLE AS v
+  FROM embeddings, range(1, 65) r(i)),
+pair AS (SELECT q.id AS query_id, p.id AS point_id, (round(sum(q.v * p.v), 6) + 0.0) AS score
+  FROM en q JOIN en p USING (i) GROUP BY q.id, p.id)"""
+
+
+@register("external_vectors", f"{_EXTERNAL}\n" + O.select_hits(O.ranked("pair", S.PAGE_SIZE)))
+def external_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Points and queries whose vectors come from outside, neither of unit length: both are normalised
+    at write time, their dimensions kept in the manifest."""
+    from hyrank import api
+    e = _embedding_points(spark, sf)
+    scaled = lambda x: e.select("point_id", F.transform("dense", lambda v: v * F.lit(x)).alias("dense"), "late")
+    col, _ = api.build_collection_from_vectors(spark, scaled(4.0), 64, 8)
+    qs = api.build_query_set_from_vectors(spark, scaled(0.5).withColumnRenamed("point_id", "query_id"))
+    return _hits(api.search(col, qs, "dense", S.PAGE_SIZE, threshold=None))
+
+
 # ---------------------------------------------------------------------------
 # R11 approximate dense search, R12 batch search of a whole vector table
 # ---------------------------------------------------------------------------

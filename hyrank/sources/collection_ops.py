@@ -122,13 +122,17 @@ class VersionedTable:
         log = self._log()
         return log is not None and not log.where((F.col("stream") == stream) & (F.col("epoch") == epoch)).isEmpty()
 
-    def commit(self, df: DataFrame, stream: str | None = None, epoch: int | None = None) -> int:
+    def publish(self, data: str, stream: str | None = None, epoch: int | None = None) -> int:
+        """Name a directory below the base as the next version."""
         v = self.current_version() + 1
-        data = f"data-{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(f"{self.base}/{data}")
         self.spark.createDataFrame([(v, stream, epoch, data)], LOG_SCHEMA).write.mode("append").parquet(self.log_path)
         return v
 
+    def commit(self, df: DataFrame, stream: str | None = None, epoch: int | None = None) -> int:
+        data = f"data-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(f"{self.base}/{data}")
+        return self.publish(data, stream, epoch)
+
     def upsert(self, updates: DataFrame, key: str = "point_id", order_by: str = "seq",
                stream: str | None = None, epoch: int | None = None) -> int:
         cur = self.read()

@@ -215,3 +215,20 @@ def test_collection_from_external_vectors(spark):
     top = api.search(col, qs, "dense", k=1, threshold=None).collect()
     assert top[0].point_id == 3 and top[0].score == pytest.approx(1.0)
     assert {r.point_id for r in api.search(col, qs, "sparse", k=5).collect()} == {1, 3}
+
+
+def test_cursor_pages_follow_one_another_to_the_end(spark):
+    """Ties across the edge of a page, copies of a score, and the empty page behind the last hit."""
+    pts = spark.createDataFrame([(i, [float((i * 7) % 5) / 5, 1.0]) for i in range(23)], "point_id long, dense array<double>")
+    qs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, dense array<double>")
+    whole = retrieve.dense_topk(pts, qs, 23).select("query_id", "point_id", "score").collect()
+    want = {q: [(r.point_id, r.score) for r in whole if r.query_id == q] for q in (1, 2)}
+    got, cursor = {1: [], 2: []}, None
+    for _ in range(5):
+        page = retrieve.dense_page(pts, qs, 6, cursor)
+        rows = sorted(page.collect(), key=lambda r: (r.query_id, r["rank"]))
+        for r in rows:
+            got[r.query_id].append((r.point_id, r.score))
+        cursor = retrieve.cursor_of(spark.createDataFrame(rows, page.schema))
+    order = lambda hits: sorted(hits, key=lambda h: (-h[1], h[0]))
+    assert got == {q: order(h) for q, h in want.items()}
