@@ -490,6 +490,47 @@ def idf_table(spark: SparkSession, sf: str) -> DataFrame:
     return R.idf_table(R.bm25_weights(_docs(spark, sf))).select("term", "n", (F.round("idf", 6) + 0.0).alias("idf"))
 
 
+MODEL_LIMIT = 5000
+
+
+def _limited_model():
+    """A stand-in for a model with an input limit: the hashing embedder, for texts of up to MODEL_LIMIT characters."""
+    import re
+    from hyrank.functions import kernels
+    emb = kernels.embedder(R.DENSE_DIM)
+
+    def embed(texts):
+        if any(len(t) > MODEL_LIMIT for t in texts):
+            raise ValueError(f"a text of more than {MODEL_LIMIT} characters")
+        out = []
+        for t in texts:
+            words = re.findall(r"\w+", t.lower())
+            dense = emb.vectors(words).sum(axis=0) if words else None
+            out.append((None if dense is None else dense.tolist(), None))
+        return out
+    return embed
+
+
+@register("embed_cached", f"""WITH t AS (SELECT 'd' || doc_id AS id, text, 1 AS go FROM documents UNION ALL SELECT 'b' || item_id, text, 2 FROM benchmark),
+f AS (SELECT text, min(go) AS first FROM t GROUP BY text)
+SELECT id, CASE WHEN length(t.text) > {MODEL_LIMIT} THEN 'rejected' WHEN first < go THEN 'known' ELSE 'embedded' END AS status
+FROM t JOIN f USING (text)""")
+def embed_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents embedded, then documents and benchmark items behind a cache: only texts that are new to it go
+    through the model, texts beyond its limit are set aside."""
+    from hyrank.operators import embedding
+    docs = tables.load(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    items = tables.load(spark, sf, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), "text")
+    cache = scratch_path(spark, "embedding-cache")
+    first, _ = embedding.embed_texts(docs, cache, _limited_model, "id")
+    work_dir(spark)
+    before = spark.read.parquet(f"{cache}/vectors").select("key").checkpoint()
+    vectors, rejects = embedding.embed_texts(docs.unionByName(items), cache, _limited_model, "id")
+    known = items.select("id", embedding.text_key().alias("key")).join(before.distinct(), "key", "left_semi").select("id", F.lit(True).alias("was"))
+    status = vectors.select("id").join(known, "id", "left").select("id", F.when(F.col("was"), "known").otherwise("embedded").alias("status"))
+    return status.unionByName(rejects.select("id", F.lit("rejected").alias("status")))
+
+
 _LATE_COLS = ", ".join(f"(round(v[{i + 1}], 6) + 0.0) AS v{i}" for i in range(R.LATE_DIM))
 
 
