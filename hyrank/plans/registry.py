@@ -653,6 +653,20 @@ def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.lsh_recall(approx, exact)
 
 
+@register("ivf_recall")
+def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """recall@10 of the inverted-file index with quantised residuals against the exact search, every embedding asking;
+    with the share of vectors that a query's lists hold (no SQL twin: the lists come from k-means)."""
+    from hyrank.operators import ivf
+    pts = _norm_embeddings(spark, sf)
+    q = pts.select(F.col("point_id").alias("query_id"), "dense")
+    quantizer = ivf.fit(pts, k=S.PAGE_SIZE)
+    index = ivf.build(pts, quantizer)
+    got = ivf.search(index, quantizer, pts, q, S.PAGE_SIZE)
+    share = min(quantizer.probes, len(quantizer.centroids)) / len(quantizer.centroids)
+    return retrieve.lsh_recall(got, retrieve.dense_topk_blocks(pts, q, S.PAGE_SIZE)).withColumn("list_share", F.lit(float(share)))
+
+
 # ---------------------------------------------------------------------------
 # Evaluation (V1-V4)
 # ---------------------------------------------------------------------------
