@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from hyrank.operators import retrieve, shape
 from hyrank.plans import strategies
 from hyrank.plans.collection import (Collection, QuerySet, check_dims, copy_collection, ingest_candidates, open_collection, spread,
-                                     upsert_collection, write_collection, write_queries, write_query_tables, write_tables)
+                                     upsert_collection, with_index, write_collection, write_queries, write_query_tables, write_tables)
 from hyrank.session import get_spark, ship_package
 
 METHODS = tuple(strategies.STRATEGIES)
 
 __all__ = ["get_spark", "build_collection", "build_collection_from_vectors", "open_collection", "ingest_candidates", "upsert",
-           "build_query_set", "build_query_set_from_vectors", "copy_collection",
+           "build_query_set", "build_query_set_from_vectors", "copy_collection", "with_index",
            "search", "search_page", "page", "METHODS"]
 
 

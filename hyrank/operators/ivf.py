@@ -166,6 +166,7 @@ def search(index: DataFrame, q: Quantizer, points: DataFrame, queries: DataFrame
     """Top-k hits, exact scores; a block of queries reads the lists that one of them probes."""
     spark = points.sparkSession
     bcq = spark.sparkContext.broadcast(q)
+    keep = max(q.keep, k)
     parts, n_queries = [], 0
     for qids, mat in retrieve.dense_query_blocks(queries, vec_col, max_query_bytes):
         n_queries += len(qids)
@@ -173,9 +174,9 @@ def search(index: DataFrame, q: Quantizer, points: DataFrame, queries: DataFrame
         bc = spark.sparkContext.broadcast((qids, mat, lists))
         wanted = np.unique(lists).tolist()                        # at most the number of lists
         rows = index.where(F.col("list").isin(wanted)) if len(wanted) < len(q.centroids) else index
-        parts.append(rows.select("list", "point_id", "code").mapInArrow(_scan(bc, bcq, q.keep), retrieve.HIT_SCHEMA))
-    near = retrieve.rank_hits(retrieve._union(parts, retrieve.HIT_SCHEMA, spark), q.keep, retrieve.auto_salt(retrieve.scan_partitions(index)))
-    return rescored(near, points, queries, k, vec_col, n_queries * q.keep)
+        parts.append(rows.select("list", "point_id", "code").mapInArrow(_scan(bc, bcq, keep), retrieve.HIT_SCHEMA))
+    near = retrieve.rank_hits(retrieve._union(parts, retrieve.HIT_SCHEMA, spark), keep, retrieve.auto_salt(retrieve.scan_partitions(index)))
+    return rescored(near, points, queries, k, vec_col, n_queries * keep)
 
 
 def _scan(bc, bcq, keep):

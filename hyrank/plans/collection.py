@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyrank.operators import blockmax, represent, shape
+from hyrank.operators import blockmax, ivf, represent, shape
 from hyrank.operators.retrieve import at_points, bucket_of, scan_partitions
 from hyrank.session import scratch_path, ship_package
 from hyrank.sources import tables
@@ -43,6 +43,8 @@ class Collection:
     path: str
     blocks: DataFrame | None = None
     manifest: dict = field(default_factory=dict)
+    index: DataFrame | None = None          # inverted-file index of the dense vectors (operators.ivf), if one was built
+    quantizer: ivf.Quantizer | None = None
 
 
 @dataclass
@@ -188,6 +190,12 @@ def copy_collection(spark: SparkSession, col: Collection, path: str) -> Collecti
                         col.manifest["filterable"], col.manifest["dense_dim"], col.manifest["late_dim"])
 
 
+def with_index(col: Collection, k: int = 10, target: float = ivf.TARGET) -> Collection:
+    """The collection with an approximate dense branch: searches without a filter or threshold probe its lists."""
+    quantizer = ivf.fit(col.points, k=k, target=target)
+    return replace(col, index=ivf.build(col.points, quantizer), quantizer=quantizer)
+
+
 def check_dims(col: Collection, qs: QuerySet) -> None:
     """Queries of other dimensions than the collection's raise before anything is searched."""
     for name in ("dense_dim", "late_dim"):

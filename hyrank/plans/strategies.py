@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyrank.operators import blockmax, fuse, retrieve
+from hyrank.operators import blockmax, fuse, ivf, retrieve
 from hyrank.plans.collection import Collection, QuerySet, resolves
 from hyrank.session import work_dir
 
@@ -39,6 +39,13 @@ def _filtered(col: Collection, where: Column | None) -> DataFrame:
     return col.points if where is None else col.points.where(where)
 
 
+def _dense(col: Collection, qs: QuerySet, k: int | None, where: Column | None, threshold: float | None = None, ranked: bool = True) -> DataFrame:
+    """The dense branch: exact, or by the collection's index where it has one and nothing narrows the points."""
+    if col.index is not None and where is None and threshold is None and k is not None:
+        return ivf.search(col.index, col.quantizer, col.points, qs.queries, k)
+    return retrieve.dense_topk(_filtered(col, where), qs.queries, k, threshold, ranked=ranked)
+
+
 def _sparse(col: Collection, qs: QuerySet, k: int | None, where: Column | None, ranked: bool = True) -> DataFrame:
     if where is None and col.blocks is not None:
         return blockmax.blockmax_topk(col.blocks, col.idf, qs.terms, k, col.manifest.get("n_blocks"), ranked=ranked)
@@ -53,8 +60,7 @@ def _sparse(col: Collection, qs: QuerySet, k: int | None, where: Column | None,
 def dense(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, threshold: float | None = DENSE_THRESHOLD,
           where: Column | None = None, ranked: bool = True) -> DataFrame:
     """``ranked=False`` with no ``k``: the hits alone (to count them)."""
-    pts = _filtered(col, where)
-    return retrieve.dense_topk(pts, qs.queries, k, threshold, ranked=ranked)
+    return _dense(col, qs, k, where, threshold, ranked)
 
 
 def sparse(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, where: Column | None = None, ranked: bool = True) -> DataFrame:
@@ -68,8 +74,7 @@ def late(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, where: Column
 
 def rrf_dense_sparse(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch: int = PREFETCH,
                      where: Column | None = None) -> DataFrame:
-    pts = _filtered(col, where)
-    d = retrieve.dense_topk(pts, qs.queries, prefetch)
+    d = _dense(col, qs, prefetch, where)
     s = _sparse(col, qs, prefetch, where)
     return fuse.rrf([d, s], k)
 
@@ -77,7 +82,7 @@ def rrf_dense_sparse(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, p
 def rrf_all(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch: int = PREFETCH,
             where: Column | None = None) -> DataFrame:
     pts = _filtered(col, where)
-    d = retrieve.dense_topk(pts, qs.queries, prefetch)
+    d = _dense(col, qs, prefetch, where)
     s = _sparse(col, qs, prefetch, where)
     lt = retrieve.late_topk(pts, qs.queries, prefetch)
     return fuse.rrf([d, s, lt], k)
@@ -86,7 +91,7 @@ def rrf_all(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch:
 def rerank_late(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch: int = PREFETCH,
                 where: Column | None = None) -> DataFrame:
     pts = _filtered(col, where)
-    d = retrieve.dense_topk(pts, qs.queries, prefetch)
+    d = _dense(col, qs, prefetch, where)
     s = _sparse(col, qs, prefetch, where)
     cands = fuse.union_candidates([d, s])
     return fuse.rerank(cands, pts, qs.queries, k, candidate_bound=2 * prefetch * qs.n)
@@ -95,7 +100,7 @@ def rerank_late(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefet
 def multistep(col: Collection, qs: QuerySet, k: int | None = PAGE_SIZE, prefetch_dense: int = PREFETCH,
               prefetch_sparse: int = PREFETCH, where: Column | None = None) -> DataFrame:
     pts = _filtered(col, where)
-    d = retrieve.dense_topk(pts, qs.queries, prefetch_dense)
+    d = _dense(col, qs, prefetch_dense, where)
     s = blockmax.forward_topk(pts, col.idf, qs.terms, d, prefetch_sparse, prefetch_dense * qs.n)
     return fuse.rerank(s, pts, qs.queries, k, candidate_bound=prefetch_sparse * qs.n)
 
@@ -125,7 +130,7 @@ def all_strategies(col: Collection, qs: QuerySet, depth: int = 200, prefetch: in
     assert depth <= prefetch
     work_dir(col.points.sparkSession)       # checkpoint() needs the shared folder
     pts = _filtered(col, where)
-    d = retrieve.dense_topk(pts, qs.queries, prefetch).checkpoint()
+    d = _dense(col, qs, prefetch, where).checkpoint()
     s = _sparse(col, qs, prefetch, where).checkpoint()
     lt = retrieve.late_topk(pts, qs.queries, prefetch).checkpoint()
     cascade_s = blockmax.forward_topk(pts, col.idf, qs.terms, d, prefetch, prefetch * qs.n).checkpoint()

@@ -55,3 +55,17 @@ def test_lists_follow_the_number_of_vectors(spark, points):
     one = ivf.fit(points.limit(1))
     got = ivf.search(ivf.build(points.limit(1), one), one, points.limit(1), points.limit(1).select(F.lit(1).cast("long").alias("query_id"), "dense"), 3)
     assert got.count() == 1
+
+
+def test_index_serves_the_dense_branch_of_every_strategy(spark):
+    from hyrank import api
+    from hyrank.plans.collection import corpus
+    from conftest import SF_SMALL
+    col, qs = corpus(spark, SF_SMALL)
+    near = api.with_index(col, target=1.0)
+    near.quantizer.probes, near.quantizer.keep = len(near.quantizer.centroids), 200          # all lists, all candidates: exact
+    rows = lambda c, m: sorted((r.query_id, r["rank"], r.point_id) for r in api.search(c, qs, m, 10, **({"threshold": None} if m == "dense" else {"prefetch": 40} if m != "multistep" else {})).collect())
+    for method in ("dense", "rrf_dense_sparse", "multistep"):
+        assert rows(near, method) == rows(col, method)
+    filtered = api.search(near, qs, "dense", 5, where=F.col("lang") == "en", threshold=None)
+    assert "code" not in filtered._jdf.queryExecution().executedPlan().toString()            # a filter goes the exact way
