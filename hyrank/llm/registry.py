@@ -26,4 +26,5 @@ ORACLE = {
     "op5_jaccard": jaccard.ORACLE,
     "op10_warc": warc.ORACLE,
     "op12_collocations": collocations.ORACLE,
+    "op13_repair": repair.ORACLE,
 }

@@ -394,3 +394,56 @@ def op13(spark, sf_dir: str) -> DataFrame:
     out = ids.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
     filled = [F.coalesce(n, F.lit("")).alias(n) if n == "audit" else F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in names]
     return out.select(F.col("_id").alias("conv_id"), *filled, F.coalesce("repaired_sha256", F.lit(EMPTY_SHA)).alias("repaired_sha256"))
+
+
+def _oracle() -> str:
+    """The query in SQL: costs and least audits from the last row to the first, as strings of cost and letters. (With these prices no
+    turn is ever inserted, so a row's letter stands at the row's place.)"""
+    def add(v: str, cost: str, letter: str) -> str:
+        return f"lpad((substr({v}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || '{letter}' || substr({v}, 10)"
+
+    nxt, keep = (2, 2, 3, 2), ("WHEN r = 's' THEN v[2] WHEN r = 'u' THEN v[3]", "WHEN r = 'u' THEN v[3]", "WHEN r = 'a' THEN v[4]", "WHEN r = 'u' THEN v[3]")
+    stay = "(fault IS NULL OR fault = 2)"
+    base = ", ".join(
+        f"least({add(f'v[{s + 1}]', '2', 'D')}, CASE WHEN {stay} THEN {add(f'(CASE {keep[s]} END)', 'extra', 'K')} END, "
+        f"CASE WHEN {stay} THEN {add(f'v[{nxt[s] + 1}]', '1 + extra', 'R')} END)" for s in range(4))
+    inserted = ", ".join(f"least(b[{s + 1}], {add(f'b[{nxt[s] + 1}]', '5', 'I')})" for s in range(4))
+    return rf"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+c AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))),
+  4294967295::BIGINT) % 20 AS lot FROM t),
+d AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+  CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, unnest(CASE WHEN lot = 3 THEN [0, 1] ELSE [0] END) AS u(copy) WHERE lot <> 0),
+j AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS r,
+  regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS mark FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM j),
+f AS MATERIALIZED (SELECT *, CASE WHEN mark = '' THEN 0 WHEN again THEN 1 WHEN mark NOT IN ('.', '!', '?') THEN 2 END AS fault,
+  CASE WHEN mark NOT IN ('', '.', '!', '?') AND NOT again THEN 5 ELSE 0 END AS extra,
+  lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM o),
+p AS (SELECT conv_id, max(i) + 1 AS i, ['000000000', '000000010II', '000000005I', '000000000'] AS v FROM f GROUP BY conv_id
+  UNION ALL SELECT conv_id, i, v FROM (
+    SELECT conv_id, i, [{inserted.replace("b[", "w[")}] AS v FROM (
+      SELECT conv_id, i, [{inserted}] AS w FROM (
+        SELECT f.conv_id, f.i, [{base}] AS b FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i - 1)))),
+a AS (SELECT conv_id, substr(v[1], 1, 9)::BIGINT AS cost, substr(v[1], 10) AS audit FROM p WHERE i = 1),
+k AS (SELECT f.conv_id, f.role, f.text, f.r, f.i, substr(a.audit, f.i, 1) AS letter,
+  row_number() OVER (PARTITION BY f.conv_id ORDER BY f.i) - 1 AS place FROM f JOIN a ON f.conv_id IS NOT DISTINCT FROM a.conv_id
+  WHERE substr(a.audit, f.i, 1) <> 'D'),
+s AS (SELECT *, max(CASE WHEN place = 0 AND letter = 'K' AND r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS sys FROM k),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - sys) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text,
+  chr(10) ORDER BY place)) AS digest FROM s GROUP BY conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 0) AS blank,
+  count(*) FILTER (fault = 1) AS duplicate, count(*) FILTER (fault = 2) AS truncated,
+  count(*) FILTER (i > 1 AND coalesce(pair, '') NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT n.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) n LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM n.conv_id
+  LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM n.conv_id
+"""
+
+
+ORACLE = _oracle()
