@@ -102,12 +102,26 @@ def buckets(v: np.ndarray, sign: np.ndarray, axes2: int) -> np.ndarray:
     return out if b is None else out * axes2 + b.argmax(axis=1)
 
 
+#: Scores of (rows x buckets) that exist at once: 32 MB.
+PROBE_CELLS = 1 << 22
+
+
+def _steps(rows: int, sign: np.ndarray, axes2: int, dim: int) -> list[slice]:
+    """Runs of rows whose scores against all buckets stay within PROBE_CELLS."""
+    a, b = axis_scores(np.ones((1, dim)), sign, axes2)
+    step = max(1, PROBE_CELLS // (a.shape[1] * (1 if b is None else b.shape[1])))
+    return [slice(lo, lo + step) for lo in range(0, rows, step)]
+
+
 def probes(v: np.ndarray, sign: np.ndarray, axes2: int, count: int) -> np.ndarray:
     """The ``count`` best buckets of each row: those that lose least score to the nearest axes."""
-    a, b = axis_scores(v, sign, axes2)
-    if b is not None:
-        a = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1)
-    return np.argsort(-a, axis=1, kind="stable")[:, :count]
+    out = []
+    for rows in _steps(len(v), sign, axes2, v.shape[1]):
+        a, b = axis_scores(v[rows], sign, axes2)
+        if b is not None:
+            a = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1)
+        out.append(np.argsort(-a, axis=1, kind="stable")[:, :count].copy())       # a view would hold all of it
+    return np.concatenate(out) if out else np.zeros((0, count), np.int64)
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -163,9 +177,11 @@ def fit_probes(queries: DataFrame, index: DataFrame, k: int, sign: np.ndarray, a
     real = np.isfinite(np.take_along_axis(dist, near, axis=1))
     best = np.full(near.shape, total)
     for s in sign:
-        place = np.empty((len(q), total), np.int64)
-        np.put_along_axis(place, probes(q, s, axes2, total), np.arange(total)[None, :], axis=1)
-        best = np.minimum(best, np.take_along_axis(place, buckets(r, s, axes2)[near], axis=1))
+        own = buckets(r, s, axes2)[near]
+        for rows in _steps(len(q), s, axes2, q.shape[1]):
+            place = np.empty((len(q[rows]), total), np.int64)
+            np.put_along_axis(place, probes(q[rows], s, axes2, total), np.arange(total)[None, :], axis=1)
+            best[rows] = np.minimum(best[rows], np.take_along_axis(place, own[rows], axis=1))
     places = np.sort(best[real])
     return int(places[min(len(places) - 1, int(np.ceil(TARGET_RECALL * len(places))))]) + 1 if len(places) else 1
 
