@@ -1,8 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-A rule is (label, priority, keyword, pattern, confidence). Rules are written
-as templates over families of licences (tag, notice, name with version,
-name, link), which gives several hundred. One automaton finds the keywords
+A rule is (label, priority, keyword, pattern, confidence). ``license_texts`` lists signature sentences
+of licence texts, written one by one; beside them stand templates over families of licences (tag, notice,
+name with version, name, link). One automaton finds the keywords
 of a lower-cased text; only rules whose keyword occurs are run. Detections
 are taken by priority, then length, then place; one that lies inside an
 already taken interval is suppressed.
@@ -10,8 +10,10 @@ already taken interval is suppressed.
 Beside them stand base phrases, matched on whole words anywhere (words are
 runs of letters, digits and non-ASCII bytes); these are never suppressed.
 
-One map over the documents, whole texts, no shuffle. Null text: empty, no
-words, no labels, score 0.
+One map over the documents, whole texts, no shuffle; texts of any length are
+matched whole, one at a time. Null text: empty, no words, no labels, score 0.
+An empty table gives an empty one. Of detections that tie in priority, length and place the rule listed
+first is kept. Equal rows get equal results. A column called like the result is replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 
 from hyrank.llm import textbytes as tb
 from hyrank.llm.common import table
+from hyrank.llm.license_texts import NOTICES
 
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -145,6 +148,7 @@ def _cc_rules():
 def rules() -> list[Rule]:
     """All rules in order: priority first, then as listed."""
     out = [r for f in FAMILIES for r in _family_rules(*f)] + list(_cc_rules())
+    out += [Rule(label, 35, keyword, _pattern(p.replace(" ", r"\s+")), 0.95) for label, keyword, p in NOTICES]
     out += [Rule(label, 14, keyword, _pattern(p), 0.7) for label, keyword, p in SENTENCES]
     return sorted(out, key=lambda r: -r.priority)
 
