@@ -228,39 +228,68 @@ def dense_topk_kernel(bc, k: int | None, threshold: float | None,
     return run
 
 
-def dense_block_kernel(k: int):
-    """Local top-k of each pair of blocks. Rows (qb, pb, side, id, v) come sorted; a pair's queries (side 0) lead."""
+def dense_block_kernel(k: int, seen: str | None = None):
+    """Local top-k of each pair of blocks. Rows (qb, pb, side, id, v) come sorted; a pair's queries (side 0) lead.
+
+    Tiles are scored in float32; only pairs that can be among a query's k best (``screen_margin``) are
+    scored in float64. ``seen``: a column of bucket numbers, one a hash table; a pair of rows that meets in several
+    tables leaves with the first (the number of the table is ``qb`` div BLOCK_SHIFT).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, asked, mats, buf = None, [], [], None
+        key, asked, mats, sigs, buf, first = None, [], [], [], None, None
         for b in batches:
             if not b.num_rows:
                 continue
             qb, pb, side, all_ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("qb", "pb", "side", "id"))
+            sig = b.column(seen).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if seen else None
             change = np.flatnonzero((qb[1:] != qb[:-1]) | (pb[1:] != pb[:-1]) | (side[1:] != side[:-1])) + 1
             for lo, hi in zip(np.append(0, change).tolist(), np.append(change, b.num_rows).tolist()):
                 if (qb[lo], pb[lo]) != key:
-                    out = buf.batch() if buf is not None else None
+                    out = (first or buf).batch() if buf is not None else None
                     if out is not None:
                         yield out
-                    key, asked, mats, buf = (qb[lo], pb[lo]), [], [], None
+                    key, asked, mats, sigs, buf, first = (qb[lo], pb[lo]), [], [], [], None, None
                 vectors = b.column("v").slice(lo, hi - lo)
                 if side[lo] == 0:
                     rows, mat = _flat_vectors(vectors, mats[0].shape[1] if mats else len(vectors[0]))
                     asked.append(all_ids[lo:hi][rows])
                     mats.append(mat.astype(np.float64))
+                    if seen:
+                        sigs.append(sig[lo:hi][rows])
                     continue
                 if not asked:
                     continue
                 if buf is None:
                     qids, qmat = np.concatenate(asked).astype(np.int64), np.concatenate(mats)
-                    buf = TopKBuffer(qids, k)
+                    qmat32, qnorms, bounds = qmat.astype(np.float32), token_norms(qmat), np.full(len(qids), -np.inf)
+                    buf, first = TopKBuffer(qids, k), TopKBuffer(qids, k) if seen else None
+                    qsig, table = np.concatenate(sigs) if seen else None, int(key[0]) // BLOCK_SHIFT
                 rows, mat = _flat_vectors(vectors, qmat.shape[1])
-                ids = all_ids[lo:hi][rows]
+                if not len(rows):
+                    continue
+                ids, psig = all_ids[lo:hi][rows], sig[lo:hi][rows] if seen else None
                 for s in range(0, len(ids), TOKEN_TILE):
+                    tile, tid = mat[s:s + TOKEN_TILE], ids[s:s + TOKEN_TILE]
+                    tile32, longest = np.ascontiguousarray(tile.T, np.float32), float(token_norms(tile).max())
                     for q in range(0, len(qids), QBLOCK):
-                        for qi, row in enumerate(round_scores(qmat[q:q + QBLOCK] @ mat[s:s + TOKEN_TILE].T), q):
-                            buf.add(qi, ids[s:s + TOKEN_TILE], row)
-        out = buf.batch() if buf is not None else None
+                        near = qmat32[q:q + QBLOCK] @ tile32
+                        low = bounds[q:q + QBLOCK].copy()
+                        new = np.flatnonzero(low == -np.inf)
+                        if len(new) and len(tid) > k:
+                            low[new] = np.partition(near[new], len(tid) - k, axis=1)[:, len(tid) - k]
+                        margin = 4 * (qmat.shape[1] + 3) * 2.0 ** -24 * longest * qnorms[q:q + QBLOCK] + 10.0 ** -SCORE_DECIMALS
+                        hit = np.flatnonzero(near >= (low - margin)[:, None])
+                        row, col = hit // len(tid), hit % len(tid)
+                        edge = np.searchsorted(row, np.arange(len(low) + 1))
+                        for r in np.unique(row).tolist():
+                            at, qi = col[edge[r]:edge[r + 1]], q + r
+                            score = round_scores(tile[at] @ qmat[qi])
+                            buf.add(qi, tid[at], score)
+                            bounds[qi] = buf.bound(qi)
+                            if seen:
+                                own = ~(psig[s:s + TOKEN_TILE][at, :table] == qsig[qi, :table]).any(axis=1)
+                                first.add(qi, tid[at][own], score[own])
+        out = (first or buf).batch() if buf is not None else None
         if out is not None:
             yield out
     return run
@@ -270,6 +299,7 @@ def dense_block_kernel(k: int):
 # Late interaction: MaxSim = sum over query tokens of max over doc tokens
 # ---------------------------------------------------------------------------
 
+BLOCK_SHIFT = 1 << 32   # block numbers: table or bucket times this, plus the part of it
 GATHER = 1 << 18   # token vectors an embedder gathers at once
 QBLOCK = 256        # query-token rows per GEMM block
 QUERY_TILE = 1024   # queries whose scores against a batch exist at once

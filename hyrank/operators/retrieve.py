@@ -222,16 +222,25 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int | None = 10, thresh
     return rank_hits(hits, k, salt)
 
 
+def side_blocks(df: DataFrame, vec_col: str, block_bytes: int) -> int:
+    """Blocks of one side: of about ``block_bytes``, but not more than the cores need or MAX_QUERY_BYTES asks for."""
+    spark = _spark(df)
+    enough = math.isqrt(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)) + 1
+    return min(_n_blocks(df, F.size(vec_col), block_bytes), max(enough, _n_blocks(df, F.size(vec_col), MAX_QUERY_BYTES)))
+
+
 def dense_topk_blocks(points: DataFrame, queries: DataFrame, k: int = 10, vec_col: str = "dense",
                       block_bytes: int = MAX_QUERY_BYTES // 8) -> DataFrame:
     """``dense_topk`` for a query table as large as a corpus; neither side is collected.
 
     Both sides are dealt into blocks by a hash of the id; the rows of a block go to each of its pairs
-    with the other side's blocks, and a pair is scored in one task. The plan does not grow with the blocks.
+    with the other side's blocks, and a pair is scored in one task. The plan does not grow with the blocks. Blocks are of about
+    ``block_bytes``, but no more of them than give every core several pairs, as long as they stay below
+    MAX_QUERY_BYTES: each row is sent as many times as the other side has blocks.
     """
     def dealt(df, id_col):
         df = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(F.col(vec_col).isNotNull())
-        n = _n_blocks(df, F.size("v"), block_bytes)
+        n = side_blocks(df, "v", block_bytes)
         return df.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
     (asks, n_asks), (rows, n_rows) = dealt(queries, "query_id"), dealt(points, "point_id")
@@ -239,7 +248,7 @@ def dense_topk_blocks(points: DataFrame, queries: DataFrame, k: int = 10, vec_co
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
     both = asks.select(F.col("own").alias("qb"), F.col("other").alias("pb"), F.lit(0).alias("side"), "id", "v").unionByName(
         rows.select(F.col("other").alias("qb"), F.col("own").alias("pb"), F.lit(1).alias("side"), "id", "v"))
-    both = both.repartition("qb", "pb").sortWithinPartitions("qb", "pb", "side")
+    both = both.repartitionById(n_asks * n_rows, F.col("qb") * n_rows + F.col("pb")).sortWithinPartitions("qb", "pb", "side")
     return rank_hits(both.mapInArrow(kernels.dense_block_kernel(k), HIT_SCHEMA), k, auto_salt(n_rows))
 
 
@@ -421,12 +430,8 @@ def _hyperplanes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.stack([[_token_vector(f"plane{seed}:{t}:{b}", dim) for b in range(bits)] for t in range(tables)])
 
 
-SIG_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("table", T.IntegerType()),
-                           T.StructField("bucket", T.LongType())])
-
-
-def lsh_signatures(df: DataFrame, id_col: str, vec_col: str, planes: np.ndarray) -> DataFrame:
-    """(id, table, bucket) per vector: one bucket per hash table.
+def lsh_buckets(df: DataFrame, id_col: str, vec_col: str, planes: np.ndarray) -> DataFrame:
+    """(id, v, sig): each vector with its bucket in every hash table.
 
     The projections are one small matrix product per Arrow batch; the
     hyperplanes are a fixed-size broadcast (tables x bits x dim).
@@ -439,19 +444,19 @@ def lsh_signatures(df: DataFrame, id_col: str, vec_col: str, planes: np.ndarray)
         pl = bc.value.reshape(tables * bits, dim)
         weights = (1 << np.arange(bits)).astype(np.int64)
         for b in batches:
-            rows, mat = kernels._flat_vectors(b.column(vec_col), dim)
+            rows, mat = kernels._flat_vectors(b.column("v"), dim)
             if len(rows) == 0:
                 continue
-            ids = b.column(id_col).to_numpy(zero_copy_only=False)[rows]
-            signs = (mat @ pl.T > 0).reshape(len(rows), tables, bits)
-            codes = (signs * weights).sum(axis=2)                     # (n, tables)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, tables), pa.int64()),
-                 pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows)), pa.int32()),
-                 pa.array(codes.ravel(), pa.int64())], names=["id", "table", "bucket"])
+            codes = ((mat @ pl.T > 0).reshape(len(rows), tables, bits) * weights).sum(axis=2)       # (n, tables)
+            off = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables)
+            own = [b.column(c).take(pa.array(rows)) for c in ("id", "v")]
+            yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(off, pa.array(codes.ravel(), pa.int64()))], names=["id", "v", "sig"])
+
+    src = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("sig", T.ArrayType(T.LongType()))]))
 
-    out = df.select(id_col, vec_col).mapInArrow(run, SIG_SCHEMA)
-    return out.withColumnRenamed("id", id_col)
+
+LSH_PART = 1 << 15      # queries of a bucket that one task holds
 
 
 def dense_lsh_topk(points: DataFrame, queries: DataFrame, k: int = 10, tables: int = 16, bits: int = 6,
@@ -459,27 +464,40 @@ def dense_lsh_topk(points: DataFrame, queries: DataFrame, k: int = 10, tables: i
     """Bucket candidates on (table, bucket), then exact cosine and rank.
 
     Every candidate is scored exactly; recall versus R1 is reported by
-    ``lsh_recall``. No bucket is capped.
+    ``lsh_recall``. No bucket is capped: vectors are sent to their bucket of each table, the pairs of a bucket
+    are scored where they meet and its k best a query leave the task, so candidates are never rows of a
+    shuffle. A bucket of many vectors is dealt into parts of LSH_PART queries and as many points times 4.
     """
     if dim is None:
         dim = int(queries.select(F.max(F.size(vec_col))).first()[0])
     planes = _hyperplanes(dim, tables, bits, seed)
-    psig = lsh_signatures(points, "point_id", vec_col, planes)
-    qsig = lsh_signatures(queries, "query_id", vec_col, planes)
-    n_q = queries.count()                  # query side only
-    cand = psig.join(bounded_broadcast(qsig, n_q * tables), ["table", "bucket"]) \
-        .select("query_id", "point_id").distinct()
-    qv = queries.select("query_id", F.col(vec_col).alias("_q"))
-    pv = points.select("point_id", F.col(vec_col).alias("_p"))
-    scored = (cand.join(bounded_broadcast(qv, n_q), "query_id").join(pv, "point_id")
-              .select("query_id", "point_id",
-                      (F.round(F.aggregate(F.zip_with("_p", "_q", lambda x, y: x * y), F.lit(0.0),
-                                           lambda s, x: s + x), kernels.SCORE_DECIMALS) + 0.0).alias("score")))
-    return rank_hits(scored, k)
+
+    def bucketed(df, id_col, side):
+        rows = lsh_buckets(df.where(F.col(id_col).isNotNull()), id_col, vec_col, planes)
+        return rows.select("id", "v", "sig", F.posexplode("sig").alias("table", "bucket"), F.lit(side).alias("side"))
+
+    asks, rows = bucketed(queries, "query_id", 0), bucketed(points, "point_id", 1)
+    # at most tables x buckets rows; parts > 1 only where a bucket is crowded
+    sizes = asks.select("table", "bucket", "side").unionByName(rows.select("table", "bucket", "side")).groupBy("table", "bucket").agg(
+        F.ceil(F.count_if(F.col("side") == 0) / LSH_PART).alias("q_parts"), F.ceil(F.count_if(F.col("side") == 1) / (4 * LSH_PART)).alias("p_parts"))
+    sizes = bounded_broadcast(sizes.where("q_parts > 0 and p_parts > 0"), tables << bits)
+
+    def placed(df, own, other):
+        df = df.join(sizes, ["table", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)))
+        df = df.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        part = {"q_parts": ("own", "other"), "p_parts": ("other", "own")}[own]
+        return df.select((F.col("table") * F.lit(kernels.BLOCK_SHIFT) + F.col(part[0])).alias("qb"),
+                         (F.col("bucket") * F.lit(kernels.BLOCK_SHIFT) + F.col(part[1])).alias("pb"), "side", "id", "v", "sig")
+
+    both = placed(asks, "q_parts", "p_parts").unionByName(placed(rows, "p_parts", "q_parts"))
+    both = both.repartition("qb", "pb").sortWithinPartitions("qb", "pb", "side")
+    return rank_hits(both.mapInArrow(kernels.dense_block_kernel(k, "sig"), HIT_SCHEMA), k)
 
 
 def lsh_recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Per query: |approx top-k ∩ exact top-k| / |exact top-k|."""
+    work_dir(_spark(exact))
+    exact = exact.checkpoint()              # read twice
     inter = exact.join(approx.select("query_id", "point_id"), ["query_id", "point_id"], "left_semi")
     a = inter.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
     e = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
