@@ -69,3 +69,16 @@ def test_index_serves_the_dense_branch_of_every_strategy(spark):
         assert rows(near, method) == rows(col, method)
     filtered = api.search(near, qs, "dense", 5, where=F.col("lang") == "en", threshold=None)
     assert "code" not in filtered._jdf.queryExecution().executedPlan().toString()            # a filter goes the exact way
+
+
+def test_parts_of_queries_and_pairs_change_nothing(spark, points, monkeypatch):
+    """Every vector asks: what a task holds follows QUERY_PART and PAIRS, not the number of queries."""
+    q = ivf.fit(points)
+    index = ivf.build(points, q)
+    asks = points.where("point_id < 9000").select(F.col("point_id").alias("query_id"), "dense")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.point_id, r.score) for r in df.collect())
+    want = rows(ivf.search(index, q, points, asks, 10))
+    assert len(want) == 30_000
+    monkeypatch.setattr(ivf, "QUERY_PART", 64 * q.keep * 100)          # 100 queries' candidates
+    monkeypatch.setattr(ivf, "PAIRS", 64)
+    assert rows(ivf.search(index, q, points, asks, 10)) == want
