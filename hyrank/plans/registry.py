@@ -487,7 +487,8 @@ def bm25_weights(spark: SparkSession, sf: str) -> DataFrame:
 @register("idf_table", O.with_base("SELECT term, n, (round(idf, 6) + 0.0) AS idf FROM idf"))
 def idf_table(spark: SparkSession, sf: str) -> DataFrame:
     """Collection IDF per term."""
-    return R.idf_table(R.bm25_weights(_docs(spark, sf))).select("term", "n", (F.round("idf", 6) + 0.0).alias("idf"))
+    docs = _docs(spark, sf)
+    return R.idf_table(R.bm25_weights(docs), R.n_with_terms(docs)).select("term", "n", (F.round("idf", 6) + 0.0).alias("idf"))
 
 
 MODEL_LIMIT = 5000

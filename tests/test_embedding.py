@@ -87,3 +87,12 @@ def test_token_embedder_and_stopwords_reach_the_collection(spark):
                              stopwords=["the"])
     assert {r.qweight for r in qs.terms.collect()} == {1.0}
     assert api.search(col, qs, "rrf_all", 2).count() == 4
+
+
+def test_idf_counts_its_points_without_tokenising_again(spark):
+    from hyrank.operators import represent
+    docs = spark.createDataFrame([(1, "a b a"), (2, "B"), (3, "..."), (4, None), (5, ""), (6, "Ünder_score 7"), (6, "twice")], "point_id long, text string")
+    post = represent.bm25_weights(docs)
+    quick = represent.idf_table(post, represent.n_with_terms(docs))
+    assert sorted(map(tuple, quick.collect())) == sorted(map(tuple, represent.idf_table(post).collect()))
+    assert quick._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
