@@ -193,3 +193,29 @@ def test_wrong_dimension_raises():
     b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([[1.0] * 32])], names=["point_id", "dense"])
     with pytest.raises(ValueError, match="32 dimensions searched with 16"):
         list(kernels.dense_topk_kernel(bc, 3, None)(iter([b])))
+
+
+def test_embedder_caches_bytes_and_makes_the_same_vectors():
+    from hyrank.functions.text import _token_vector
+    toks = [f"t{i % 70}" for i in range(200)] + ["Äpfel", ""]
+    for dim in (8, 16, 20, 32):
+        emb = HashEmbedder(dim, cache_size=50)              # smaller than the vocabulary: it is emptied in between
+        got = emb.vectors(toks)
+        assert got.dtype == np.float64 and np.array_equal(got, np.stack([_token_vector(t, dim) for t in toks]))
+        assert 0 < len(emb._cache) <= 50
+        assert all(isinstance(v, bytes) and len(v) <= dim + 15 for v in emb._cache.values())
+    assert HashEmbedder(32).vectors([]).shape == (0, 32)
+
+
+def test_late_embedding_gathers_in_the_stored_precision():
+    """2^18 tokens of 1000 kinds: 16 MB of float32 vectors, not three times 32 MB of float64."""
+    import tracemalloc
+    col = pa.array([[f"t{(31 * i + j) % 1000}" for j in range(32)] for i in range(8192)], pa.list_(pa.string()))
+    emb = HashEmbedder(16)
+    tracemalloc.start()
+    got = kernels.late_embed_array(col, emb)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    v = emb.vectors(["t7"])[0]
+    assert got[0][7].as_py() == (v / np.linalg.norm(v)).astype(np.float32).tolist()
