@@ -219,3 +219,16 @@ def test_late_embedding_gathers_in_the_stored_precision():
     assert peak < 48 << 20
     v = emb.vectors(["t7"])[0]
     assert got[0][7].as_py() == (v / np.linalg.norm(v)).astype(np.float32).tolist()
+
+
+def test_maxsim_blocks_fit_a_core_s_cache_and_change_nothing(monkeypatch):
+    assert kernels.LATE_QBLOCK * kernels.LATE_TILE * 4 <= 1 << 20
+    rng = np.random.default_rng(5)
+    u, t = rng.standard_normal((300, 16)), rng.standard_normal((5000, 16))
+    starts = np.arange(0, 5000, 37)
+    want = np.stack([np.stack([(u @ t[lo:lo + 37].T).max(axis=1)]) for lo in starts], axis=2)[0]
+    for q, tile in ((kernels.LATE_QBLOCK, kernels.LATE_TILE), (7, 100), (1000, 10_000)):
+        monkeypatch.setattr(kernels, "LATE_QBLOCK", q)
+        assert np.allclose(kernels._segment_max(u, t, starts), want, rtol=0, atol=1e-12)
+        runs = list(kernels._doc_chunks(starts, 5000, tile))
+        assert [i for i, _ in runs[1:]] == [j for _, j in runs[:-1]] and runs[-1][1] == len(starts)
