@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hyrank.llm import textbytes as tb
-from hyrank.llm.common import cut, table
+from hyrank.llm.common import cut, table, tidy
 from hyrank.session import scratch_path
 
 LONGEST = 3
@@ -334,7 +334,13 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
-    sums = cut(every.groupBy("lang", "phrase").agg(F.sum("count").alias("count")).where(F.col("phrase").isNull() | (F.col("count") >= min_count)))
+    tidy(spark)
+    path = scratch_path(spark, "phrase-sums")
+    every.groupBy("lang", "phrase").agg(F.sum("count").alias("count")).where(F.col("phrase").isNull() | (F.col("count") >= min_count)).write.parquet(path)
+    sums = spark.read.parquet(path)
+    # the shuffle of all counted phrases goes before those of the scores come
+    del every, parts, p, got, failed
+    tidy(spark)
     return sums.where("phrase is not null"), sums.where("phrase is null").select("lang", F.col("count").alias("n")), passes
 
 
@@ -346,7 +352,8 @@ def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
     cuts = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.struct(
         k.alias("k"), F.array_join(F.slice("w", 1, k), " ").alias("left"), F.array_join(F.slice("w", k + 1, F.size("w")), " ").alias("right")))
     each = long.select("lang", "phrase", "a", F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.*")
-    side = lambda name, f: phrases.select("lang", F.col("phrase").alias(name), F.col("count").alias(f))
+    # a small file of phrases is a large table in memory: never broadcast
+    side = lambda name, f: phrases.select("lang", F.col("phrase").alias(name), F.col("count").alias(f)).hint("merge")
     each = each.join(side("left", "l"), ["lang", "left"]).join(side("right", "r"), ["lang", "right"])
     # decimals of 38 digits, and their whole-number division: exact up to a = 10^15
     each = each.withColumn("score", F.expr(
@@ -356,7 +363,7 @@ def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.size("w") - 1), lambda m: F.transform(
         F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.array_join(F.slice("w", i, m), " "))))
     longer = long.where(F.size("w") > 2).select("lang", "a", F.explode(F.array_distinct(inner)).alias("phrase"))
-    longer = longer.groupBy("lang", "phrase").agg(F.max("a").alias("most"))
+    longer = longer.groupBy("lang", "phrase").agg(F.max("a").alias("most")).hint("merge")
     kept = lowest.join(longer, ["lang", "phrase"], "left").where(F.col("most").isNull() | (100 * F.col("most") < 50 * F.col("a")))
     return kept.join(F.broadcast(totals), "lang").select("lang", "phrase", "a", "c.l", "c.r", "n", "c.score")
 
