@@ -335,15 +335,21 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     for p in parts[1:]:
         every = every.unionAll(p)
     tidy(spark)
-    path = scratch_path(spark, "phrase-sums")
-    every.groupBy("lang", "phrase").agg(F.sum("count").alias("count")).where(F.col("phrase").isNull() | (F.col("count") >= min_count)).write.parquet(path)
-    sums = spark.read.parquet(path)
     # the shuffle of all counted phrases goes before those of the scores come
-    del every, parts, p, got, failed
-    tidy(spark)
+    sums = _written(every.groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
+                    .where(F.col("phrase").isNull() | (F.col("count") >= min_count)), "phrase-sums")
     return sums.where("phrase is not null"), sums.where("phrase is null").select("lang", F.col("count").alias("n")), passes
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder; the shuffle files that led to it go."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    tidy(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of phrases of two words or more, by their lowest-scoring cut; without those whose
     longer phrases account for half of them."""
@@ -354,17 +360,18 @@ def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
     each = long.select("lang", "phrase", "a", F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.*")
     # a small file of phrases is a large table in memory: never broadcast
     side = lambda name, f: phrases.select("lang", F.col("phrase").alias(name), F.col("count").alias(f)).hint("merge")
-    each = each.join(side("left", "l"), ["lang", "left"]).join(side("right", "r"), ["lang", "right"])
+    each = _written(each.join(side("left", "l"), ["lang", "left"]), "phrase-cuts")
+    each = each.join(side("right", "r"), ["lang", "right"])
     # decimals of 38 digits, and their whole-number division: exact up to a = 10^15
     each = each.withColumn("score", F.expr(
         "(cast(1000000 as decimal(7,0)) * (cast(a as decimal(15,0)) * cast(a as decimal(15,0)))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"))
-    lowest = each.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
+    lowest = _written(each.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c")), "phrase-scores")
     # every phrase of two words or more inside a longer one
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.size("w") - 1), lambda m: F.transform(
         F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.array_join(F.slice("w", i, m), " "))))
     longer = long.where(F.size("w") > 2).select("lang", "a", F.explode(F.array_distinct(inner)).alias("phrase"))
     longer = longer.groupBy("lang", "phrase").agg(F.max("a").alias("most")).hint("merge")
-    kept = lowest.join(longer, ["lang", "phrase"], "left").where(F.col("most").isNull() | (100 * F.col("most") < 50 * F.col("a")))
+    kept = lowest.hint("merge").join(longer, ["lang", "phrase"], "left").where(F.col("most").isNull() | (100 * F.col("most") < 50 * F.col("a")))
     return kept.join(F.broadcast(totals), "lang").select("lang", "phrase", "a", "c.l", "c.r", "n", "c.score")
 
 

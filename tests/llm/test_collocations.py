@@ -78,6 +78,13 @@ def test_border_failures_lead_to_further_passes(spark, docs):
     assert whole == 1 and none == 4        # words, then pairs, then triples fail
 
 
+def test_scores_read_written_tables(spark, docs):
+    """Counts and scores are each read back from files, so that the shuffles before them can go."""
+    phrases, totals, _ = collocations.frequent_phrases(spark.createDataFrame(docs, SCHEMA))
+    assert any("phrase-sums" in f for f in phrases.inputFiles())
+    assert any("phrase-scores" in f for f in collocations.scored(phrases, totals).inputFiles())
+
+
 def test_phrases_and_counts(spark, docs):
     phrases, totals, _ = collocations.frequent_phrases(spark.createDataFrame(docs, SCHEMA))
     f, n = plain_counts(docs)
